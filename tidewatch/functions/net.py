@@ -42,10 +42,10 @@ def long_to_ip(value: Column) -> Column:
 
 
 def ip_subnet(ip: Column, prefix: int = 24) -> Column:
-    """Network text such as 44.1.2.0/24; null when `ip` is not IPv4."""
-    n = ip_to_long(ip)
-    mask = (0xFFFFFFFF << (32 - prefix)) & 0xFFFFFFFF
-    return F.when(n.isNotNull(), F.concat(long_to_ip(n.bitwiseAND(F.lit(mask))), F.lit(f"/{prefix}")))
+    """Network text such as 44.1.2.0/24 (prefix 8, 16 or 24); null when `ip` is not IPv4."""
+    kept = prefix // 8
+    head = F.substring_index(ip, ".", kept)
+    return F.when(ip.rlike(IPV4_STRICT), F.concat(head, F.lit(".0" * (4 - kept) + f"/{prefix}")))
 
 
 def _in_block(n: Column, block: str) -> Column:
@@ -60,33 +60,36 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def _is_private(ip: Column) -> Column:
-    n = ip_to_long(ip)
+def _is_private(ip: Column, n: Column) -> Column:
     v4 = _any([_in_block(n, b) for b in PRIVATE_BLOCKS]) & ~_any(
         [_in_block(n, b) for b in PRIVATE_EXCEPTIONS]
     )
     return F.coalesce(v4, F.lit(False)) | F.coalesce(F.lower(ip).rlike(PRIVATE_IPV6), F.lit(False))
 
 
-def is_private_like(ip: Column) -> Column:
+# The tests below use the numeric address many times: callers that evaluate several of them on large
+# data compute `ip_to_long` once as a column of its own and pass it as `n`.
+
+
+def is_private_like(ip: Column, n: Column | None = None) -> Column:
     """Private, loopback, link-local, reserved or multicast address."""
-    n = ip_to_long(ip)
+    n = ip_to_long(ip) if n is None else n
     return (
-        _is_private(ip)
+        _is_private(ip, n)
         | F.coalesce(_in_block(n, MULTICAST_BLOCK), F.lit(False))
         | F.coalesce(F.lower(ip).rlike(MULTICAST_IPV6), F.lit(False))
     )
 
 
-def is_non_global(ip: Column) -> Column:
+def is_non_global(ip: Column, n: Column | None = None) -> Column:
     """Address that is not globally routable; false for missing or invalid text."""
-    n = ip_to_long(ip)
-    return _is_private(ip) | F.coalesce(_in_block(n, SHARED_BLOCK), F.lit(False))
+    n = ip_to_long(ip) if n is None else n
+    return _is_private(ip, n) | F.coalesce(_in_block(n, SHARED_BLOCK), F.lit(False))
 
 
-def ip_in_any(ip: Column, entries: list[str]) -> Column:
+def ip_in_any(ip: Column, entries: list[str], n: Column | None = None) -> Column:
     """True when `ip` equals an address or falls in an IPv4 network of `entries`; bad entries are ignored."""
-    n = ip_to_long(ip)
+    n = ip_to_long(ip) if n is None else n
     tests = []
     for entry in entries:
         text = (entry or "").strip()

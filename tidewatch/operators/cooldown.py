@@ -45,26 +45,31 @@ _REPLAY = """
 """
 
 
-def _slice_heads(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        first_kept, last_kept = [], []
-        for times, cooldown, start in zip(pdf["_times"], pdf["_cooldown"], pdf["_slice"]):
-            ts = np.asarray(times, dtype=np.int64)
-            following = np.searchsorted(ts, ts + cooldown)
-            entries = np.arange(min(len(ts), np.searchsorted(ts, start + cooldown) + 1))
-            at = entries.copy()
-            while True:
-                nxt = following[at]
-                move = nxt < len(ts)
-                if not move.any():
-                    break
-                at[move] = nxt[move]
-            change = np.append(at[1:] != at[:-1], True)
-            first_kept.append(ts[entries[change]])
-            last_kept.append(ts[at[change]])
-        out = pdf[keys + ["_cooldown", "_slice"]].copy()
-        out["_first"], out["_last"] = first_kept, last_kept
-        yield out
+def _slice_heads(keys: list[str]):
+    """Batch function: head of each slice. Built here so that it travels to executors by value."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            first_kept, last_kept = [], []
+            for times, cooldown, start in zip(pdf["_times"], pdf["_cooldown"], pdf["_slice"]):
+                ts = np.asarray(times, dtype=np.int64)
+                following = np.searchsorted(ts, ts + cooldown)
+                entries = np.arange(min(len(ts), np.searchsorted(ts, start + cooldown) + 1))
+                at = entries.copy()
+                while True:
+                    nxt = following[at]
+                    move = nxt < len(ts)
+                    if not move.any():
+                        break
+                    at[move] = nxt[move]
+                change = np.append(at[1:] != at[:-1], True)
+                first_kept.append(ts[entries[change]])
+                last_kept.append(ts[at[change]])
+            out = pdf[keys + ["_cooldown", "_slice"]].copy()
+            out["_first"], out["_last"] = first_kept, last_kept
+            yield out
+
+    return heads
 
 
 def kept_times(candidates: DataFrame, keys: list[str], t: str, cooldown_us: str, factor: int = SLICE_FACTOR) -> DataFrame:
@@ -80,7 +85,7 @@ def kept_times(candidates: DataFrame, keys: list[str], t: str, cooldown_us: str,
         [slices.schema[c] for c in ids + ["_slice"]]
         + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("_first", "_last")]
     )
-    heads = slices.mapInPandas(lambda it: _slice_heads(it, keys), schema)
+    heads = slices.mapInPandas(_slice_heads(keys), schema)
     folded = heads.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_slice", "_first", "_last"))).alias("h"))
     starts = folded.select(
         *ids,

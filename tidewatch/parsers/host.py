@@ -170,10 +170,7 @@ def parse_panel_access(lines: DataFrame, ref_now=None, lenient: bool = False) ->
                 "bytes": group("m", 8).try_cast("bigint"), "cpanel_user": user,
                 "cpanel_module": F.col("module"), "cpanel_func": F.col("func"), "query": _query_map(pairs),
             },
-            "file": {
-                "action": F.col("file_func"),
-                "dir": F.when(is_file, F.nullif(F.trim(_first(pairs, "dir")), F.lit(""))),
-            },
+            "file": (is_file, {"action": F.col("file_func"), "dir": F.nullif(F.trim(_first(pairs, "dir")), F.lit(""))}),
         },
     )
 

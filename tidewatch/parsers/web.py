@@ -82,9 +82,9 @@ def parse_http_error(lines: DataFrame, ref_now=None, lenient: bool = False) -> D
             "referer_host": F.lower(extract(F.col("rest"), REFERER_HOST)),
             "app": F.when(is_php, "wordpress"),
             "level": F.col("php.level"),
-            "wp": {
+            "wp": (is_php, {
                 "kind": F.col("php.kind"), "core_file": F.col("php.core_file"), "missing_file": F.col("php.missing_file"),
-            },
+            }),
         },
     )
 

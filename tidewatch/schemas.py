@@ -44,7 +44,7 @@ def _extra_type() -> T.StructType:
 
 
 def typed_struct(kind: T.StructType, values: dict) -> Column:
-    """Struct of exactly this type; fields that are not given are null."""
+    """Struct of exactly this type; fields that are not given are null, and (condition, fields) is null unless it holds."""
     unknown = set(values) - set(kind.names)
     if unknown:
         raise KeyError(f"no such event fields: {sorted(unknown)}")
@@ -53,6 +53,8 @@ def typed_struct(kind: T.StructType, values: dict) -> Column:
         v = values.get(f.name)
         if isinstance(v, dict):
             col = typed_struct(f.dataType, v)
+        elif isinstance(v, tuple):
+            col = F.when(v[0], typed_struct(f.dataType, v[1]))
         elif v is None:
             col = F.lit(None).cast(f.dataType)
         else:

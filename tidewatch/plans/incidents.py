@@ -297,14 +297,16 @@ def merge_evidence_ids(old: Column, new: Column) -> Column:
 def incident_links(firings: DataFrame, alerts: DataFrame, rules: list[IncidentRule]) -> DataFrame:
     """Alerts inside the windows of the firings, by incident key. Role is always supporting."""
     key = ["code", "primary_entity_type", "primary_entity_key"]
-    day = 86_400_000_000
+    width = _by_rule(rules, lambda r: r.window_seconds * 1_000_000).cast("bigint")
     fired = _described(firings, rules).select(
         *KEYS, F.col("primary").alias("primary_entity_key"), "code", "primary_entity_type",
         F.col("tick_ts").alias("hi"), (F.col("tick_ts") - F.col("window_seconds").cast("bigint") * 1_000_000).alias("lo"),
-    ).withColumn("day", F.explode(F.expr(f"sequence(lo div {day}, hi div {day})")))
-    hits = alerts_to_rules(alerts, rules).select(*KEYS, F.col("id").alias("alert_id"), "ts", F.expr(f"ts div {day}").alias("day"))
+    ).withColumn("w", F.col("hi") - F.col("lo")).withColumn("stretch", F.explode(F.expr("sequence(lo div w, hi div w)"))).drop("w")
+    hits = alerts_to_rules(alerts, rules).select(
+        *KEYS, F.col("id").alias("alert_id"), "ts", width.alias("w")
+    ).withColumn("stretch", F.expr("ts div w")).drop("w")
     return (
-        hits.join(fired, [*KEYS, "day"]).filter("ts BETWEEN lo AND hi")
+        hits.join(fired, [*KEYS, "stretch"]).filter("ts BETWEEN lo AND hi")
         .select(*key, "alert_id", F.lit("supporting").alias("role")).dropDuplicates()
     )
 

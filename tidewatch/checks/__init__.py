@@ -11,4 +11,4 @@ def load():
     return QUERIES, ORACLES
 
 
-AREAS = ["parsing"]
+AREAS = ["parsing", "engine"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.checks.base import WITH_SEC, sec_events
 from tidewatch.checks.registry import check
 from tidewatch.functions.times import to_utc
-from tidewatch.operators.staging import shared_root
+from tidewatch.operators.staging import shared_root, staged
 from tidewatch.parsers import host, mail, stateful, web
 from tidewatch.parsers.dispatch import parse_all
 from tidewatch.sources import lines as src
@@ -23,10 +23,11 @@ HTTP_TIME = "concat(date_format(timestamp_micros(us), 'dd/MMM/yyyy:HH:mm:ss'), '
 
 
 def lines(spark: SparkSession, sf: str, line_sql: str, where: str = "true", log_type: str = "x") -> DataFrame:
-    return sec_events(spark, sf).filter(where).select(
+    """Lines written to storage first, as a parser meets them."""
+    return staged(sec_events(spark, sf).filter(where).select(
         F.expr(line_sql).alias("raw"), F.col("server").alias("file"), "server",
         F.col("event_id").alias("line_no"), F.lit(log_type).alias("log_type"),
-    )
+    ), "lines")
 
 
 def flat(events: DataFrame, **cols: str) -> DataFrame:

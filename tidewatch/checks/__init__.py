@@ -11,4 +11,4 @@ def load():
     return QUERIES, ORACLES
 
 
-AREAS = ["parsing", "engine"]
+AREAS = ["parsing", "engine", "shaping"]

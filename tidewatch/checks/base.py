@@ -90,3 +90,94 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("extra"),
         "us", "k", "user_id", "event_type", "value",
     )
+
+# ---------------------------------------------------------------- operational tables
+
+INCIDENTS = """
+SELECT user_id + 1 AS id, CASE user_id % 3 WHEN 0 THEN 'INC-ACC-01' WHEN 1 THEN 'INC-WEB-01' ELSE 'INC-MAIL-01' END AS code,
+  concat('case ', CAST(user_id AS STRING)) AS name, 'local' AS scope,
+  CASE user_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'triage' WHEN 2 THEN 'contained' WHEN 3 THEN 'closed' ELSE 'false_positive' END AS status,
+  CAST(60 AS BIGINT) AS severity_base, 50 + user_id % 50 AS severity_current, user_id % 101 AS score,
+  concat('srv', CAST(user_id % 8 AS STRING)) AS server, 'user' AS primary_entity_type, concat('user', CAST(user_id AS STRING)) AS primary_entity_key,
+  min(us) AS opened_us, max(us) AS last_us, count(*) AS count, CAST(2 AS BIGINT) AS unique_alerts, CAST(1 AS BIGINT) AS unique_servers,
+  max(severity) AS max_severity, CAST(sum(severity) AS BIGINT) AS sum_severity, CAST(3600 AS BIGINT) AS window_seconds, 'old' AS group_key
+FROM alerts GROUP BY user_id
+"""
+ENTITIES = """
+SELECT user_id + 1 AS id, CASE WHEN user_id % 4 = 0 THEN 'ip' ELSE 'user' END AS entity_type,
+  CASE WHEN user_id % 4 = 0 THEN concat('44.0.0.', CAST(user_id AS STRING)) ELSE concat('user', CAST(user_id AS STRING)) END AS entity_key,
+  (user_id * 7) % 101 AS score_current, CASE WHEN user_id % 6 = 0 THEN 'closed' WHEN user_id % 6 = 1 THEN 'odd' END AS state,
+  concat('srv', CAST(user_id % 8 AS STRING)) AS server, max(us) AS last_us, max(us) + user_id AS updated_us, min(us) AS first_us,
+  CASE WHEN user_id % 16 < 9 THEN concat('c', CAST(user_id % 16 AS STRING)) END AS cc, CASE WHEN user_id % 8 < 6 THEN 64000 + user_id % 8 END AS asn
+FROM alerts GROUP BY user_id
+"""
+ALERT_LINKS = "SELECT user_id + 1 AS incident_id, id AS alert_id FROM alerts WHERE k % 3 = 0"
+ENTITY_LINKS = """
+SELECT DISTINCT user_id + 1 AS incident_id, user_id + 1 AS entity_id, 'primary' AS relation FROM alerts
+UNION ALL SELECT DISTINCT user_id + 1, (user_id + 3) % 100 + 1, NULL FROM alerts
+"""
+UPLOADS = """
+SELECT user_id + 1 AS id, concat('srv', CAST(user_id % 8 AS STRING)) AS server,
+  CASE user_id % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'parsing' WHEN 2 THEN 'parsed' WHEN 3 THEN 'processing_engine' WHEN 4 THEN 'error' ELSE 'processed' END AS status,
+  min(us) + user_id * 14400000000 AS uploaded_us, CASE WHEN user_id % 3 > 0 THEN user_id END AS user_id, user_id % 7 + 1 AS api_key_id
+FROM sec GROUP BY user_id
+"""
+API_KEYS = "SELECT DISTINCT user_id % 7 + 1 AS id, CASE WHEN user_id % 7 < 6 THEN user_id % 7 + 501 END AS created_by_user_id FROM sec"
+QUEUE = """
+SELECT event_id AS id, user_id + 1 AS log_upload_id, server, us,
+  CASE WHEN user_id % 12 = 3 THEN 'done' ELSE CASE k % 20 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'error' ELSE 'done' END END AS engine_status
+FROM sec
+"""
+WITH_OPS = (
+    f"{WITH_ALERTS}, incidents AS ({INCIDENTS}), entities AS ({ENTITIES}), alert_links AS ({ALERT_LINKS}), "
+    f"entity_links AS ({ENTITY_LINKS}), uploads AS ({UPLOADS}), api_keys AS ({API_KEYS}), queue AS ({QUEUE})"
+)
+
+
+def _derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    sec = sec_events(spark, sf_dir)
+    if "FROM sec" in sql:
+        return spark.sql(sql.replace("FROM sec", "FROM {sec}"), sec=sec)
+    return spark.sql(sql.replace("FROM alerts", "FROM {alerts}"), alerts=alerts_raw(spark, sf_dir))
+
+
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    null = F.lit(None)
+    return _derive(spark, sf_dir, INCIDENTS).withColumns({
+        "last_activity_at": F.timestamp_micros("last_us"), "opened_at": F.timestamp_micros("opened_us"), "created_at": F.timestamp_micros("opened_us"),
+        "alert_ids": F.array(F.col("id")), "disposition": null.cast("string"), "closed_at": null.cast("timestamp"), "resolved_by": null.cast("string"),
+    })
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.plans.entities import score_severity
+
+    e = _derive(spark, sf_dir, ENTITIES)
+    return e.select(
+        "id", "entity_type", "entity_key", "score_current", score_severity(F.col("score_current")).alias("severity"), F.lit("local").alias("scope"),
+        F.struct(
+            "state", "server", F.struct(F.col("cc").alias("country_code"), F.expr("CASE WHEN id % 2 = 0 THEN concat('Land ', cc) END").alias("country_name")).alias("geo"),
+            F.struct(F.col("asn").alias("number"), F.expr("CASE WHEN id % 3 > 0 THEN 'Net' END").alias("org")).alias("asn"),
+        ).alias("attrs"),
+        F.timestamp_micros("last_us").alias("last_seen_at"), F.timestamp_micros("updated_us").alias("updated_at"), "last_us", "first_us", "updated_us",
+    )
+
+
+def alert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, ALERT_LINKS)
+
+
+def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, ENTITY_LINKS.replace("SELECT DISTINCT user_id + 1, (", "SELECT DISTINCT user_id + 1 AS incident_id, ("))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, UPLOADS).withColumn("uploaded_at", F.timestamp_micros("uploaded_us"))
+
+
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, API_KEYS)
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, QUEUE).withColumn("created_at", F.timestamp_micros("us")).withColumn("timestamp_utc", F.timestamp_micros("us"))

@@ -183,6 +183,7 @@ def detect(events: DataFrame, det_id: str, minutes: float | None = None, cooldow
     unknown = set(params) - set(d.params)
     if unknown:
         raise KeyError(f"{det_id} has no parameters {sorted(unknown)}")
+    rows = staged(rows, f"rows-{det_id}")
     window = int((minutes if minutes is not None else d.minutes) * 60 * 1_000_000)
     condition = d.condition.format(**{**d.params, **params})
     columns = {"unique_paths": "path", "unique_ips": "ip", "unique_users": "username", "unique_servers": "server", "unique_sources": "source"}
@@ -211,9 +212,11 @@ def panel_from_listed_ip(events: DataFrame, listed: DataFrame) -> DataFrame:
 def ip_changes(events: DataFrame, max_changes: int = 3, minutes: float = 30, cooldown_seconds: int | None = None) -> DataFrame:
     """A7: a user's address changes more than `max_changes` times in the window."""
     rows = _rows(events, AUTH(events), ["username"]).filter("username IS NOT NULL AND ip IS NOT NULL")
+    rows = staged(rows.select("group_key", "us", "event_id", "ip"), "rows-A7")
     sliced = rows.withColumn("slice", slice_start(F.col("us"), SIX_HOURS_US))
     changed = carry_forward(sliced, ["group_key"], ["us", "event_id"], {"ip": "ip_before"}, "slice", include_current=False)
-    moves = changed.withColumn("moved", F.coalesce(F.col("ip") != F.col("ip_before"), F.lit(False)).cast("bigint"))
+    moved = F.coalesce(F.col("ip") != F.col("ip_before"), F.lit(False)).cast("bigint")
+    moves = staged(changed.select("group_key", "us", "event_id", moved.alias("moved")), "moves")
     window = int(minutes * 60 * 1_000_000)
     metrics = sliding_metrics(moves, ["group_key"], t="us", seq="event_id", window_us=window, sums={"changes": F.col("moved")})
     quiet = window if cooldown_seconds is None else cooldown_seconds * 1_000_000
@@ -256,9 +259,10 @@ def fail_then_success_elsewhere(events: DataFrame, minutes: float = 30) -> DataF
     """
     window = int(minutes * 60 * 1_000_000)
     rows = _rows(events, _all(AUTH, lambda df: event_action(df).isNotNull())(events), ["username"]).filter("username IS NOT NULL")
+    rows = staged(rows.select("group_key", "us", "event_id", "server", "action"), "rows-MS5")
     fails = {"fails": (F.col("action") == "fail").cast("bigint")}
     total = sliding_metrics(rows, ["group_key"], t="us", seq="event_id", window_us=window, sums=fails, keep=["server", "action"])
-    total = total.withColumnRenamed("fails", "fails_all")
+    total = staged(total.withColumnRenamed("fails", "fails_all"), "fails-MS5")
     local = sliding_metrics(
         total.select("group_key", "us", "event_id", "server", "action", "fails_all"), ["group_key", "server"],
         t="us", seq="event_id", window_us=window, sums=fails, keep=["action", "fails_all"],

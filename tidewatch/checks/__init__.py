@@ -11,4 +11,4 @@ def load():
     return QUERIES, ORACLES
 
 
-AREAS = ["parsing", "engine", "shaping", "casework", "detections"]
+AREAS = ["parsing", "engine", "shaping", "casework", "detections", "streams"]

@@ -142,15 +142,21 @@ def _by_rule(rules: list[EventRule], value) -> F.Column:
     return out
 
 
-def fired(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
-    """Rows whose rule's condition holds and that are not in cooldown."""
-    usable = [r for r in rules if r.id not in condition_errors(rules)]
+def candidates(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
+    """Rows whose rule's condition holds, with the rule's cooldown."""
+    bad = condition_errors(rules)
     holds = F.lit(False)
-    for r in usable:
-        rename = {n: f"let_{r.id}_{n}" for n in r.let}
-        holds = F.when(F.col("rule_id") == r.id, rule_condition(r.condition, rename)).otherwise(holds)
+    for r in rules:
+        if r.id not in bad:
+            rename = {n: f"let_{r.id}_{n}" for n in r.let}
+            holds = F.when(F.col("rule_id") == r.id, rule_condition(r.condition, rename)).otherwise(holds)
     cooldown = _by_rule(rules, lambda r: F.lit(r.cooldown_seconds * 1_000_000)).cast("bigint")
-    return apply_cooldown(metrics.filter(holds).withColumn("cooldown", cooldown), KEYS, "ts", "id", "cooldown")
+    return metrics.filter(holds).withColumn("cooldown", cooldown)
+
+
+def fired(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
+    """Candidates that are not in cooldown."""
+    return apply_cooldown(candidates(metrics, rules), KEYS, "ts", "id", "cooldown")
 
 
 def window_evidence(alerts: DataFrame, metrics: DataFrame, rules: list[EventRule]) -> DataFrame:

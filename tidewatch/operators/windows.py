@@ -5,6 +5,9 @@ it arrives and takes 1 away just after ts + w. A value of a counted dimension is
 first row until w after its last one; the +1 and -1 of its presence come from rows pre-aggregated per
 (key, value, stretch of length w), inside which presence cannot be interrupted. Work is linear in the
 rows however many of them a window holds, and every step splits a hot key by time.
+
+The running sums read their input twice (slice totals, then rows), so the inputs that cost a shuffle
+are staged first.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.prefix import SIX_HOURS_US, running_sums
+from tidewatch.operators.staging import staged
 
 
 def _presence_deltas(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
@@ -66,7 +70,7 @@ def _max_multiplicity_deltas(rows: DataFrame, keys: list[str], value: str, slice
     """
     valued = rows.filter(F.col(value).isNotNull())
     flow = _arrive_and_expire(valued, keys + [value], {"c": F.lit(1)}, [])
-    counts = running_sums(flow, keys + [value], ["c"], slice_width)
+    counts = staged(running_sums(flow, keys + [value], ["c"], slice_width), "multiplicity")
     up = F.col("phase") == 1
     levels = counts.select(
         *keys, "t", "phase", "seq",
@@ -119,10 +123,10 @@ def sliding_metrics(
         values.append("n_seen")
     extra = []
     if dims:
-        extra.append(_presence_deltas(base, keys, list(dims)))
+        extra.append(staged(_presence_deltas(base, keys, list(dims)), "presence"))
         values += [f"unique_{d}" for d in dims]
     if top_value is not None:
-        extra.append(_max_multiplicity_deltas(base, keys, "_top", slice_width))
+        extra.append(staged(_max_multiplicity_deltas(base, keys, "_top", slice_width), "top"))
         values.append("top_hits")
     deltas = deltas.withColumn("_row", F.col("phase") == 1)
     for d in extra:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import truthy
 from tidewatch.functions.times import to_utc
-from tidewatch.parsers.capture import extract, found, group, with_captures
+from tidewatch.parsers.capture import extract, found, group, pinned, with_captures
 from tidewatch.schemas import make_events
 
 SYSLOG_TIME = r"(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
@@ -123,7 +123,7 @@ def parse_panel_access(lines: DataFrame, ref_now=None, lenient: bool = False) ->
     ip = F.coalesce(F.when(forwarded.rlike(IP_TEXT), forwarded), F.when(group("m", 1).rlike(IP_TEXT), group("m", 1)))
     url = group("m", 6)
     path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"[?#;].*$", "")
-    m = m.withColumn("ip", ip).filter(F.col("ip").isNotNull()).withColumn("url", url)
+    m = pinned(m, "ip", ip).filter(F.col("ip").isNotNull()).withColumn("url", url)
     m = m.withColumn("path", F.coalesce(F.nullif(path, F.lit("")), F.col("url")))
     m = m.withColumn("pairs", query_values(F.regexp_extract("url", r"\?([^#]*)", 1)))
     low, pairs = F.lower("path"), F.col("pairs")
@@ -214,7 +214,7 @@ def parse_firewall(lines: DataFrame, ref_now=None, lenient: bool = False) -> Dat
     m = with_captures(lines, "m", FIREWALL, 4).filter(found("m"))
     m = m.withColumn("msg", F.coalesce(group("m", 4), F.lit("")))
     msg, low = F.col("msg"), F.lower("msg")
-    m = m.withColumn("ip", F.coalesce(*[extract(msg, p) for p in FIREWALL_IP])).filter(F.col("ip").isNotNull())
+    m = pinned(m, "ip", F.coalesce(*[extract(msg, p) for p in FIREWALL_IP])).filter(F.col("ip").isNotNull())
     m = m.withColumn("trigger", F.nullif(F.trim(F.regexp_replace(F.coalesce(group("m", 3), F.lit("")), r"^\(|\)$", "")), F.lit("")))
     action = F.when(msg.rlike(r"(?i)\*blocked\b|\bblocked\b|\bcsf\b"), "blocked").when(msg.rlike(r"(?i)\bignored\b"), "ignored").otherwise("info")
     m = m.withColumn("action", action)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import split_address
 from tidewatch.functions.times import to_utc
-from tidewatch.parsers.capture import extract, found, group, with_captures
+from tidewatch.parsers.capture import extract, found, group, pinned, with_captures
 from tidewatch.schemas import make_events
 
 MAILBOX_LINE = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+\S+\s+dovecot(?:\[\d+\])?:\s+(.*)$"
@@ -36,8 +36,7 @@ def parse_mail_login(lines: DataFrame, ref_now=None, lenient: bool = False) -> D
     """Mailbox (IMAP/POP3) logins, accepted or refused; other lines are dropped."""
     m = with_captures(lines.withColumn("raw_trim", F.trim("raw")), "m", MAILBOX_LINE, 2, on="raw_trim").filter(found("m"))
     msg = group("m", 2)
-    ok = msg.rlike(LOGIN_OK)
-    m = m.withColumn("ok", ok).filter(F.col("ok") | msg.rlike(LOGIN_FAIL))
+    m = m.withColumn("ok", msg.rlike(LOGIN_OK)).filter(F.col("ok") | msg.rlike(LOGIN_FAIL))
     user = F.when(F.col("ok"), extract(msg, LOGIN_OK)).otherwise(extract(msg, LOGIN_FAIL))
     ip = F.when(F.col("ok"), extract(msg, LOGIN_OK, 2)).otherwise(extract(msg, LOGIN_FAIL, 2))
     m = m.withColumn("user", user)
@@ -82,7 +81,7 @@ def parse_mail_flow(lines: DataFrame, ref_now=None, lenient: bool = False) -> Da
         .when(raw.rlike(BAD_DOMAIN), "invalid_domain")
         .when(raw.rlike(RETRY), "retry")
     )
-    m = lines.withColumn("shape", shape).filter(F.col("shape").isNotNull())
+    m = pinned(lines, "shape", shape).filter(F.col("shape").isNotNull())
 
     def only(shapes, value):
         return F.when(F.col("shape").isin(*shapes), value)

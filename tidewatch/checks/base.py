@@ -145,7 +145,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = F.lit(None)
     return _derive(spark, sf_dir, INCIDENTS).withColumns({
         "last_activity_at": F.timestamp_micros("last_us"), "opened_at": F.timestamp_micros("opened_us"), "created_at": F.timestamp_micros("opened_us"),
-        "alert_ids": F.array(F.col("id")), "disposition": null.cast("string"), "closed_at": null.cast("timestamp"), "resolved_by": null.cast("string"),
+        "disposition": null.cast("string"), "closed_at": null.cast("timestamp"), "resolved_by": null.cast("string"),
     })
 
 

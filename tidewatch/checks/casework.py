@@ -80,10 +80,10 @@ def w5(spark, sf):
     return _ticks(incidents.incident_firings(alerts(spark, sf), RULES, START, END, STEP))
 
 
-INC = f"""ids AS (SELECT code, kind, pv, count(*) AS alerts, sum(alert_id)::BIGINT AS alert_sum, list_sort(list(alert_id)) AS alert_ids FROM links GROUP BY ALL),
+INC = f"""ids AS (SELECT code, kind, pv, count(*) AS alerts, sum(alert_id)::BIGINT AS alert_sum FROM links GROUP BY ALL),
   inc AS (SELECT fired.code, fired.kind AS primary_entity_type, fired.pv AS primary_entity_key, max(base) AS severity_current, max(score) AS score,
   arg_min(server, (tick, rule_id, first_us, gk)) AS server, arg_min(first_us, (tick, rule_id, first_us, gk)) AS opened_us, max(last_us) AS last_us, sum(n)::BIGINT AS n,
-  max(max_severity) AS max_severity, any_value(alerts) AS alerts, any_value(alert_sum) AS alert_sum, any_value(alert_ids) AS alert_ids
+  max(max_severity) AS max_severity, any_value(alerts) AS alerts, any_value(alert_sum) AS alert_sum
   FROM fired JOIN ids ON ids.code = fired.code AND ids.kind = fired.kind AND ids.pv = fired.pv GROUP BY ALL)"""
 INC_COLS = "code, primary_entity_type, primary_entity_key, severity_current, score, server, opened_us, last_us, n, max_severity"
 
@@ -98,8 +98,10 @@ def _inc_rows(df):
 
 @check("r4_build_incidents", f"{TICKS}, {READY}, {INC} SELECT {INC_COLS}, alerts, alert_sum FROM inc")
 def r4(spark, sf):
-    inc, _ = _built(spark, sf)
-    return _inc_rows(inc).select(*INC_COLS.split(", "), F.size("alert_ids").cast("bigint").alias("alerts"), F.aggregate("alert_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("alert_sum"))
+    inc, links = _built(spark, sf)
+    key = ["code", "primary_entity_type", "primary_entity_key"]
+    ids = links.groupBy(*key).agg(F.count(F.lit(1)).alias("alerts"), F.sum("alert_id").alias("alert_sum"))
+    return _inc_rows(inc).join(ids, key, "left").select(*INC_COLS.split(", "), "alerts", "alert_sum")
 
 
 @check("r8_seeded_rules", f"{TICKS}, {READY} SELECT rule_id, count(*) AS firings FROM fired WHERE rule_id < 15 GROUP BY rule_id")
@@ -123,15 +125,14 @@ EXISTING = f"""{base.WITH_ALERTS}, incidents AS ({base.INCIDENTS})"""
   merged AS (SELECT coalesce(o.code, i.code) AS code, coalesce(o.primary_entity_type, i.primary_entity_type) AS primary_entity_type, coalesce(o.primary_entity_key, i.primary_entity_key) AS primary_entity_key,
     coalesce(o.status, 'open') AS status, greatest(o.severity_current, i.severity_current) AS severity_current, greatest(o.score, i.score) AS score,
     CASE WHEN o.id IS NULL THEN i.server ELSE o.server END AS server, coalesce(o.opened_us, i.opened_us) AS opened_us, greatest(o.last_us, i.last_us) AS last_us,
-    coalesce(o.count, 0) + coalesce(i.n, 0) AS n, greatest(o.max_severity, i.max_severity) AS max_severity,
-    coalesce(len(list_distinct(list_concat(i.alert_ids, CASE WHEN o.id IS NULL THEN [] ELSE [o.id] END))), 1) AS alerts
+    coalesce(o.count, 0) + coalesce(i.n, 0) AS n, greatest(o.max_severity, i.max_severity) AS max_severity
     FROM (SELECT * FROM incidents WHERE status IN ('open', 'triage', 'contained')) o FULL JOIN inc i
     ON o.code = i.code AND o.primary_entity_type = i.primary_entity_type AND o.primary_entity_key = i.primary_entity_key)
-  SELECT * FROM merged UNION ALL SELECT code, primary_entity_type, primary_entity_key, status, severity_current, score, server, opened_us, last_us, count, max_severity, 1 FROM incidents
+  SELECT * FROM merged UNION ALL SELECT code, primary_entity_type, primary_entity_key, status, severity_current, score, server, opened_us, last_us, count, max_severity FROM incidents
   WHERE status NOT IN ('open', 'triage', 'contained')""")
 def u3(spark, sf):
     inc, _ = _built(spark, sf, base.incidents(spark, sf))
-    return _inc_rows(inc).select(*INC_COLS.split(", "), "status", F.size("alert_ids").cast("bigint").alias("alerts"))
+    return _inc_rows(inc).select(*INC_COLS.split(", "), "status")
 
 
 @check("u1_merge_evidence_ids", f"{WITH_SEC} SELECT event_id, array_to_string(list_sort(list_distinct(list_concat([k, user_id], CASE WHEN k % 2 = 0 THEN [event_id, k] ELSE [] END))), ',') AS ids FROM sec")
@@ -418,7 +419,7 @@ def l2(spark, sf):
 def l3(spark, sf):
     a = alerts(spark, sf)
     rows = filters.page(a, [F.desc("triggered_at"), F.desc("id")], 50, 100)
-    return rows.select("id", "us").crossJoin(a.agg(F.count(F.lit(1)).alias("total")))
+    return rows.select("id", "us", a.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 @check("l4_operational_tops", f"""{WITH_OPS} SELECT * FROM (SELECT 'pending_uploads' AS list, id FROM uploads WHERE status IN ('queued', 'parsing', 'parsed', 'processing_engine') ORDER BY uploaded_us, id LIMIT 50)
@@ -430,15 +431,17 @@ def l4(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@check("j6_incident_detail", f"""{WITH_OPS} SELECT i.id, CASE WHEN score >= 61 THEN 'high' WHEN score >= 31 THEN 'medium' ELSE 'low' END AS badge,
-  (SELECT string_agg(a.id || ':' || CASE a.status WHEN 'closed' THEN 'resolved' WHEN 'false_positive' THEN a.status ELSE 'open' END, ',' ORDER BY a.us DESC) FROM alert_links l JOIN alerts a ON a.id = l.alert_id WHERE l.incident_id = i.id) AS alerts,
-  (SELECT string_agg(e.id || ':' || CASE WHEN e.state = 'closed' THEN 'closed' ELSE 'open' END || ':' || coalesce(l.relation, 'related'), ',' ORDER BY e.id, l.relation) FROM entity_links l JOIN entities e ON e.id = l.entity_id WHERE l.incident_id = i.id) AS entities,
+@check("j6_incident_detail", f"""{WITH_OPS} SELECT 'incident' AS what, i.id AS incident_id, i.id, CASE WHEN score >= 61 THEN 'high' WHEN score >= 31 THEN 'medium' ELSE 'low' END AS label,
   (SELECT count(*) FROM alert_links l JOIN alerts a ON a.id = l.alert_id WHERE l.incident_id = i.id AND a.status IN ('open', 'triage')) AS open_alerts,
-  (SELECT count(*) FROM entity_links l JOIN entities e ON e.id = l.entity_id WHERE l.incident_id = i.id AND coalesce(e.state, 'x') <> 'closed') AS open_entities FROM incidents i""")
+  (SELECT count(*) FROM entity_links l JOIN entities e ON e.id = l.entity_id WHERE l.incident_id = i.id AND coalesce(e.state, 'x') <> 'closed') AS open_entities FROM incidents i
+  UNION ALL SELECT 'alert', l.incident_id, a.id, CASE a.status WHEN 'closed' THEN 'resolved' WHEN 'false_positive' THEN a.status ELSE 'open' END, NULL, NULL FROM alert_links l JOIN alerts a ON a.id = l.alert_id
+  UNION ALL SELECT 'entity', l.incident_id, e.id, CASE WHEN e.state = 'closed' THEN 'closed' ELSE 'open' END || ':' || coalesce(l.relation, 'related'), NULL, NULL FROM entity_links l JOIN entities e ON e.id = l.entity_id""")
 def j6(spark, sf):
     out = dashboards.incident_detail(base.incidents(spark, sf), base.alert_links(spark, sf), alerts(spark, sf), base.entity_links(spark, sf), base.entities(spark, sf))
-    return out.select("id", "badge", F.expr("array_join(transform(alerts, x -> concat(x.id, ':', x.status)), ',')").alias("alerts"),
-                      F.expr("array_join(transform(entities, x -> concat(x.id, ':', x.state, ':', x.relation)), ',')").alias("entities"), "open_alerts", "open_entities")
+    head = out["incidents"].select(F.lit("incident").alias("what"), F.col("id").alias("incident_id"), "id", F.col("badge").alias("label"), "open_alerts", "open_entities")
+    al = out["alerts"].select(F.lit("alert").alias("what"), "incident_id", "id", F.col("status").alias("label"))
+    en = out["entities"].select(F.lit("entity").alias("what"), "incident_id", "id", F.concat_ws(":", "state", "relation").alias("label"))
+    return head.unionByName(al, allowMissingColumns=True).unionByName(en, allowMissingColumns=True)
 
 
 @check("j9_uploads_fully_processed", f"{WITH_OPS} SELECT id FROM uploads WHERE status = 'processing_engine' AND id NOT IN (SELECT log_upload_id FROM queue WHERE engine_status IN ('pending', 'processing'))")

@@ -28,7 +28,7 @@ from tidewatch.operators.staging import staged
 from tidewatch.operators.windows import sliding_metrics
 
 KEYS = ["rule_id", "group_key"]
-BLOCK = 4096
+BLOCK = 256
 
 
 def condition_errors(rules: list[EventRule]) -> dict[int, str]:
@@ -172,19 +172,29 @@ def window_evidence(alerts: DataFrame, metrics: DataFrame, rules: list[EventRule
 
 
 def top_subnets(alerts: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Most frequent /24 of each alert's window; ties go to the one seen first in it."""
+    """Most frequent /24 of each alert's window; ties go to the one seen first in it.
+
+    The rows of a group are counted per block of positions; a window takes whole blocks as counts and
+    only its two end blocks row by row, so long windows do not pair alerts with rows.
+    """
+    lo, hi = F.col("block") * BLOCK, F.col("block") * BLOCK + BLOCK - 1
     spans = alerts.select(
         *KEYS, F.col("id").alias("alert_event"), F.col("n_seen").alias("to"),
         (F.col("n_seen") - F.col("count") + 1).alias("from"),
     ).select("*", F.explode(F.expr(f"sequence(from div {BLOCK}, to div {BLOCK})")).alias("block"))
+    whole = (lo >= F.col("from")) & (hi <= F.col("to"))
     items = metrics.filter("ip_subnet24 IS NOT NULL").select(
         *KEYS, "n_seen", "ip_subnet24", F.expr(f"n_seen div {BLOCK}").alias("block")
     )
-    counted = (
-        spans.join(items, [*KEYS, "block"])
-        .filter("n_seen BETWEEN from AND to")
-        .groupBy(*KEYS, "alert_event", "ip_subnet24")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("n_seen").alias("first"))
+    blocks = items.groupBy(*KEYS, "block", "ip_subnet24").agg(F.count(F.lit(1)).alias("n"), F.min("n_seen").alias("first"))
+    cols = [*KEYS, "alert_event", "ip_subnet24", "n", "first"]
+    by_block = spans.filter(whole).join(blocks, [*KEYS, "block"]).select(*cols)
+    by_row = (
+        spans.filter(~whole).join(items, [*KEYS, "block"]).filter("n_seen BETWEEN from AND to")
+        .withColumn("n", F.lit(1).cast("bigint")).withColumn("first", F.col("n_seen")).select(*cols)
+    )
+    counted = by_block.unionByName(by_row).groupBy(*KEYS, "alert_event", "ip_subnet24").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")
     )
     best = F.max(F.struct("n", (-F.col("first")).alias("neg_first"), "ip_subnet24")).alias("best")
     return counted.groupBy(*KEYS, "alert_event").agg(best).select(

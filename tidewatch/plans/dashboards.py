@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,12 @@ def _on_server(df: DataFrame, server: str | None) -> DataFrame:
     return df if not server or server == "all" else df.filter(F.col("server") == server)
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Side by side columns of frames of one row each: their union, with the only value of every column."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def incident_kpi_entities(incidents: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct entities of active incidents with a score of at least 30 and of at least 80."""
     active = incidents.filter(F.col("status").isin(ACTIVE)).select(F.col("id").alias("incident_id"))
@@ -70,8 +77,7 @@ def dashboard_kpis(
         F.count_if(recent).alias("uploads_24h"),
         F.count_if(recent & F.col("status").isin(FAILED)).alias("uploads_failed_24h"),
     )
-    # each side is exactly one row
-    out = a.crossJoin(i).crossJoin(incident_kpi_entities(incidents, links, entities)).crossJoin(e).crossJoin(u)
+    out = one_row(a, i, incident_kpi_entities(incidents, links, entities), e, u)
     return out.withColumn("lag_seconds", lag_seconds(F.col("last_event_at"), now))
 
 
@@ -117,10 +123,10 @@ def events_by_status(events: DataFrame) -> DataFrame:
 def pipeline_overview(alerts: DataFrame, incidents: DataFrame, uploads: DataFrame, events: DataFrame, now: datetime) -> DataFrame:
     since = _utc(now) - timedelta(hours=24)
     fresh = lambda df, name: df.agg(F.count_if(F.col("created_at") >= since).alias(name))
-    return (
-        fresh(alerts, "alerts_24h").crossJoin(fresh(incidents, "incidents_24h"))
-        .crossJoin(uploads.agg(F.min(F.when(F.col("status") == "queued", F.col("uploaded_at"))).alias("oldest_queued")))
-        .crossJoin(events.agg(F.min(F.when(F.col("engine_status") == "pending", F.col("created_at"))).alias("oldest_pending")))
+    return one_row(
+        fresh(alerts, "alerts_24h"), fresh(incidents, "incidents_24h"),
+        uploads.agg(F.min(F.when(F.col("status") == "queued", F.col("uploaded_at"))).alias("oldest_queued")),
+        events.agg(F.min(F.when(F.col("engine_status") == "pending", F.col("created_at"))).alias("oldest_pending")),
     )
 
 
@@ -140,10 +146,10 @@ def system_status(events: DataFrame, alerts: DataFrame, incidents: DataFrame, up
     """Band per component."""
     now = _utc(now)
     recent = F.col("uploaded_at") >= now - timedelta(hours=24)
-    one = (
-        events.agg(F.max("timestamp_utc").alias("e")).crossJoin(alerts.agg(F.max("triggered_at").alias("a")))
-        .crossJoin(incidents.agg(F.max("last_activity_at").alias("i")))
-        .crossJoin(uploads.agg(F.count_if(recent).alias("n"), F.count_if(recent & F.col("status").isin(FAILED)).alias("bad")))
+    one = one_row(
+        events.agg(F.max("timestamp_utc").alias("e")), alerts.agg(F.max("triggered_at").alias("a")),
+        incidents.agg(F.max("last_activity_at").alias("i")),
+        uploads.agg(F.count_if(recent).alias("n"), F.count_if(recent & F.col("status").isin(FAILED)).alias("bad")),
     )
     lag = lambda c: lag_seconds(F.col(c), now)
     upload_code = F.when(F.col("bad") >= 10, "error").when(F.col("bad") > 0, "warning").otherwise("ok")
@@ -204,8 +210,7 @@ def entity_kpis(entities: DataFrame) -> DataFrame:
     ).select(
         "total", F.concat(F.col("top.entity_key"), F.lit(" ("), F.col("top.entity_type"), F.lit(")")).alias("top"), "open", "closed",
     )
-    # one row each
-    return totals.crossJoin(_most_frequent(rows, "asn", "top_asn")).crossJoin(_most_frequent(rows, "country", "top_country"))
+    return one_row(totals, _most_frequent(rows, "asn", "top_asn"), _most_frequent(rows, "country", "top_country"))
 
 
 def top_entities(entities: DataFrame, entity_type: str = "ip", k: int = 4) -> DataFrame:
@@ -230,35 +235,28 @@ def recent_incidents(
     )
 
 
-def incident_detail(incidents: DataFrame, alert_links: DataFrame, alerts: DataFrame, entity_links: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each incident with its alerts (newest first), its entities and the open counts of both."""
-    a = (
-        alert_links.select("incident_id", F.col("alert_id").alias("id")).join(
-            alerts.select("id", "rule_name", "severity", "triggered_at", shown_status(F.col("status")).alias("shown")), "id")
-        .groupBy("incident_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.unix_micros("triggered_at")).alias("o"), "id", "rule_name", "severity", "shown"))),
-                lambda x: F.struct(x["id"].alias("id"), x["rule_name"].alias("rule_name"), x["severity"].alias("severity"), x["shown"].alias("status")),
-            ).alias("alerts"),
-            F.count_if(F.col("shown") == "open").alias("open_alerts"),
-        )
-    )
+def incident_detail(
+    incidents: DataFrame, alert_links: DataFrame, alerts: DataFrame, entity_links: DataFrame, entities: DataFrame
+) -> dict[str, DataFrame]:
+    """Incidents with their open counts, and the alerts and entities of each as rows of their own.
+
+    An incident may hold a large part of all alerts, so they are not packed into one row of it.
+    """
+    a = alert_links.select("incident_id", F.col("alert_id").alias("id")).join(
+        alerts.select("id", "rule_name", "severity", "server", "group_key", "triggered_at", shown_status(F.col("status")).alias("status")), "id")
     state = entity_state(optional(entities, "attrs.state"))
-    e = (
-        entity_links.select("incident_id", F.col("entity_id").alias("id"), F.coalesce("relation", F.lit("related")).alias("relation"))
-        .join(entities.select("id", "entity_type", "entity_key", "score_current", state.alias("state")), "id")
-        .groupBy("incident_id").agg(
-            F.array_sort(F.collect_list(F.struct("id", "entity_type", "entity_key", "score_current", "state", "relation"))).alias("entities"),
-            F.count_if(F.col("state") == "open").alias("open_entities"),
-        )
-    )
+    e = entity_links.select("incident_id", F.col("entity_id").alias("id"), F.coalesce("relation", F.lit("related")).alias("relation")).join(
+        entities.select("id", "entity_type", "entity_key", "scope", "score_current", "severity", state.alias("state")), "id")
+    open_a = a.groupBy("incident_id").agg(F.count_if(F.col("status") == "open").alias("open_alerts"))
+    open_e = e.groupBy("incident_id").agg(F.count_if(F.col("state") == "open").alias("open_entities"))
     badge = score_badge(F.col("score"))
-    return (
-        incidents.withColumn("incident_id", F.col("id")).join(a, "incident_id", "left").join(e, "incident_id", "left")
+    head = (
+        incidents.withColumn("incident_id", F.col("id")).join(open_a, "incident_id", "left").join(open_e, "incident_id", "left")
         .withColumn("status", shown_status(F.col("status"))).withColumn("badge", badge).withColumn("severity_label", level_label(badge))
         .withColumn("open_alerts", F.coalesce("open_alerts", F.lit(0))).withColumn("open_entities", F.coalesce("open_entities", F.lit(0)))
         .drop("incident_id")
     )
+    return {"incidents": head, "alerts": a, "entities": e}
 
 
 def uploads_fully_processed(uploads: DataFrame, events: DataFrame) -> DataFrame:

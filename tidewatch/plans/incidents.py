@@ -221,13 +221,11 @@ def _described(firings: DataFrame, rules: list[IncidentRule]) -> DataFrame:
     )
 
 
-def upsert_incidents(
-    firings: DataFrame, rules: list[IncidentRule], links: DataFrame, existing: DataFrame | None = None
-) -> DataFrame:
+def upsert_incidents(firings: DataFrame, rules: list[IncidentRule], existing: DataFrame | None = None) -> DataFrame:
     """Incidents after a run. All firings of one (code, primary entity) meet in one incident.
 
     The first firing opens it (or finds the latest open one of `existing`); later ones extend activity,
-    severity, score, count and alert ids.
+    severity, score and count. The alert ids are the links: an incident may hold too many for one row.
     """
     key = ["code", "primary_entity_type", "primary_entity_key"]
     rows = _described(firings, rules).withColumnRenamed("primary", "primary_entity_key")
@@ -242,13 +240,11 @@ def upsert_incidents(
         F.max("max_severity").alias("max_severity"), first_of("sum_severity").alias("sum_severity"),
         first_of("window_seconds").alias("window_seconds"), first_of("group_key").alias("group_key"),
     )
-    ids = links.groupBy(*key).agg(F.array_sort(F.collect_set("alert_id")).alias("alert_ids"))
-    new = new.join(ids, key, "left")
     if existing is None:
         return new.select(
             *key, "name", "scope", F.lit("open").alias("status"), "severity_base", "severity_current", "score", "server",
             "opened_us", "last_us", "count", "unique_alerts", "unique_servers", "max_severity", "sum_severity",
-            "window_seconds", "group_key", "alert_ids",
+            "window_seconds", "group_key",
         )
     is_open = F.col("status").isin(OPEN_STATES)
     open_rows = latest_open(existing.filter(is_open))
@@ -269,7 +265,6 @@ def upsert_incidents(
         (F.coalesce("count", F.lit(0)) + F.coalesce("n_count", F.lit(0))).alias("count"),
         keep("unique_alerts"), keep("unique_servers"), F.greatest("max_severity", "n_max_severity").alias("max_severity"),
         keep("sum_severity"), keep("window_seconds"), keep("group_key"),
-        merge_evidence_ids(F.col("alert_ids"), F.col("n_alert_ids")).alias("alert_ids"),
     )
     return merged.unionByName(untouched.select(*merged.columns))
 
@@ -290,6 +285,7 @@ def find_open_incident(wanted: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def merge_evidence_ids(old: Column, new: Column) -> Column:
+    """Sorted union of two id arrays, for evidence kept as arrays; whole incidents merge their link rows instead."""
     empty = F.array().cast("array<bigint>")
     return F.array_sort(F.array_union(F.coalesce(old, empty), F.coalesce(new, empty)))
 
@@ -328,7 +324,7 @@ def build_incidents(
     rules = [r for r in rules if r.enabled]
     firings = staged(incident_firings(alerts, rules, start, end, step_seconds), "firings")
     links = incident_links(firings, alerts, rules)
-    return upsert_incidents(firings, rules, links, existing), links
+    return upsert_incidents(firings, rules, existing), links
 
 
 def link_incident_entities(incidents: DataFrame, entities: DataFrame) -> DataFrame:

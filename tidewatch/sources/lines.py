@@ -148,10 +148,8 @@ def incremental_alerts(alerts: DataFrame, last_id: int = 0, from_ts=None, from_i
         return alerts.filter(F.col("id") > from_id)
     if from_ts is None:
         return alerts.filter(F.col("id") > last_id)
-    first = alerts.filter(F.col("triggered_at") >= from_ts).agg(F.min("id").alias("first_id"))
-    return alerts.crossJoin(first).filter(
-        F.when(F.col("first_id").isNull(), F.col("id") > last_id).otherwise(F.col("id") >= F.col("first_id"))
-    ).drop("first_id")
+    first = alerts.filter(F.col("triggered_at") >= from_ts).agg(F.min("id")).scalar()
+    return alerts.filter(F.when(first.isNull(), F.col("id") > last_id).otherwise(F.col("id") >= first))
 
 
 # ---------------------------------------------------------------- export

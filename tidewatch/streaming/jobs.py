@@ -54,9 +54,8 @@ def alert_batch(
         before = _saved(spark, folder, "window", batch_id)
         last = _saved(spark, folder, "last_alert", batch_id)
         if before is not None:
-            horizon = before.agg(F.max("ts").alias("newest"))
-            # one row against all: the newest time seen so far
-            on_time = fresh.crossJoin(horizon).filter(F.col("newest").isNull() | (F.col("ts") >= F.col("newest") - delay)).drop("newest")
+            newest = before.agg(F.max("ts")).scalar()
+            on_time = fresh.filter(newest.isNull() | (F.col("ts") >= newest - delay))
             rows = staged(on_time.unionByName(before.withColumn("fresh", F.lit(False))), "rows")
         else:
             rows = staged(fresh, "rows")
@@ -66,8 +65,7 @@ def alert_batch(
             ready = ready.join(last, KEYS, "left").filter(free).drop("last_ts")
         ready = staged(ready, "ready")
         alerts = _save(apply_cooldown(ready, KEYS, "ts", "id", "cooldown"), folder, "alerts", batch_id)
-        newest = rows.agg(F.max("ts").alias("newest"))
-        inside = rows.crossJoin(newest).filter(F.col("ts") >= F.col("newest") - F.col("w") - delay).drop("newest", "fresh")
+        inside = rows.filter(F.col("ts") >= rows.agg(F.max("ts")).scalar() - F.col("w") - delay).drop("fresh")
         _save(inside, folder, "window", batch_id)
         now_last = alerts.select(*KEYS, F.col("ts").alias("last_ts"))
         both = now_last if last is None else now_last.unionByName(last.select(*KEYS, "last_ts"))

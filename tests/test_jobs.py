@@ -84,11 +84,14 @@ def test_seeded_rules_and_two_runs_extend_one_incident(spark):
     rows = [(0, "AUTH-003 x", 5, "s1", {"server": "s1", "username": "bob"}), (10, "AUTH-003: y", 7, "s1", {"server": "s1", "username": "bob"}),
             (20, "AUTH-0035", 9, "s1", {"server": "s1", "username": "bob"}), (30, "AUTH-003", 9, "s1", {"server": "s1"})]
     al = alert_rows(spark, rows)
-    first, links = build_incidents(al, seeded_rules(), T0 + timedelta(minutes=5))
+    first, links, last = build_incidents(al, seeded_rules(), T0 + timedelta(minutes=5))
     (i,) = first.collect()
     assert (i["code"], i["primary_entity_key"], i["count"]) == ("INC-ACC-01", "bob", 2)
     assert sorted(r["alert_id"] for r in links.collect()) == [0, 1]
-    again, links = build_incidents(al, seeded_rules(), T0 + timedelta(minutes=6), existing=first.withColumn("id", F.lit(1)))
+    old = first.withColumn("id", F.lit(1))
+    quiet = build_incidents(al, seeded_rules(), T0 + timedelta(minutes=6), existing=old, last=last)
+    assert [r["count"] for r in quiet.incidents.collect()] == [2] and quiet.links.count() == 0 and quiet.last.count() == 1
+    again, links, _ = build_incidents(al, seeded_rules(), T0 + timedelta(minutes=6), existing=old)
     (j,) = again.collect()
     assert (j["count"], j["opened_us"], links.count()) == (4, i["opened_us"], 2)
 

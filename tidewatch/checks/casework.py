@@ -98,7 +98,7 @@ def _inc_rows(df):
 
 @check("r4_build_incidents", f"{TICKS}, {READY}, {INC} SELECT {INC_COLS}, alerts, alert_sum FROM inc")
 def r4(spark, sf):
-    inc, links = _built(spark, sf)
+    inc, links, _ = _built(spark, sf)
     key = ["code", "primary_entity_type", "primary_entity_key"]
     ids = links.groupBy(*key).agg(F.count(F.lit(1)).alias("alerts"), F.sum("alert_id").alias("alert_sum"))
     return _inc_rows(inc).join(ids, key, "left").select(*INC_COLS.split(", "), "alerts", "alert_sum")
@@ -131,7 +131,7 @@ EXISTING = f"""{base.WITH_ALERTS}, incidents AS ({base.INCIDENTS})"""
   SELECT * FROM merged UNION ALL SELECT code, primary_entity_type, primary_entity_key, status, severity_current, score, server, opened_us, last_us, count, max_severity FROM incidents
   WHERE status NOT IN ('open', 'triage', 'contained')""")
 def u3(spark, sf):
-    inc, _ = _built(spark, sf, base.incidents(spark, sf))
+    inc = _built(spark, sf, base.incidents(spark, sf)).incidents
     return _inc_rows(inc).select(*INC_COLS.split(", "), "status")
 
 

@@ -311,19 +311,16 @@ def p18(spark, sf):
 # ---------------------------------------------------------------- sources
 
 
-def _written(df: DataFrame, label: str) -> str:
+@check("s1_read_log_lines", f"""{WITH_SEC} SELECT server, row_number() OVER (PARTITION BY server ORDER BY event_id) AS line_no, event_id || ' ' || path AS raw FROM sec""")
+def s1(spark, sf):
+    """One folder per server; the given table is small enough for one file in each."""
     import uuid
 
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.text(path)
-    return path
-
-
-@check("s1_read_log_lines", f"""{WITH_SEC} SELECT row_number() OVER (ORDER BY event_id) AS line_no, event_id || ' ' || path AS raw FROM sec""")
-def s1(spark, sf):
-    one_file = sec_events(spark, sf).repartitionByRange(1, "event_id").sortWithinPartitions("event_id")
-    path = _written(one_file.select(F.expr("concat(event_id, ' ', path)").alias("value")), "lines")
-    return src.read_log_lines(spark, path, "srv", "x").select("line_no", "raw")
+    path = f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    text = sec_events(spark, sf).select("server", "event_id", F.expr("concat(event_id, ' ', path)").alias("value"))
+    text.sortWithinPartitions("server", "event_id").select("server", "value").write.partitionBy("server").text(path)
+    read = src.read_log_lines(spark, path, F.regexp_extract("_metadata.file_path", "server=([^/]+)", 1), "x")
+    return read.select("server", "line_no", "raw")
 
 
 @check("s3_resolve_log_type", f"""{WITH_SEC} SELECT tag, filename, CASE tag WHEN ' Apache' THEN 'apache_access' WHEN 'dovecot' THEN 'maillog' WHEN 'cpanel' THEN 'cpanel_access'

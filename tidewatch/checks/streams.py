@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.checks import base
-from tidewatch.checks.casework import BAND, DAY, PICKED
+from tidewatch.checks.casework import BAND, DAY, PICKED, READY, TICKS
 from tidewatch.checks.engine import AUTH, KEY, RULES, WITH_SEC, cooldown_cte, window_cte
 from tidewatch.checks.registry import check
 from tidewatch.operators.rules import TrustConfig
@@ -27,19 +27,20 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a stream of three parts in time order, one part per micro-batch."""
+def in_runs(df: DataFrame, name: str, start) -> None:
+    """Add the rows to a folder in three parts in time order, and run the streaming job after each: one batch per run."""
     path = _folder(df.sparkSession, name)
-    for i, part in enumerate([F.col("us") < CUTS[0], (F.col("us") >= CUTS[0]) & (F.col("us") < CUTS[1]), F.col("us") >= CUTS[1]]):
-        df.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    us = F.col("us")
+    for part in (us < CUTS[0], (us >= CUTS[0]) & (us < CUTS[1]), us >= CUTS[1]):
+        df.filter(part).write.mode("append").parquet(path)
+        start(df.sparkSession.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @check("t1_stream_alerts", f"""{WITH_SEC}, {window_cte('m')}, c AS (SELECT * FROM m WHERE fail_count >= 2 AND unique_paths >= 2), {cooldown_cte('f', 'c', 172800_000_000)}
   SELECT c.gk AS group_key, c.us, c.event_id, n, fail_count, unique_paths FROM c JOIN f ON c.gk = f.gk AND c.us = f.us""")
 def t1(spark, sf):
     folder = _folder(spark, "alerts")
-    jobs.stream_alerts(as_stream(base.events(spark, sf), "events"), RULES[:1], TrustConfig(), folder).awaitTermination()
+    in_runs(base.events(spark, sf), "events", lambda stream: jobs.stream_alerts(stream, RULES[:1], TrustConfig(), folder))
     out = spark.read.parquet(f"{folder}/alerts")
     return out.select("group_key", F.col("ts").alias("us"), F.col("id").alias("event_id"), F.col("count").alias("n"), "fail_count", "unique_paths")
 
@@ -50,9 +51,9 @@ def t2(spark, sf):
     from dataclasses import replace
 
     folder = _folder(spark, "order")
-    backwards = base.events(spark, sf).repartitionByRange(1, F.desc("us")).sortWithinPartitions(F.desc("us"))
+    backwards = base.events(spark, sf).orderBy(F.desc("us"))
     rule = replace(RULES[0], window_seconds=3600, condition="count >= 2", cooldown_seconds=0)
-    jobs.stream_alerts(as_stream(backwards, "events"), [rule], TrustConfig(), folder).awaitTermination()
+    in_runs(backwards, "events", lambda stream: jobs.stream_alerts(stream, [rule], TrustConfig(), folder))
     return spark.read.parquet(f"{folder}/alerts").select(F.col("id").alias("event_id"), "group_key", F.col("count").alias("n"))
 
 
@@ -60,23 +61,30 @@ def t2(spark, sf):
   count_if(rule_name = 'WEB-001 scan') AS bots, count_if(rule_name = 'WEB-003 exploit') AS exploits, count_if(starts_with(rule_name, 'MAIL-')) AS mail, count_if(starts_with(rule_name, 'AUTH-005')) AS panel
   FROM alerts GROUP BY ALL""")
 def t3(spark, sf):
-    name = f"activity_{uuid.uuid4().hex}"
-    stream = jobs.stream_activity(as_stream(base.alerts(spark, sf), "alerts"))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option(
-        "checkpointLocation", _folder(spark, "activity")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    name, checkpoint = f"activity_{uuid.uuid4().hex}", _folder(spark, "activity")
+
+    def start(stream):
+        out = jobs.stream_activity(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+        return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    in_runs(base.alerts(spark, sf), "alerts", start)
     return spark.table(name).select(F.col("day").cast("string").alias("day"), "total", "bruteforce", "bots", "exploits", "mail", "panel")
 
 
-@check("t4_stream_incidents")
+LAST_OF_RUN = "(SELECT max(us) AS tick FROM alerts GROUP BY us < {0}, us < {1})".format(*CUTS)
+T4_TICKS = TICKS.split(", ticks AS")[0] + f", ticks AS {LAST_OF_RUN}, totals AS" + TICKS.split("totals AS")[1]
+T4_FIRED = READY.split(", f_n AS")[0] + ", fired AS (SELECT * FROM ready WHERE rule_id < 15)"
+
+
+@check("t4_stream_incidents", f"""{T4_TICKS}, {T4_FIRED} SELECT code, kind AS primary_entity_type, pv AS primary_entity_key, min(first_us) AS opened_us, max(last_us) AS last_us,
+  sum(n)::BIGINT AS count FROM fired GROUP BY ALL""")
 def t4(spark, sf):
     folder = _folder(spark, "incidents")
 
     def tick(alerts):
         return alerts.agg(F.max("triggered_at")).first()[0].replace(tzinfo=timezone.utc)
 
-    stream = as_stream(base.alerts(spark, sf), "alerts")
-    jobs.stream_incidents(stream, seeded_rules(), folder, tick).awaitTermination()
+    in_runs(base.alerts(spark, sf), "alerts", lambda stream: jobs.stream_incidents(stream, seeded_rules(), folder, tick))
     return spark.read.parquet(f"{folder}/incidents/batch=2").select("code", "primary_entity_type", "primary_entity_key", "opened_us", "last_us", "count")
 
 
@@ -84,7 +92,7 @@ def t4(spark, sf):
   SELECT entity_type, entity_key, least(100, points)::BIGINT AS score, {BAND.format('least(100, points)')} AS severity, last_us FROM r""")
 def t5(spark, sf):
     folder = _folder(spark, "entities")
-    jobs.stream_entities(as_stream(base.alerts(spark, sf), "alerts"), folder, lambda: NOW).awaitTermination()
+    in_runs(base.alerts(spark, sf), "alerts", lambda stream: jobs.stream_entities(stream, folder, lambda: NOW))
     return spark.read.parquet(f"{folder}/entities/batch=2").select(
         "entity_type", "entity_key", F.col("score_current").cast("bigint").alias("score"), "severity", F.col("last_seen_us").alias("last_us"))
 

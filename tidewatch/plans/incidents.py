@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,9 +196,13 @@ def incident_metrics(hits: DataFrame, rules: list[IncidentRule], start: datetime
 
 
 def incident_firings(
-    alerts: DataFrame, rules: list[IncidentRule], start: datetime, end: datetime | None = None, step_seconds: int = 300
+    alerts: DataFrame, rules: list[IncidentRule], start: datetime, end: datetime | None = None, step_seconds: int = 300,
+    last: DataFrame | None = None,
 ) -> DataFrame:
-    """Ticks at which a rule fires for a group: condition true, primary entity known, not in cooldown."""
+    """Ticks at which a rule fires for a group: condition true, primary entity known, not in cooldown.
+
+    `last` (rule_id, group_key, fired_ts) are the last firings of earlier runs.
+    """
     rules = [r for r in rules if r.enabled and not condition_error(r.condition, INCIDENT_CONDITION_NAMES)]
     totals = incident_metrics(alerts_to_rules(alerts, rules), rules, start, end or start, step_seconds).withColumn(
         "window_seconds", _by_rule(rules, lambda r: r.window_seconds)
@@ -208,6 +213,9 @@ def incident_firings(
     ready = totals.filter(holds & truthy(F.col("primary") != "")).withColumn(
         "cooldown", _by_rule(rules, lambda r: r.cooldown_seconds * 1_000_000).cast("bigint")
     )
+    if last is not None:
+        free = F.col("fired_ts").isNull() | (F.col("tick_ts") >= F.col("fired_ts") + F.col("cooldown"))
+        ready = ready.join(last.select(*KEYS, "fired_ts"), KEYS, "left").filter(free).drop("fired_ts")
     return apply_cooldown(staged(ready, "ready"), KEYS, "tick_ts", "tick_ts", "cooldown").drop("cooldown")
 
 
@@ -312,6 +320,12 @@ def new_links_only(links: DataFrame, existing: DataFrame, on: list[str]) -> Data
     return existing.unionByName(links.join(existing, on, "left_anti"))
 
 
+class IncidentRun(NamedTuple):
+    incidents: DataFrame
+    links: DataFrame
+    last: DataFrame
+
+
 def build_incidents(
     alerts: DataFrame,
     rules: list[IncidentRule],
@@ -319,12 +333,18 @@ def build_incidents(
     end: datetime | None = None,
     step_seconds: int = 300,
     existing: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(incidents, links) of a run at `start`, or of a backfill with ticks from `start` to `end`."""
+    last: DataFrame | None = None,
+) -> IncidentRun:
+    """Incidents, alert links and last firings of a run at `start`, or of a backfill with ticks from `start` to `end`.
+
+    `existing` and `last` carry the result of earlier runs.
+    """
     rules = [r for r in rules if r.enabled]
-    firings = staged(incident_firings(alerts, rules, start, end, step_seconds), "firings")
-    links = incident_links(firings, alerts, rules)
-    return upsert_incidents(firings, rules, existing), links
+    firings = staged(incident_firings(alerts, rules, start, end, step_seconds, last), "firings")
+    latest = firings.groupBy(*KEYS).agg(F.max("tick_ts").alias("fired_ts"))
+    if last is not None:
+        latest = latest.unionByName(last.select(*KEYS, "fired_ts")).groupBy(*KEYS).agg(F.max("fired_ts").alias("fired_ts"))
+    return IncidentRun(upsert_incidents(firings, rules, existing), incident_links(firings, alerts, rules), latest)
 
 
 def link_incident_entities(incidents: DataFrame, entities: DataFrame) -> DataFrame:

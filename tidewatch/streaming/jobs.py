@@ -104,11 +104,16 @@ def incident_batch(rules: list[IncidentRule], folder: str, tick: Callable[[DataF
         before = _saved(spark, folder, "alerts", batch_id)
         alerts = staged(batch if before is None else batch.unionByName(before), "alerts")
         now = tick(alerts)
-        incidents, _ = build_incidents(alerts, rules, now, existing=_saved(spark, folder, "incidents", batch_id))
+        run = build_incidents(
+            alerts, rules, now, existing=_saved(spark, folder, "incidents", batch_id), last=_saved(spark, folder, "last_firing", batch_id)
+        )
+        incidents = run.incidents
         if "id" not in incidents.columns:
             incidents = incidents.withColumn("id", F.lit(None).cast("string"))
         key = F.sha2(F.concat_ws("|", "code", "primary_entity_type", "primary_entity_key", F.col("opened_us").cast("string")), 256)
         _save(incidents.withColumn("id", F.coalesce("id", key)), folder, "incidents", batch_id)
+        _save(run.links, folder, "links", batch_id)
+        _save(run.last, folder, "last_firing", batch_id)
         _save(alerts.filter(F.col("triggered_at") >= F.lit(now) - F.make_interval(secs=F.lit(longest))), folder, "alerts", batch_id)
 
     return step

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["url_templates", "line_rules", "token_files", "packing", "mixing"]
+AREAS = ["url_templates", "language", "line_rules", "token_files", "packing", "mixing"]
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

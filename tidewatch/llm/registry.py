@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["url_templates", "language", "trie_lm", "line_rules", "token_files", "packing", "hnsw", "mixing"]
+AREAS = ["url_templates", "language", "trie_lm", "line_rules", "token_files", "quality", "packing", "hnsw", "mixing"]
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

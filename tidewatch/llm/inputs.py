@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.staging import shared_root, staged
 
-__all__ = ["column_or_null", "filesystem", "fold", "new_folder", "staged", "table"]
+__all__ = ["column_or_null", "filesystem", "fold", "new_folder", "staged", "table", "whole_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that whatever their names are they meet no other; `select("whole.*")` has them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

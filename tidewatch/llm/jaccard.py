@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.inputs import staged, table
+from tidewatch.llm.inputs import staged, table, whole_row
 from tidewatch.llm.text import fingerprints, groups, mix64, pieces, spans, utf8
 
 RUN = 5
@@ -291,11 +291,11 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group, and all without a word."""
     found = staged(similar(docs), "jaccard-found")
-    heads = found.filter("is_head AND has_words").select(F.col("doc_id").alias("_of_doc"), F.col("print").alias("_of_print"))
-    printed = docs.withColumn("_print", F.xxhash64(F.col("text").cast("string")))
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = printed.filter(worded).join(heads, (F.col("_print") == F.col("_of_print")) & F.col("doc_id").eqNullSafe(F.col("_of_doc")), "left_semi")
-    return stay.dropDuplicates(["_print", "doc_id"]).union(printed.filter(~worded)).select(*docs.columns)
+    heads = found.filter("is_head AND has_words").select(F.col("doc_id").alias("of_doc"), F.col("print").alias("of_print"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded")
+    rows = docs.select(whole_row(docs), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("print"), worded)
+    stay = rows.filter("worded").join(heads, (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_semi")
+    return stay.dropDuplicates(["print", "doc_id"]).union(rows.filter("NOT worded")).select("whole.*")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

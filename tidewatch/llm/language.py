@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewatch.llm.inputs import fold, staged, table
+from tidewatch.llm.inputs import column_or_null, fold, staged, table, whole_row
 from tidewatch.llm.text import pieces
 
 UNKNOWN = "und"
@@ -156,10 +156,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, names: list[str])
         yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
 
 
-def predict(rows: DataFrame, model: Model, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """Adds the predicted language and its score to rows with a text; columns that have these names are replaced."""
-    rows = rows.drop(lang_as, score_as).withColumn("text", F.col("text").cast("string"))
-    schema = StructType([*rows.schema.fields, StructField(lang_as, StringType()), StructField(score_as, DoubleType())])
+def predict(rows: DataFrame, model: Model) -> DataFrame:
+    """Adds lang_pred and score to rows with a text; columns that have these names are replaced."""
+    rows = rows.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(lambda b: _predict(b, model, schema.names), schema)
 
 
@@ -172,8 +172,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose text is in one of the learned languages, with their own columns."""
-    found = predict(docs, fit(docs), "_lang_found", "_lang_score")
-    return found.filter((F.col("_lang_found") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*docs.columns)
+    model = fit(docs.select("doc_id", "text", column_or_null(docs, "lang", "string").alias("lang")))
+    found = predict(docs.select(whole_row(docs), "text"), model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("whole.*")
 
 
 QUERIES = {"op2_language": op2_language}

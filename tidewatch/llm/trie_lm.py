@@ -37,10 +37,10 @@ ADDED = 0.1
 #: Weight of the shorter context against the counts of a context of one and of two words.
 MU = (20.0, 5.0)
 #: Words of training text for each shard of the n-grams, and of the words.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 #: Tokens that a task counts before it sends them on.
-STRETCH_TOKENS = 3_000_000
-SCORE_BYTES = 8 << 20
+STRETCH_TOKENS = 1_500_000
+SCORE_BYTES = 4 << 20
 END = np.uint64(0x243F6A8885A308D3)
 U = np.uint64
 

@@ -196,7 +196,7 @@ PANEL_LINE = f"""concat('10.0.0.1 - ', CASE WHEN k % 9 = 0 THEN '-' ELSE usernam
   CASE WHEN k % 4 = 0 THEN 'upload_files' END AS file_action, CASE WHEN k % 4 = 0 THEN '/home/' || username END AS dir,
   CASE k % 4 WHEN 0 THEN '/cpsess1/execute/Fileman/upload_files' WHEN 1 THEN '/login/' WHEN 2 THEN '/json-api/cpanel' ELSE '/frontend/x/index.html' END AS path,
   CASE WHEN k % 4 = 2 THEN 'email' END AS module, CASE WHEN k % 4 = 2 THEN 'listpops' END AS func,
-  CASE WHEN k % 4 = 0 THEN '1,2,3' ELSE '' END AS a_values, k AS bytes FROM sec""")
+  CASE WHEN k % 4 = 0 THEN '1,2,3,4' ELSE '' END AS a_values, k AS bytes FROM sec""")
 def p11(spark, sf):
     ev = host.parse_panel_access(lines(spark, sf, PANEL_LINE), NOW)
     return flat(ev, ip="ip_client", username="username", event_type="extra.event_type", area="extra.panel.area", action="extra.panel.action",

@@ -7,52 +7,57 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import truthy
 from tidewatch.functions.times import to_utc
-from tidewatch.parsers.capture import extract, found, group, pinned, with_captures
+from tidewatch.parsers.capture import pinned
+from tidewatch.functions.cut import (
+    after, at, before, between, contains_any, is_digits, is_ipv4, next_to, quoted, stamped, syslog, syslog_process, syslog_time, text_or_null, word_with, words,
+)
 from tidewatch.schemas import make_events
 
-SYSLOG_TIME = r"(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
-SSH = (
-    rf"^{SYSLOG_TIME}\s+\S+\s+sshd\[\d+\]: "
-    r"(?:Failed password for (?:invalid user )?(\S+)|Accepted (\S+) for (\S+)) from (\d+\.\d+\.\d+\.\d+) port (\d+)"
-)
-SYSLOG = rf"^{SYSLOG_TIME}\s+\S+\s+([\w\-/]+)(?:\[\d+\])?:\s+(.*)"
 # Fixed value: prefix of debug chatter that is kept but flagged as noise.
 DEBUG_PREFIX = "auth-worker: debug: imunify360:"
-PANEL_LOGIN = r'(\d+\.\d+\.\d+\.\d+)\s+-\s+(\S+)\s+\[([^\]]+)\].*"Login\s+(ok|failed).*"'
-FILE_ACTION = (
-    r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+user=(\S+)\s+ip=(\d+\.\d+\.\d+\.\d+)\s+"
-    r"action=(\S+)\s+path=(\S+)(?:\s+size=(\d+))?(?:\s+mode=(\d+))?"
-)
-PANEL_ACCESS = (
-    r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)(?:\s+HTTP/[\d.]+)?"\s+(\d{3})(?:\s+(\S+))?.*$'
-)
-IP_TEXT = r"^(?:\d{1,3}\.){3}\d{1,3}$|^[0-9a-fA-F:]+$"
+
+
+def _syslog_lines(lines: DataFrame, process: str | None = None) -> DataFrame:
+    """Lines with `t`, the words of a system log line; with a process name, that process's lines only."""
+    wanted = lines if process is None else lines.filter(F.col("raw").contains(f" {process}["))
+    m = pinned(wanted, "t", syslog(F.col("raw"))).filter("t IS NOT NULL")
+    return m if process is None else m.filter(syslog_process(F.col("t")) == process)
 
 
 def parse_ssh(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
-    m = with_captures(lines, "m", SSH, 6).filter(found("m"))
-    ok = group("m", 3).isNotNull()
+    """Accepted and failed SSH logins: the user stands before the last `from`, address and port behind it."""
+    m = _syslog_lines(lines, "sshd")
+    msg = F.get("t", F.lit(5))
+    w = words(msg)
+    place = F.size(w) - F.array_position(F.reverse(w), "from")  # of the last one, from 0
+    fields = F.struct(
+        (at(w, 0) == "Accepted").alias("ok"), F.when(at(w, 0) == "Accepted", at(w, 1)).alias("method"), at(w, place - 1).alias("user"),
+        at(w, place + 1).alias("ip"), (at(w, place + 2) == "port").alias("has_port"), at(w, place + 3).alias("port"),
+    )
+    login = (msg.startswith("Failed password for ") | (msg.startswith("Accepted ") & (at(w, 2) == "for"))) & F.array_contains(w, "from")
+    m = pinned(m.filter(login), "f", fields).filter("f.has_port AND f.user IS NOT NULL").filter(is_ipv4(F.col("f.ip")) & is_digits(F.col("f.port")))
+    ok = F.col("f.ok")
     return make_events(
-        m, source="SSH_SECURE", service="SSH", ts=to_utc(group("m", 1), ref_now, lenient), ip=group("m", 5),
-        username=F.coalesce(group("m", 2), group("m", 4)),
+        m, source="SSH_SECURE", service="SSH", ts=to_utc(syslog_time(F.col("t")), ref_now, lenient), ip=F.col("f.ip"), username=F.col("f.user"),
         message=F.when(ok, "SSH AUTH OK").otherwise("SSH AUTH FAIL"),
         extra={
             "event_type": "auth_login", "protocol": "ssh", "action": F.when(ok, "success").otherwise("fail"),
-            "port": group("m", 6), "auth_method": group("m", 3), "auth_success": ok,
+            "port": F.col("f.port"), "auth_method": F.col("f.method"), "auth_success": ok,
         },
     )
 
 
 def parse_syslog(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
-    m = with_captures(lines, "m", SYSLOG, 3).filter(found("m"))
-    proc, msg = F.lower(group("m", 2)), F.coalesce(group("m", 3), F.lit(""))
+    m = _syslog_lines(lines)
+    m = m.withColumn("proc", F.lower(syslog_process(F.col("t")))).withColumn("msg", F.trim(F.get("t", F.lit(5)))).filter("proc <> ''")
+    proc, msg = F.col("proc"), F.col("msg")
     debug = F.lower(msg).startswith(DEBUG_PREFIX)
     service = (
         F.when(proc.contains("httpd") | proc.contains("apache"), "HTTP")
         .when(proc.contains("exim"), "SMTP").when(proc.contains("sshd"), "SSH").otherwise("SYSTEM")
     )
     return make_events(
-        m, source="SYSTEM", service=service, ts=to_utc(group("m", 1), ref_now, lenient), message=msg,
+        m, source="SYSTEM", service=service, ts=to_utc(syslog_time(F.col("t")), ref_now, lenient), message=msg,
         extra={
             "event_type": "system_log", "process": proc,
             "noise": F.when(debug, F.lit(True)), "kind": F.when(debug, "imunify_debug"),
@@ -61,26 +66,39 @@ def parse_syslog(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataF
 
 
 def parse_panel_login(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
-    m = with_captures(lines, "m", PANEL_LOGIN, 4, flags="i").filter(found("m"))
-    ok = F.lower(group("m", 4)) == "ok"
+    """Panel log lines that quote a login with its outcome."""
+    m = pinned(lines.filter(F.lower("raw").contains('"login')), "q", quoted(F.col("raw")))
+    said = F.get(F.filter(F.transform("q", lambda x: words(F.lower(x), 3)), lambda x: (at(x, 0) == "login") & (at(x, 1).startswith("ok") | at(x, 1).startswith("failed"))), F.lit(0))
+    head = F.get("q", F.lit(0))
+    client = words(before(head, "["))
+    m = pinned(m, "f", F.struct(
+        at(client, F.size(client) - 3).alias("ip"), at(client, F.size(client) - 1).alias("user"), between(head, "[", "]").alias("time"), at(said, 1).startswith("ok").alias("ok"),
+    )).filter("f.ok IS NOT NULL AND f.time IS NOT NULL AND f.user IS NOT NULL").filter(is_ipv4(F.col("f.ip")))
+    ok = F.col("f.ok")
     return make_events(
-        m, source="PANEL_LOGIN", service="PANEL", ts=to_utc(group("m", 3), ref_now, lenient), ip=group("m", 1),
-        username=group("m", 2), message=F.when(ok, "PANEL LOGIN OK").otherwise("PANEL LOGIN FAIL"),
+        m, source="PANEL_LOGIN", service="PANEL", ts=to_utc(F.col("f.time"), ref_now, lenient), ip=F.col("f.ip"),
+        username=F.col("f.user"), message=F.when(ok, "PANEL LOGIN OK").otherwise("PANEL LOGIN FAIL"),
         extra={
             "event_type": "auth_login", "protocol": "cpanel", "action": F.when(ok, "success").otherwise("fail"),
-            "panel_user": group("m", 2),
+            "panel_user": F.col("f.user"),
         },
     )
 
 
 def parse_file_action(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
-    m = with_captures(lines, "m", FILE_ACTION, 7).filter(found("m"))
+    """File manager lines: a time and key=value words."""
+    raw = F.trim("raw")
+    w = words(raw)
+    fields = F.struct(stamped(raw).alias("time"), *[word_with(w, f"{k}=").alias(k) for k in ("user", "ip", "action", "path", "size", "mode")])
+    m = pinned(lines.filter(F.col("raw").contains(" action=")), "f", fields)
+    m = m.filter("f.time IS NOT NULL AND f.user IS NOT NULL AND f.action IS NOT NULL AND f.path IS NOT NULL").filter(is_ipv4(F.col("f.ip")))
+    number = lambda k: F.when(is_digits(F.col(f"f.{k}")), F.col(f"f.{k}"))
     return make_events(
-        m, source="FILEMANAGER", service="SYSTEM", ts=to_utc(group("m", 1), ref_now, lenient), ip=group("m", 3),
-        username=group("m", 2), message=F.concat_ws(" ", F.lit("FILE"), group("m", 4), group("m", 5)),
+        m, source="FILEMANAGER", service="SYSTEM", ts=to_utc(F.col("f.time"), ref_now, lenient), ip=F.col("f.ip"),
+        username=F.col("f.user"), message=F.concat_ws(" ", F.lit("FILE"), "f.action", "f.path"),
         extra={
             "event_type": "file_action",
-            "file": {"action": group("m", 4), "path": group("m", 5), "size": group("m", 6), "mode": group("m", 7)},
+            "file": {"action": F.col("f.action"), "path": F.col("f.path"), "size": number("size"), "mode": number("mode")},
         },
     )
 
@@ -108,32 +126,42 @@ def _first(pairs: Column, key: str) -> Column:
     return _decoded(F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"])
 
 
-def _query_map(pairs: Column) -> Column:
+def _query_map(pairs: Column, limit: int | None) -> Column:
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(
-        keys, lambda k: F.slice(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), 1, 3)
-    )
-    return F.map_from_arrays(keys, values)
+    of = lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: of(k) if limit is None else F.slice(of(k), 1, limit)))
+
 
+def _address(text: Column) -> Column:
+    """The text if it looks like an address of either kind, else null."""
+    six = text.contains(":") & (F.translate(F.lower(text), "0123456789abcdef:", "") == "")
+    return F.when(is_ipv4(text) | six, text)
 
-def parse_panel_access(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
-    """Hosting panel access log: area, action and outcome of every request."""
-    m = with_captures(lines.withColumn("raw_trim", F.trim("raw")), "m", PANEL_ACCESS, 8, on="raw_trim").filter(found("m"))
-    forwarded = extract(F.col("raw"), r"X-Forwarded-For:\s*([0-9a-fA-F.:]+)")
-    ip = F.coalesce(F.when(forwarded.rlike(IP_TEXT), forwarded), F.when(group("m", 1).rlike(IP_TEXT), group("m", 1)))
-    url = group("m", 6)
-    path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"[?#;].*$", "")
-    m = pinned(m, "ip", ip).filter(F.col("ip").isNotNull()).withColumn("url", url)
+
+def parse_panel_access(lines: DataFrame, ref_now=None, lenient: bool = False, values_per_key: int | None = None) -> DataFrame:
+    """Hosting panel access log: area, action and outcome of every request (all values of a query key, or the first few)."""
+    m = pinned(lines, "q", quoted(F.trim("raw"))).filter("size(q) >= 3")
+    head, request, answer = F.get("q", F.lit(0)), words(F.get("q", F.lit(1))), words(F.get("q", F.lit(2)))
+    client = words(before(head, "["))
+    m = pinned(m, "f", F.struct(
+        at(client, 0).alias("client"), F.when(F.size(client) == 3, at(client, 2)).alias("user"), between(head, "[", "]").alias("time"),
+        at(request, 0).alias("method"), at(request, 1).alias("url"), at(answer, 0).alias("status"), at(answer, 1).alias("size"),
+        at(F.split(F.ltrim(after(F.col("raw"), "X-Forwarded-For:")), r'[\s",]+'), 0).alias("forwarded"),
+    )).filter("f.user IS NOT NULL AND f.time IS NOT NULL AND f.url IS NOT NULL AND f.method = upper(f.method) AND length(f.status) = 3").filter(is_digits(F.col("f.status")))
+    ip = F.coalesce(_address(F.col("f.forwarded")), _address(F.col("f.client")))
+    m = pinned(m, "ip", ip).filter(F.col("ip").isNotNull()).withColumn("url", F.col("f.url"))
+    # the path of an address with or without scheme and host
+    local = F.when(F.col("url").contains("://"), F.concat(F.lit("/"), F.coalesce(after(after(F.col("url"), "://"), "/"), F.lit("")))).otherwise(F.col("url"))
+    path = before(before(before(local, "?"), "#"), ";")
     m = m.withColumn("path", F.coalesce(F.nullif(path, F.lit("")), F.col("url")))
-    m = m.withColumn("pairs", query_values(F.regexp_extract("url", r"\?([^#]*)", 1)))
+    m = m.withColumn("pairs", query_values(F.coalesce(before(after(F.col("url"), "?"), "#"), F.lit(""))))
     low, pairs = F.lower("path"), F.col("pairs")
     m = m.withColumn("module", F.nullif(F.lower(_first(pairs, "cpanel_jsonapi_module")), F.lit("")))
     m = m.withColumn("func", F.nullif(F.lower(_first(pairs, "cpanel_jsonapi_func")), F.lit("")))
-    m = m.withColumn("exec_func", F.lower(extract(F.col("path"), r"(?i)/execute/Fileman/([A-Za-z0-9_]+)")))
+    m = m.withColumn("exec_func", text_or_null(before(after(F.lower("path"), "/execute/fileman/"), "/")))
     login_only = F.exists(pairs, lambda p: p["k"] == "login_only")
     files = (
         truthy(F.col("module") == "fileman") | F.col("exec_func").isNotNull()
-        | F.col("path").rlike(r"(?i)/frontend/[^/]+/filemanager/")
         | low.contains("/fileman") | low.contains("/filemanager")
     )
     api = low.contains("/json-api/") | low.contains("/execute/") | F.col("path").contains("cpanel_jsonapi")
@@ -145,30 +173,30 @@ def parse_panel_access(lines: DataFrame, ref_now=None, lenient: bool = False) ->
     )
     is_file = F.col("action") == "file_action"
     m = m.withColumn("file_func", F.when(is_file, F.coalesce("exec_func", "func", F.lit("api"))))
-    status = group("m", 7).cast("int")
+    status = F.col("f.status").cast("int")
     outcome = F.when(status.isin(401, 403), "failed").when(
         status.between(200, 299) & (login | low.contains("/json-api/") | low.contains("/execute/")), "ok"
     )
-    user = F.when(~F.lower(group("m", 3)).isin("-", "(null)", "null"), group("m", 3))
+    user = F.when(~F.lower("f.user").isin("-", "(null)", "null"), F.col("f.user"))
     message = F.concat_ws(
         " · ",
         F.concat(F.lit("CPANEL "), F.upper("area")), F.upper("action"),
-        F.concat_ws(" ", group("m", 5), F.col("path")),
-        F.concat(F.lit("HTTP "), group("m", 7)),
+        F.concat_ws(" ", "f.method", "path"),
+        F.concat(F.lit("HTTP "), "f.status"),
         F.concat(F.lit("file_func="), F.col("file_func")),
         F.concat(F.lit("module="), F.col("module")),
         F.concat(F.lit("func="), F.col("func")),
     )
     return make_events(
-        m, source="PANEL_ACCESS", service="PANEL", ts=to_utc(group("m", 4), ref_now, lenient), ip=F.col("ip"),
+        m, source="PANEL_ACCESS", service="PANEL", ts=to_utc(F.col("f.time"), ref_now, lenient), ip=F.col("ip"),
         username=user, message=message,
         extra={
             "event_type": F.when(is_file, "file_action").otherwise("panel_access"),
             "panel": {
-                "area": F.col("area"), "action": F.col("action"), "status": outcome, "http_method": group("m", 5),
+                "area": F.col("area"), "action": F.col("action"), "status": outcome, "http_method": F.col("f.method"),
                 "path": F.col("path"), "url": F.col("url"), "status_code": status,
-                "bytes": group("m", 8).try_cast("bigint"), "cpanel_user": user,
-                "cpanel_module": F.col("module"), "cpanel_func": F.col("func"), "query": _query_map(pairs),
+                "bytes": F.col("f.size").try_cast("bigint"), "cpanel_user": user,
+                "cpanel_module": F.col("module"), "cpanel_func": F.col("func"), "query": _query_map(pairs, values_per_key),
             },
             "file": (is_file, {"action": F.col("file_func"), "dir": F.nullif(F.trim(_first(pairs, "dir")), F.lit(""))}),
         },
@@ -177,13 +205,6 @@ def parse_panel_access(lines: DataFrame, ref_now=None, lenient: bool = False) ->
 
 # ---------------------------------------------------------------- firewall
 
-FIREWALL = rf"^{SYSLOG_TIME}\s+(\S+)\s+lfd\[\d+\]:\s+(?:(\([^)]+\))\s+)?(.*)$"
-IPV4 = r"(\d+\.\d+\.\d+\.\d+)"
-FIREWALL_IP = [
-    rf"(?i)\b(?:from|with\s+IP:|IP)\s*{IPV4}\b",
-    rf"(?i)\bv\d+\s+{IPV4}\b",
-    rf"(?i)\b{IPV4}\b(?=.*\b-?\s*ignored\b)",
-]
 # Message fragments (all of one line must occur) and the reason they stand for, in order.
 REASONS = [
     (["smtp brute force"], "smtp_bruteforce"),
@@ -202,30 +223,39 @@ REASONS = [
 ]
 
 
-def _contains(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+def _named_address(w: Column, low: Column) -> Column:
+    """The address that a message names: behind `from`, `IP` or a version word, or the first of a message about an ignored one."""
+    clean = F.transform(w, lambda x: F.rtrim(x, F.lit(".:;")))
+    pairs = F.transform(clean, lambda x, i: F.struct(x.alias("text"), F.lower(F.get(clean, i - 1)).alias("lead")))
+    addresses = F.filter(pairs, lambda p: is_ipv4(p["text"]))
+    version = lambda p: p["lead"].startswith("v") & is_digits(p["lead"].substr(F.lit(2), F.length(p["lead"])))
+    led = F.filter(addresses, lambda p: truthy(p["lead"].isin("from", "ip")))
+    named = F.filter(addresses, lambda p: truthy(version(p)))
+    return F.coalesce(F.get(led, F.lit(0))["text"], F.get(named, F.lit(0))["text"], F.when(low.contains("ignored"), F.get(addresses, F.lit(0))["text"]))
 
 
 def parse_firewall(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
     """Login-failure daemon lines; those without an address are dropped."""
-    m = with_captures(lines, "m", FIREWALL, 4).filter(found("m"))
-    m = m.withColumn("msg", F.coalesce(group("m", 4), F.lit("")))
+    m = _syslog_lines(lines, "lfd")
+    rest = F.trim(F.get("t", F.lit(5)))
+    opens = rest.startswith("(") & rest.contains(")")
+    m = m.withColumn("trigger", F.when(opens, between(rest, "(", ")"))).withColumn("msg", F.when(opens, F.trim(after(rest, ")"))).otherwise(rest))
     msg, low = F.col("msg"), F.lower("msg")
-    m = pinned(m, "ip", F.coalesce(*[extract(msg, p) for p in FIREWALL_IP])).filter(F.col("ip").isNotNull())
-    m = m.withColumn("trigger", F.nullif(F.trim(F.regexp_replace(F.coalesce(group("m", 3), F.lit("")), r"^\(|\)$", "")), F.lit("")))
-    action = F.when(msg.rlike(r"(?i)\*blocked\b|\bblocked\b|\bcsf\b"), "blocked").when(msg.rlike(r"(?i)\bignored\b"), "ignored").otherwise("info")
-    m = m.withColumn("action", action)
-    listed = F.split(F.regexp_extract(msg, r"(?i)\bports?\s*[:=]\s*([\d,\s]+)\b", 1), ",")
-    ports = F.array_distinct(F.filter(
-        F.transform(
-            F.concat(F.regexp_extract_all(msg, F.lit(r"(?i)\bport=(\d+)\b"), F.lit(1)), listed),
-            lambda p: F.trim(p).try_cast("int"),
-        ),
-        lambda p: p.isNotNull(),
-    ))
+    m = pinned(m, "w", F.split(msg, r"[\s,()]+"))
+    m = pinned(m, "ip", _named_address(F.col("w"), low)).filter(F.col("ip").isNotNull())
+    m = pinned(m, "plain", F.split(low, "[^a-z0-9_]+"))
+    plain = F.col("plain")
+    said = lambda word: F.array_contains(plain, word)
+    m = m.withColumn("action", F.when(said("blocked") | said("csf"), "blocked").when(said("ignored"), "ignored").otherwise("info"))
+    # `port=22` words, and the numbers that stand behind `port:` or `ports:`
+    single = F.transform(F.filter("w", lambda x: F.lower(x).startswith("port=")), lambda x: x.substr(F.lit(6), F.length(x)))
+    lead = F.transform("w", lambda x: F.lower(x))
+    place = F.greatest(*[F.coalesce(F.array_position(lead, x), F.lit(0)) for x in ("port:", "ports:", "ports=", "port", "ports")])
+    tail = F.slice("w", place.cast("int") + 1, F.size("w"))
+    run = F.aggregate(tail, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("got")), lambda acc, x: F.struct(
+        (acc["on"] & is_digits(x)).alias("on"), F.when(acc["on"] & is_digits(x), F.concat(acc["got"], F.array(x))).otherwise(acc["got"]).alias("got")))["got"]
+    listed = F.when(place > 0, run).otherwise(F.array().cast("array<string>"))
+    ports = F.array_distinct(F.filter(F.transform(F.concat(single, listed), lambda p: p.try_cast("int")), lambda p: p.isNotNull()))
     m = m.withColumn("ports", F.when(F.size(ports) > 0, ports))
     token = F.regexp_replace(F.regexp_replace(F.lower("trigger"), r"[\s\-]+", "_"), r"[^a-z0-9_.]+", "")
     by_message = F.lit("lfd_event")
@@ -237,20 +267,22 @@ def parse_firewall(lines: DataFrame, ref_now=None, lenient: bool = False) -> Dat
     reason = F.when(F.col("trigger").isNotNull(), F.coalesce(F.nullif(token, F.lit("")), F.lit("lfd_event"))).otherwise(by_message)
     service = (
         F.when(truthy(F.lower("trigger").contains("ssh")) | low.contains("sshd"), "SSH")
-        .when(_contains(low, ["smtp", "helo", "mail"]), "SMTP")
-        .when(_contains(low, ["xmlrpc", "http", "robots.txt", "wlwmanifest", "add-to-cart"]), "HTTP")
+        .when(contains_any(low, ["smtp", "helo", "mail"]), "SMTP")
+        .when(contains_any(low, ["xmlrpc", "http", "robots.txt", "wlwmanifest", "add-to-cart"]), "HTTP")
         .otherwise("SYSTEM")
     )
-    rate = r"(?i):\s*(\d+)\s+in\s+the\s+last\s+(\d+)\s+secs\b"
+    seconds = lambda word: F.when(next_to(plain, word, 2) == "secs", next_to(plain, word))
+    in_the_last = (next_to(plain, "last", -2) == "in") & (next_to(plain, "last", -1) == "the") & seconds("last").isNotNull()
+    tag = F.when(F.rtrim(msg).endswith("]"), before(F.substring_index(msg, "[", -1), "]"))
     return make_events(
-        m, source="LFD", service=service, ts=to_utc(group("m", 1), ref_now, lenient), ip=F.col("ip"), message=msg,
+        m, source="LFD", service=service, ts=to_utc(syslog_time(F.col("t")), ref_now, lenient), ip=F.col("ip"), message=msg,
         extra={
             "event_type": "security_signal", "kind": "lfd", "action": F.col("action"), "reason": reason,
             "lfd_trigger": F.col("trigger"),
-            "lfd_tag": F.upper(extract(msg, r"(?i)\[([A-Z0-9_]+)\]\s*$")),
+            "lfd_tag": F.upper(F.when(F.size(F.split(tag, "[^A-Za-z0-9_]")) == 1, text_or_null(tag))),
             "ports": F.col("ports"), "port": F.get(F.col("ports"), F.lit(0)),
-            "count": extract(msg, rate), "window_secs": extract(msg, rate, 2),
-            "block_seconds": F.when(F.col("action") == "blocked", extract(msg, r"(?i)\bfor\s+(\d+)\s+secs\b")),
-            "blocked_tool": F.when(msg.rlike(r"(?i)\bcsf\b"), "csf"),
+            "count": F.when(in_the_last, next_to(plain, "last", -3)), "window_secs": F.when(in_the_last, seconds("last")),
+            "block_seconds": F.when(F.col("action") == "blocked", F.when(is_digits(seconds("for")), seconds("for"))),
+            "blocked_tool": F.when(said("csf"), "csf"),
         },
     )

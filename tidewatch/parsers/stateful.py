@@ -5,34 +5,45 @@ The carried values come from `carry_forward` over blocks of lines, so one large
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import truthy
 from tidewatch.functions.times import to_utc
 from tidewatch.operators.prefix import carry_forward
-from tidewatch.parsers.capture import extract, found, group, with_captures
+from tidewatch.parsers.capture import pinned
+from tidewatch.functions.cut import after, at, between, is_clock, is_digits, is_number, text_or_null, words
 from tidewatch.schemas import make_events
 
 LINE_BLOCK = 100_000
-WAF_LINE = (
-    r'\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\].*\[id "([^"]+)"\].*\[msg "([^"]+)"\].*'
-    r'\[hostname "([^"]+)"\].*\[uri "([^"]+)"\].*\[client "([^"]+)"\]'
-)
-MARKER = r"^--([0-9A-Za-z]+)-([A-Z])--\s*$"
-AUDIT_HEAD = r"^\[([^\]]+)\]\s+(\S+)\s+(\S+)\s+.*$"
-REQUEST = r"(?i)^(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH)\s+(\S+)\s+HTTP/\d(?:\.\d)?\s*$"
-HOST_HEADER = r"(?i)^Host:\s*(\S+)\s*$"
-STATUS_LINE = r"^HTTP/\d(?:\.\d)?\s+(\d{3})\b.*$"
+# Request methods that an audit log holds.
+METHODS = ["GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH"]
+WAF_FIELDS = ["id", "msg", "hostname", "uri", "client"]
+
+
+def _bracketed(raw, name: str):
+    """Value of a `[name "value"]` part."""
+    return between(raw, f'[{name} "', '"')
+
+
+def _single_line(raw):
+    """Time and fields of a WAF block on one line; null when one is missing."""
+    parts = F.struct(between(raw, "[", "]").alias("time"), *[_bracketed(raw, n).alias(n) for n in WAF_FIELDS])
+    whole = is_clock(between(raw, "[", "]").substr(12, 8))
+    for n in WAF_FIELDS:
+        whole = whole & _bracketed(raw, n).isNotNull()
+    return F.when(whole, parts)
 
 
 def parse_waf_line(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
     """Single-line WAF blocks."""
-    m = with_captures(lines.filter(F.col("raw").contains('[id "')), "m", WAF_LINE, 6).filter(found("m"))
+    m = pinned(lines.filter(F.col("raw").contains('[id "')), "f", _single_line(F.col("raw"))).filter("f IS NOT NULL")
     return make_events(
-        m, source="MODSEC", service="HTTP", ts=to_utc(group("m", 1), ref_now, lenient), ip=group("m", 6), domain=group("m", 4),
-        message=F.concat(F.lit("ModSec "), group("m", 2), F.lit(": "), group("m", 3)),
-        extra={"event_type": "waf_block", "waf": {"engine": "modsecurity", "rule_id": group("m", 2), "uri": group("m", 5)}},
+        m, source="MODSEC", service="HTTP", ts=to_utc(F.col("f.time"), ref_now, lenient), ip=F.col("f.client"), domain=F.col("f.hostname"),
+        message=F.concat(F.lit("ModSec "), "f.id", F.lit(": "), "f.msg"),
+        extra={"event_type": "waf_block", "waf": {"engine": "modsecurity", "rule_id": F.col("f.id"), "uri": F.col("f.uri")}},
     )
 
 
@@ -44,15 +55,24 @@ def assemble_waf_transactions(lines: DataFrame, ref_now=None, lenient: bool = Fa
     """One event per audit transaction: time and address (A), request (B), status (F), closed by H or Z."""
     keys = ["server", "file"]
     raw = F.col("raw")
-    # cheap literal tests spare most lines the regexes
-    base = _blocks(lines.filter(~(raw.contains('[id "') & raw.rlike(WAF_LINE))))
-    dashed = raw.startswith("--")
-    marked = base.withColumn("tx_at", F.when(dashed, extract(raw, MARKER))).withColumn("sec_at", F.when(dashed, extract(raw, MARKER, 2)))
+    base = _blocks(lines.filter(~(raw.contains('[id "') & _single_line(raw).isNotNull())))
+    # a marker is --transaction-section-- alone on its line
+    mark = F.split(F.trim(raw), "-")
+    marker = raw.startswith("--") & (F.size(mark) == 6) & (F.length(mark[3]) == 1) & (F.concat(mark[4], mark[5]) == "") & F.get(mark, F.lit(2)).rlike("^[0-9A-Za-z]+$")
+    marked = base.withColumn("tx_at", F.when(marker, F.get(mark, F.lit(2)))).withColumn("sec_at", F.when(marker & F.get(mark, F.lit(3)).between("A", "Z"), F.get(mark, F.lit(3))))
     held = carry_forward(marked, keys, ["line_no"], {"tx_at": "tx", "sec_at": "section"}, "block").filter("tx IS NOT NULL")
     in_tx = Window.partitionBy(*keys, "tx").orderBy("line_no")
     opens = truthy(F.col("sec_at") == "A") | truthy(F.lag(F.col("sec_at").isin("H", "Z")).over(in_tx))
     part = held.withColumn("opens", opens.cast("int")).withColumn("n", F.sum("opens").over(in_tx))
 
+    w = words(raw)
+    # A: [time] unique-id address ...; B: request line and host header; F: status line
+    head = words(after(raw, "]"))
+    is_head = raw.startswith("[") & (F.size(head) > 2)
+    is_request = F.upper(at(w, 0)).isin(*METHODS) & at(w, 2).startswith("HTTP/") & (F.size(w) == 3)
+    is_host = (F.lower(at(w, 0)) == "host:") & (F.size(w) == 2)
+    is_status = at(w, 0).startswith("HTTP/") & is_digits(at(w, 1)) & (F.length(at(w, 1)) == 3)
+
     def latest(section: str, value):
         v = F.when((F.col("section") == section) & F.col("sec_at").isNull(), value)
         return F.max_by(v, F.when(v.isNotNull(), F.col("line_no")))
@@ -60,12 +80,12 @@ def assemble_waf_transactions(lines: DataFrame, ref_now=None, lenient: bool = Fa
     tx = part.groupBy(*keys, "log_type", "tx", "n").agg(
         F.max("line_no").alias("line_no"),
         F.max_by("raw", "line_no").alias("raw"),
-        latest("A", extract(raw, AUDIT_HEAD)).alias("time"),
-        latest("A", extract(raw, AUDIT_HEAD, 3)).alias("ip"),
-        F.upper(latest("B", extract(raw, REQUEST))).alias("method"),
-        latest("B", extract(raw, REQUEST, 2)).alias("url"),
-        latest("B", extract(raw, HOST_HEADER)).alias("host"),
-        latest("F", extract(raw, STATUS_LINE)).alias("status"),
+        latest("A", F.when(is_head, between(raw, "[", "]"))).alias("time"),
+        latest("A", F.when(is_head, at(head, 1))).alias("ip"),
+        F.upper(latest("B", F.when(is_request, at(w, 0)))).alias("method"),
+        latest("B", F.when(is_request, at(w, 1))).alias("url"),
+        latest("B", F.when(is_host, at(w, 1))).alias("host"),
+        latest("F", F.when(is_status, at(w, 1))).alias("status"),
         F.array_sort(F.collect_set("sec_at")).alias("sections"),
         F.bool_or(F.col("sec_at").isin("H", "Z")).alias("closed"),
     ).filter("closed AND time IS NOT NULL AND ip IS NOT NULL")
@@ -90,22 +110,21 @@ def parse_waf(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFram
     return parse_waf_line(lines, ref_now, lenient).unionByName(assemble_waf_transactions(lines, ref_now, lenient))
 
 
-NUM = r"(\d+(?:\.\d+)?)"
-CLOCK = r"^(\d{1,2}:\d{2}:\d{2})(?:\s*(AM|PM))?\s+"
-LOAD = CLOCK + r"\s+".join([NUM] * 6) + r"\s*$"
-MEMORY_AVAIL = CLOCK + r"(\d+)\s+(\d+)\s+(\d+)\s+" + NUM + ".*$"
-MEMORY_PLAIN = CLOCK + r"(\d+)\s+(\d+)\s+" + NUM + ".*$"
-DISK = CLOCK + r"(\S+)\s+" + NUM + r"\s+(.*?)" + NUM + r"\s*$"
+def _setting(line, name: str):
+    """Value of `NAME=value`, also behind a comment sign."""
+    plain = F.ltrim(line, F.lit("#"))
+    return F.when(plain.startswith(f"{name}="), text_or_null(after(plain, "=")))
 
 
 def parse_sar(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
     """System activity reports: load, memory and disk rows under the date, mode and CPU count seen before them."""
     base = _blocks(lines.withColumn("line", F.trim("raw")).filter("line <> ''"))
     line = F.col("line")
+    cpus_said = at(words(F.substring_index(F.when(line.contains(" CPU)"), F.substring_index(line, " CPU)", 1)), "(", -1)), 0)
     headed = (
-        base.withColumn("date_at", extract(line, r"^#?SAR_DATE=(\d{4}-\d{2}-\d{2})\s*$"))
-        .withColumn("mode_at", extract(line, r"^#?SAR_MODE=(-\w+)\s*$"))
-        .withColumn("cpu_at", extract(line, r"\((\d+)\s+CPU\)"))
+        base.withColumn("date_at", F.when(_setting(line, "SAR_DATE").cast("string").rlike(r"^[0-9]{4}(-[0-9]{2}){2}$"), _setting(line, "SAR_DATE")))
+        .withColumn("mode_at", F.when(_setting(line, "SAR_MODE").startswith("-"), _setting(line, "SAR_MODE")))
+        .withColumn("cpu_at", F.when(is_digits(cpus_said), cpus_said))
     )
     held = carry_forward(
         headed, ["server", "file"], ["line_no"], {"date_at": "date", "mode_at": "mode", "cpu_at": "cpus"}, "block"
@@ -117,19 +136,26 @@ def parse_sar(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFram
         | (low.contains("kbmemfree") & low.contains("%memused"))
     )
     m = held.filter(~header & F.col("date").isNotNull())
-    for name, pattern, n in [("q", LOAD, 8), ("ra", MEMORY_AVAIL, 6), ("rp", MEMORY_PLAIN, 5), ("d", DISK, 6)]:
-        m = with_captures(m, name, pattern, n, on="line")
+    # columns: clock, perhaps AM or PM, values
+    c = words(line)
+    half = F.upper(at(c, 1)).isin("AM", "PM")
+    m = pinned(m, "c", F.struct(at(c, 0).alias("clock"), F.when(half, F.upper(at(c, 1))).alias("half"), F.slice(c, F.when(half, 3).otherwise(2), F.size(c)).alias("v")))
+    m = m.filter(is_clock(F.col("c.clock")))
+    v = F.col("c.v")
+    value = lambda i: at(v, i)
+    whole = lambda *places: reduce(lambda a, b: a & b, [is_digits(value(i)) for i in places])
     mode = F.lower(F.coalesce("mode", F.lit("")))
-    load = found("q") & mode.isin("", "-q")
-    avail, plain = found("ra"), found("rp")
+    load = (F.size(v) == 6) & F.forall(v, is_number) & mode.isin("", "-q")
+    avail = whole(0, 1, 2) & is_number(value(3))
+    plain = whole(0, 1) & is_number(value(2))
     memory = (avail | plain) & mode.isin("", "-r")
-    disk = found("d") & mode.isin("", "-d") & (F.upper(group("d", 3)) != "DEV")
+    last = F.size(v) - 1
+    disk = (F.size(v) > 2) & is_number(value(1)) & is_number(value(last)) & mode.isin("", "-d") & (F.upper(value(0)) != "DEV")
     m = m.withColumn("what", F.when(load, "load").when(memory, "memory").when(disk, "disk")).filter("what IS NOT NULL")
     what = F.col("what")
-    any_of = lambda i: F.coalesce(*[F.when(found(c), group(c, i)) for c in ("q", "ra", "rp", "d")])
-    hour = F.substring_index(any_of(1), ":", 1).cast("int")
-    hour = F.when((F.upper(any_of(2)) == "PM") & (hour != 12), hour + 12).when((F.upper(any_of(2)) == "AM") & (hour == 12), 0).otherwise(hour)
-    clock = F.split(any_of(1), ":")
+    clock = F.split("c.clock", ":")
+    hour = clock[0].cast("int")
+    hour = F.when((F.col("c.half") == "PM") & (hour != 12), hour + 12).when((F.col("c.half") == "AM") & (hour == 12), 0).otherwise(hour)
     day = F.split("date", "-")
     ts = F.try_make_timestamp(day[0].cast("int"), day[1].cast("int"), day[2].cast("int"), hour, clock[1].cast("int"), clock[2].cast("decimal(16,6)"), F.lit("UTC"))
     cpus = F.coalesce(F.col("cpus").cast("int"), F.lit(0))
@@ -138,8 +164,8 @@ def parse_sar(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFram
         return F.when(what == kind, value)
 
     def load_value(i, per_cpu=False):
-        v = group("q", i).cast("double")
-        return only("load", F.when(cpus > 0, v / F.nullif(cpus, F.lit(0))) if per_cpu else v)
+        found = F.when(what == "load", value(i).try_cast("double"))
+        return F.when(cpus > 0, found / F.nullif(cpus, F.lit(0))) if per_cpu else found
 
     return make_events(
         m, source="SAR_STATS", service="INFRA", ts=ts,
@@ -148,15 +174,15 @@ def parse_sar(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFram
             "event_type": "metric",
             "metric": {
                 "family": "sar", "name": what, "cpu_count": only("load", cpus),
-                "runq_sz": load_value(3), "plist_sz": load_value(4), "blocked": load_value(8),
-                "ldavg_1": load_value(5), "ldavg_5": load_value(6), "ldavg_15": load_value(7),
-                "ldavg_1_per_cpu": load_value(5, True), "ldavg_5_per_cpu": load_value(6, True), "ldavg_15_per_cpu": load_value(7, True),
-                "kb_mem_free": only("memory", F.when(avail, group("ra", 3)).otherwise(group("rp", 3))),
-                "kb_mem_used": only("memory", F.when(avail, group("ra", 5)).otherwise(group("rp", 4))),
-                "kb_mem_avail": only("memory", F.when(avail, group("ra", 4))),
-                "mem_used_pct": only("memory", F.when(avail, group("ra", 6)).otherwise(group("rp", 5))),
-                "device": only("disk", group("d", 3)), "tps": only("disk", group("d", 4)),
-                "util_pct": only("disk", group("d", 6)), "rest": only("disk", F.coalesce(group("d", 5), F.lit(""))),
+                "runq_sz": load_value(0), "plist_sz": load_value(1), "blocked": load_value(5),
+                "ldavg_1": load_value(2), "ldavg_5": load_value(3), "ldavg_15": load_value(4),
+                "ldavg_1_per_cpu": load_value(2, True), "ldavg_5_per_cpu": load_value(3, True), "ldavg_15_per_cpu": load_value(4, True),
+                "kb_mem_free": only("memory", value(0)),
+                "kb_mem_used": only("memory", F.when(avail, value(2)).otherwise(value(1))),
+                "kb_mem_avail": only("memory", F.when(avail, value(1))),
+                "mem_used_pct": only("memory", F.when(avail, value(3)).otherwise(value(2))),
+                "device": only("disk", value(0)), "tps": only("disk", value(1)),
+                "util_pct": only("disk", value(last)), "rest": only("disk", F.array_join(F.slice(v, 3, F.greatest(F.size(v) - 3, F.lit(0))), " ")),
             },
         },
     )

@@ -2,8 +2,8 @@
 
 The tree of a host is grown level by level over distinct path shapes (digit runs read as '#'). A branch keeps its literal segment only
 where it has support and its labels differ from its siblings' by a two-proportion test; all other branches merge into one wildcard. Segments
-beyond the depth of the tree are one '**'. A template is blocked where its share of good labels, smoothed towards its host's share and
-that towards the share of all labels, is under `min_purity`.
+beyond the depth of the tree are one '**'. A template is blocked where its share of good labels, smoothed towards its host's share,
+that towards the share of all labels and that towards 1, is under `min_purity`.
 
 Defined results: a null url, or one without '://', has empty host and path and template ''; without labels everything not ruled is
 allowed; equal rows give equal rows; labels of ids that no page has only count for nothing; other columns are passed by.
@@ -74,7 +74,7 @@ def path_templates(urls: DataFrame, labels: DataFrame, depth: int = DEPTH) -> Da
     nodes = nodes.withColumn("template", F.concat("template", F.when(F.size("tail") > 0, "/**").otherwise("")))
     per = staged(nodes.groupBy("host", "template").agg(*sums()), "url-templates")
     good, lab = per.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("lab"), F.lit(0))).first()
-    rate = good / lab if lab else 1.0
+    rate = (good + SMOOTHING) / (lab + SMOOTHING)
     hosts = per.groupBy("host").agg(((F.sum("good") + SMOOTHING * F.lit(rate)) / (F.sum("lab") + SMOOTHING)).alias("host_rate"))
     purity = (F.col("good") + SMOOTHING * F.col("host_rate")) / (F.col("lab") + SMOOTHING)
     judged = per.join(hosts, "host").select("host", "template", purity.alias("purity"))
@@ -122,7 +122,7 @@ t0 AS (SELECT host, shape, count(*) AS n, count(k.good) AS lab, coalesce(sum(k.g
   CASE WHEN shape = '' THEN [] ELSE string_split(shape[2:], '/') END AS tail, '' AS template FROM s LEFT JOIN k USING (page_id) GROUP BY host, shape),{steps}
 f AS (SELECT host, shape, n, lab, good, concat(template, CASE WHEN len(tail) > 0 THEN '/**' ELSE '' END) AS template FROM {last}),
 p AS (SELECT host, template, sum(lab) AS lab, sum(good) AS good FROM f GROUP BY ALL),
-r AS (SELECT CASE WHEN sum(lab) > 0 THEN CAST(sum(good) AS DOUBLE) / sum(lab) ELSE 1.0 END AS rate FROM p),
+r AS (SELECT (CAST(coalesce(sum(good), 0) AS DOUBLE) + {SMOOTHING}) / (coalesce(sum(lab), 0) + {SMOOTHING}) AS rate FROM p),
 h AS (SELECT host, (sum(good) + {SMOOTHING} * (SELECT rate FROM r)) / (sum(lab) + {SMOOTHING}) AS host_rate FROM p GROUP BY host),
 j AS (SELECT host, template, (good + {SMOOTHING} * host_rate) / (lab + {SMOOTHING}) AS purity FROM p JOIN h USING (host))
 SELECT page_id, host, path, coalesce({rule}, NULL) AS rule,

@@ -18,7 +18,7 @@ from tidewatch.plans import catalogue
 DET = """
 SELECT event_id, us, user_id, k, server, ip_client, subnet24, username, status,
   CASE WHEN k < 50 THEN 'APACHE_ACCESS' WHEN k < 60 THEN 'EXIM_MAINLOG' WHEN k < 70 THEN 'PANEL_LOGIN' WHEN k < 80 THEN 'FILEMANAGER'
-    WHEN k < 90 THEN CASE WHEN k % 2 = 0 THEN 'WP_ERROR' ELSE 'SYSTEM' END ELSE CASE WHEN k % 2 = 0 THEN 'MODSEC' ELSE 'SAR_STATS' END END AS source,
+    WHEN k < 90 THEN CASE WHEN k = 88 THEN 'APACHE_ERROR' WHEN k % 2 = 0 THEN 'WP_ERROR' ELSE 'SYSTEM' END ELSE CASE WHEN k % 2 = 0 THEN 'MODSEC' ELSE 'SAR_STATS' END END AS source,
   CASE WHEN k < 50 THEN 'http_access' WHEN k < 60 THEN CASE WHEN k % 3 = 0 THEN 'auth_login' ELSE 'mail_flow' END WHEN k < 70 THEN 'auth_login' WHEN k < 80 THEN 'file_action'
     WHEN k < 90 THEN CASE WHEN k % 2 = 0 THEN 'app_error' ELSE 'system_log' END ELSE CASE WHEN k % 2 = 0 THEN 'waf_block' ELSE 'metric' END END AS etype,
   CASE WHEN k >= 50 AND k < 60 AND k % 3 = 0 THEN CASE WHEN user_id % 3 = 0 THEN 'success' ELSE 'fail' END WHEN k >= 60 AND k < 70 THEN CASE WHEN k % 2 = 0 THEN 'fail' ELSE 'success' END END AS action,
@@ -28,7 +28,7 @@ SELECT event_id, us, user_id, k, server, ip_client, subnet24, username, status,
   CASE WHEN k % 4 = 0 THEN 'HEAD' ELSE 'GET' END AS method,
   CASE user_id % 5 WHEN 0 THEN 'RU' WHEN 1 THEN 'MX' WHEN 2 THEN 'US' WHEN 3 THEN 'FR' END AS country,
   CASE WHEN k >= 80 AND k < 90 THEN CASE WHEN k % 2 = 1 THEN CASE k % 10 WHEN 1 THEN 'ran /tmp/a.sh' WHEN 3 THEN 'Out of memory: kill' WHEN 5 THEN 'x eval(base64 y' ELSE 'quiet /tmp/' END
-    ELSE CASE k % 10 WHEN 0 THEN 'Failed opening required x' ELSE 'other error' END END ELSE 'm' END AS message,
+    ELSE CASE WHEN k IN (80, 88) THEN 'Failed opening required x' ELSE 'other error' END END WHEN k < 50 AND k % 10 = 7 THEN 'GET /wp-admin/ 200' ELSE 'm' END AS message,
   CASE k % 10 WHEN 0 THEN '/home/wp-admin/x.txt' WHEN 1 THEN '/a/installer.php' WHEN 2 THEN '/a/base64.txt' WHEN 3 THEN '/a/Redirect' ELSE '/a/b' END AS fpath,
   CASE WHEN k % 3 = 0 THEN '777' ELSE '644' END AS fmode, CASE WHEN k % 4 = 0 THEN 'Fatal error' ELSE 'Warning' END AS level,
   CASE WHEN k >= 50 AND k < 60 THEN CASE k % 3 WHEN 1 THEN 'retry' WHEN 2 THEN 'invalid_domain' END END AS kind,
@@ -43,11 +43,14 @@ SHARED = """SELECT event_id, us, user_id, k, server, concat('44.9.', CAST(user_i
   concat('44.9.', CAST(user_id % 3 AS STRING), '.0/24') AS subnet24, concat('user', CAST(user_id % 20 AS STRING)) AS username, status, source, etype, action, path,
   agent, method, country, message, fpath, fmode, level, kind, direction, bytes FROM det"""
 
+# The same with few addresses, each used by several accounts.
+POOLED = SHARED.replace("concat('44.9.', CAST(user_id % 3 AS STRING), '.', CAST(user_id % 5 AS STRING)) AS ip_client", "concat('44.9.9.', CAST(user_id % 5 AS STRING)) AS ip_client").replace("user_id % 20", "user_id")
 
-def det_events(spark: SparkSession, sf: str, shared: bool = False) -> DataFrame:
+
+def det_events(spark: SparkSession, sf: str, variant: str = "det") -> DataFrame:
     d = spark.sql(DET.replace("FROM sec", "FROM {sec}"), sec=sec_events(spark, sf))
-    if shared:
-        d = spark.sql(SHARED.replace("FROM det", "FROM {det}"), det=d)
+    if variant != "det":
+        d = spark.sql({"shared": SHARED, "pooled": POOLED}[variant].replace("FROM det", "FROM {det}"), det=d)
     metric = "source = 'SAR_STATS'"
     return d.select(
         F.col("event_id").alias("id"), "source", "server", "ip_client", "username", F.timestamp_micros("us").alias("timestamp_utc"), "message",
@@ -66,7 +69,7 @@ def det_events(spark: SparkSession, sf: str, shared: bool = False) -> DataFrame:
 
 def threshold_sql(det_id, where, key, minutes, cond, value, source="det"):
     w = int(minutes * 60_000_000)
-    base = {"sec": WITH_SEC, "det": WITH_DET, "shared": f"{WITH_DET}, shared AS ({SHARED})"}[source]
+    base = {"sec": WITH_SEC, "det": WITH_DET, "shared": f"{WITH_DET}, shared AS ({SHARED})", "pooled": f"{WITH_DET}, pooled AS ({POOLED})"}[source]
     cte = window_cte("m", where, key, w, source)
     if source != "sec":
         cte = cte.replace("list(event_id) OVER w AS ids", "count(DISTINCT source) OVER w AS unique_sources, sum(bytes) OVER w AS total_bytes, list(event_id) OVER w AS ids")
@@ -83,12 +86,12 @@ WEB = "source = 'APACHE_ACCESS'"
 # detection, source table, row test, group key, minutes, condition, value, overrides
 THRESHOLDS = [
     ("A1", "sec", "action = 'fail'", MEMBER, 4320, "n >= 2", "n", {"failures": 2}),
-    ("A2", "sec", "action IS NOT NULL", MEMBER, 10080, "unique_users >= 1", "unique_users", {"users": 1}),
+    ("A2", "pooled", "etype = 'auth_login'", MEMBER, 10080, "unique_users >= 3", "unique_users", {"users": 3}),
     ("A3", "sec", "action IS NOT NULL", ACCOUNT, 1440, "action = 'success' AND fail_count >= 2", "fail_count", {"failures": 2}),
-    ("A4", "sec", "action IS NOT NULL", ACCOUNT, 1440, "unique_ips >= 4", "unique_ips", {"ips": 4}),
+    ("A4", "shared", "etype = 'auth_login' AND source = 'EXIM_MAINLOG'", ACCOUNT, 40320, "unique_ips >= 2", "unique_ips", {"ips": 2}),
     ("A9", "det", "etype = 'auth_login' AND source = 'EXIM_MAINLOG'", MEMBER, 20160, "n >= 2", "n", {"attempts": 2}),
     ("X1", "det", "action = 'fail' AND source = 'EXIM_MAINLOG'", MEMBER, 20160, "n >= 2", "n", {"failures": 2}),
-    ("X2", "det", "etype = 'auth_login' AND source = 'EXIM_MAINLOG'", MEMBER, 20160, "action = 'success' AND fail_count >= 0", "fail_count", {"failures": 0}),
+    ("X2", "pooled", "etype = 'auth_login' AND source = 'EXIM_MAINLOG'", MEMBER, 20160, "action = 'success' AND fail_count >= 2", "fail_count", {"failures": 2}),
     ("S1", "sec", "action = 'fail'", MEMBER, 4320, "n >= 2", "n", {"failures": 2}),
     ("W1", "det", WEB, MEMBER, 10080, "n >= 3", "n", {"requests": 3}),
     ("W2", "det", f"{WEB} AND status >= 400", MEMBER, 20160, "unique_paths >= 2 AND n >= 2", "unique_paths", {"paths": 2, "hits": 2}),
@@ -115,7 +118,7 @@ THRESHOLDS = [
 
 def _threshold(det_id, source, minutes, overrides):
     def run(spark, sf):
-        ev = events(spark, sf) if source == "sec" else det_events(spark, sf, source == "shared")
+        ev = events(spark, sf) if source == "sec" else det_events(spark, sf, source)
         return catalogue.detect(ev, det_id, minutes=minutes, **overrides)
 
     return run
@@ -142,9 +145,9 @@ FILTERS = [
     ("M8", "etype = 'file_action' AND k % 10 = 1", ACCOUNT),
     ("M9", "etype = 'file_action' AND k % 10 = 3", ACCOUNT),
     ("M10", "source = 'SYSTEM' AND k % 10 = 1", "server"),
-    ("WP1", "etype = 'app_error' AND k % 10 = 0", "server || '|-'"),
-    ("WP5", "etype = 'app_error' AND k % 4 = 0", "server || '|-'"),
-    ("WP6", "etype = 'app_error' AND k % 4 > 0", "server || '|-'"),
+    ("WP1", "source = 'WP_ERROR' AND k = 80", "server || '|-'"),
+    ("WP5", "source = 'WP_ERROR' AND k % 4 = 0", "server || '|-'"),
+    ("WP6", "source = 'WP_ERROR' AND k % 4 > 0", "server || '|-'"),
     ("R1", "source = 'SAR_STATS' AND (k >= 91 OR user_id >= 80)", "server"),
     ("R2", "source = 'SAR_STATS' AND user_id % 20 >= 10", "server"),
     ("R3", "source = 'SAR_STATS' AND k >= 95", "server || '|sda'"),
@@ -178,10 +181,14 @@ def a7(spark, sf):
     return catalogue.ip_changes(events(spark, sf), minutes=2880)
 
 
-@check("det_a8", f"""{WITH_SEC} SELECT 'A8' AS det_id, username || '|' || ip_client AS group_key, min(us) AS us, arg_min(event_id, us) AS event_id, CAST(1 AS BIGINT) AS value FROM sec
-  WHERE action = 'success' AND username IN ('user1', 'user2', 'user7') GROUP BY username, ip_client""")
+@check("det_a8", f"""{WITH_DET} SELECT 'A8' AS det_id, username || '|' || ip_client AS group_key, min(us) AS us, arg_min(event_id, us) AS event_id, CAST(1 AS BIGINT) AS value FROM
+  (SELECT event_id, us, username, ip_client, action FROM det WHERE source = 'PANEL_LOGIN' UNION ALL SELECT 100000000 + event_id, us, username, ip_client, action FROM sec WHERE source = 'SSH_SECURE')
+  WHERE action = 'success' AND username IN ('user1', 'user2', 'user7', 'user8') GROUP BY username, ip_client""")
 def a8(spark, sf):
-    return catalogue.login_from_new_ip(events(spark, sf), "A8", usernames=["User1", "user2", "user7"])
+    """Panel, mail and other logins, and SSH logins of the plain events."""
+    plain = ["id", "source", "server", "ip_client", "username", "timestamp_utc", F.struct("extra.event_type", "extra.action").alias("extra")]
+    ssh = events(spark, sf).withColumn("id", F.col("id") + 100000000).select(*plain)
+    return catalogue.login_from_new_ip(det_events(spark, sf).select(*plain).unionByName(ssh), "A8", usernames=["User1", "user2", "user7", "user8"])
 
 
 NEW_PANEL = f"""{WITH_DET} SELECT '{{0}}' AS det_id, username || '|' || ip_client AS group_key, min(us) AS us, arg_min(event_id, us) AS event_id, CAST(1 AS BIGINT) AS value FROM det
@@ -197,7 +204,7 @@ def p2(spark, sf):
     return catalogue.login_from_new_ip(det_events(spark, sf), "P2", history=_history(spark, sf))
 
 
-@check("det_p5", NEW_PANEL.format("P5", "etype = 'auth_login' AND username IN ('user3', 'user5', 'user9')").replace("event_type = 'signup'", "false"))
+@check("det_p5", NEW_PANEL.format("P5", "source = 'PANEL_LOGIN' AND username IN ('user3', 'user5', 'user9')").replace("event_type = 'signup'", "false"))
 def p5(spark, sf):
     return catalogue.login_from_new_ip(det_events(spark, sf), "P5", usernames=["user3", "user5", "user9"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import field_type
 from tidewatch.functions.net import ip_to_long, is_private_like
-from tidewatch.operators.rangejoin import BROADCAST_PIECES, range_join
+from tidewatch.operators.rangejoin import range_join
 
 
 def _with_address(events: DataFrame) -> DataFrame:
@@ -21,10 +21,20 @@ def _field(df: DataFrame, path: str, kind: str):
     return F.col(path).cast(kind) if field_type(df.schema, path) is not None else F.lit(None).cast(kind)
 
 
-def enrich_geo(events: DataFrame, ranges: DataFrame, broadcast_limit: int = BROADCAST_PIECES) -> DataFrame:
+def _geo_side(ranges: DataFrame) -> DataFrame:
+    return ranges.select("start_long", "end_long", F.col("country_code").alias("_cc"), F.col("country_name").alias("_cn"))
+
+
+def _asn_side(ranges: DataFrame) -> DataFrame:
+    return ranges.select("start_long", "end_long", F.col("number").cast("bigint").alias("_num"), F.col("org").alias("_org"))
+
+
+def enrich_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Fill extra.geo (and its copy extra.geoip); private addresses are PRV, unknown ones UNK, known countries stay."""
-    side = ranges.select("start_long", "end_long", F.col("country_code").alias("_cc"), F.col("country_name").alias("_cn"))
-    df = range_join(_with_address(events), "ip_long", side, broadcast_limit)
+    return _fill_geo(range_join(_with_address(events), "ip_long", _geo_side(ranges)))
+
+
+def _fill_geo(df: DataFrame) -> DataFrame:
     has_ip, private = F.col("ip_client").isNotNull() & (F.col("ip_client") != ""), F.col("ip_private")
     code, name = (_field(df, f"extra.geo.{c}", "string") for c in ("country_code", "country_name"))
     known = F.coalesce(code != "", F.lit(False))
@@ -40,10 +50,12 @@ def enrich_geo(events: DataFrame, ranges: DataFrame, broadcast_limit: int = BROA
     return df.withColumn("extra", F.col("extra").withField("geo", filled).withField("geoip", filled)).drop("_cc", "_cn")
 
 
-def enrich_asn(events: DataFrame, ranges: DataFrame, broadcast_limit: int = BROADCAST_PIECES) -> DataFrame:
+def enrich_asn(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Fill extra.asn where the number is missing; private addresses get none."""
-    side = ranges.select("start_long", "end_long", F.col("number").cast("bigint").alias("_num"), F.col("org").alias("_org"))
-    df = range_join(_with_address(events), "ip_long", side, broadcast_limit)
+    return _fill_asn(range_join(_with_address(events), "ip_long", _asn_side(ranges)))
+
+
+def _fill_asn(df: DataFrame) -> DataFrame:
     number, org = _field(df, "extra.asn.number", "bigint"), _field(df, "extra.asn.org", "string")
     fill = number.isNull() & ~F.col("ip_private")
     asn = F.struct(
@@ -68,7 +80,7 @@ def flag_internal(events: DataFrame) -> DataFrame:
     return events.withColumn("extra", extra)
 
 
-def enrich(events: DataFrame, geo_ranges: DataFrame, asn_ranges: DataFrame, broadcast_limit: int = BROADCAST_PIECES) -> DataFrame:
-    """Country, operator and internal marks; helper columns removed."""
-    out = enrich_asn(enrich_geo(events, geo_ranges, broadcast_limit), asn_ranges, broadcast_limit)
-    return flag_internal(out).drop("ip_long", "ip_private")
+def enrich(events: DataFrame, geo_ranges: DataFrame, asn_ranges: DataFrame) -> DataFrame:
+    """Country, operator and internal marks, from one lookup of each address; helper columns removed."""
+    looked_up = range_join(_with_address(events), "ip_long", _geo_side(geo_ranges), _asn_side(asn_ranges))
+    return flag_internal(_fill_asn(_fill_geo(looked_up))).drop("ip_long", "ip_private")

@@ -6,30 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = 65536
-# Up to this many range pieces (one per range and /16 it touches) the lookup side is broadcast: about
-# 200 MB. Public address registries hold well under it; a larger table takes the shuffle route.
-BROADCAST_PIECES = 3_000_000
 
 
 def _pieces(ranges: DataFrame) -> DataFrame:
-    return ranges.withColumn(
-        "_bucket", F.explode(F.expr(f"sequence(start_long div {BUCKET}, end_long div {BUCKET})"))
-    )
+    """A range once for each block of 65536 addresses that it touches."""
+    blocks = F.explode(F.expr(f"sequence(_start div {BUCKET}, _end div {BUCKET})"))
+    return ranges.withColumnsRenamed({"start_long": "_start", "end_long": "_end"}).withColumn("_block", blocks)
 
 
-def range_join(points: DataFrame, point: str, ranges: DataFrame, broadcast_limit: int = BROADCAST_PIECES) -> DataFrame:
-    """Left join of points to the range [start_long, end_long] that holds them; ranges must not overlap.
+def range_join(points: DataFrame, point: str, *tables: DataFrame) -> DataFrame:
+    """Left join of points to the range [start_long, end_long] of each table that holds them; ranges of a table must not overlap.
 
-    Small range tables are broadcast, so the points are not moved. Larger ones are joined to the
-    distinct points (at most 65536 per bucket, whatever the skew of the rows), and the result is
-    joined back on the point.
+    One plan for every size: each distinct address is looked up once in all tables (a block holds at most 65536 addresses, however often
+    they occur), and the answers are joined back. Points without an address get keys that no address has, one for each partition they come
+    from, so they are not gathered; an address that fills a partition is split by adaptive execution, which may also broadcast what is small.
     """
-    pieces = _pieces(ranges)
-    in_range = F.col(point).between(F.col("start_long"), F.col("end_long"))
-    bucket = F.expr(f"`{point}` div {BUCKET}")
-    if pieces.count() <= broadcast_limit:
-        side = F.broadcast(pieces)
-        return points.join(side, (F.col("_bucket") == bucket) & in_range, "left").drop("_bucket", "start_long", "end_long")
-    distinct = points.select(point).filter(F.col(point).isNotNull()).distinct()
-    found = distinct.join(pieces, (F.col("_bucket") == bucket) & in_range).drop("_bucket", "start_long", "end_long")
-    return points.join(found, point, "left")
+    found = points.select(F.col(point).alias("_address")).filter("_address IS NOT NULL").distinct()
+    for ranges in tables:
+        held = F.expr(f"_block = _address div {BUCKET} AND _address BETWEEN _start AND _end")
+        found = found.join(_pieces(ranges), held, "left").drop("_block", "_start", "_end")
+    key = F.coalesce(F.col(point), F.lit(-1) - F.spark_partition_id())
+    return points.withColumn("_key", key).join(found, F.col("_key") == F.col("_address"), "left").drop("_key", "_address")

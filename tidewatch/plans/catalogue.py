@@ -98,7 +98,7 @@ DETECTIONS: dict[str, Threshold | Filter] = {
     "A1": Threshold(_all(AUTH, _action("fail")), MEMBER, 15, "count >= {failures}", params={"failures": 10}),
     "A2": Threshold(AUTH, MEMBER, 20, "unique_users >= {users}", "unique_users", {"users": 5}),
     "A3": Threshold(AUTH, ACCOUNT, 30, "action = 'success' AND fail_count >= {failures}", "fail_count", {"failures": 5}),
-    "A4": Threshold(_all(AUTH, _source(*MAIL, "SSH_SECURE")), ACCOUNT, 20, "unique_ips >= {ips}", "unique_ips", {"ips": 5}),
+    "A4": Threshold(_all(AUTH, _source(*MAIL, "WP_AUTH")), ACCOUNT, 20, "unique_ips >= {ips}", "unique_ips", {"ips": 5}),
     "A9": Threshold(_all(AUTH, _source(*MAIL)), MEMBER, 15, "count >= {attempts}", params={"attempts": 15}),
     "X1": Threshold(_all(_source("EXIM_MAINLOG"), _action("fail")), MEMBER, 15, "count >= {failures}", params={"failures": 15}),
     "X2": Threshold(_all(AUTH, _source("EXIM_MAINLOG")), MEMBER, 20, "action = 'success' AND fail_count >= {failures}", "fail_count", {"failures": 5}),
@@ -136,7 +136,7 @@ DETECTIONS: dict[str, Threshold | Filter] = {
     "W6": Filter(_all(WEB, _contains_any(PATH, ["union select", "sleep(", "concat(", "../etc/passwd", "wp-config.php"])), MEMBER),
     "W8": Filter(_all(WEB, _contains_any(PATH, ["/etc/passwd", "composer.json", ".git", ".env"])), MEMBER),
     "W9": Filter(_all(WEB, _contains_any(["extra.http.user_agent"], ["WPScan", "sqlmap", "nikto"])), MEMBER),
-    "M1": Filter(_contains_any(FILE, ["/wp-admin/", "/wp-includes/", "/public_html/"]), ACCOUNT),
+    "M1": Filter(_all(_source("FILEMANAGER", "MODSEC", "SYSTEM"), _contains_any(FILE, ["/wp-admin/", "/wp-includes/", "/public_html/"])), ACCOUNT),
     "M2": Filter(lambda df: _text("extra.file.mode")(df).isin("777", "775"), ACCOUNT),
     "M4": Filter(_all(_kind("file_action"), _contains_any(FILE, [".php", ".phtml"])), ACCOUNT),
     "M5": Filter(_all(_source("MODSEC", "SYSTEM"), _contains_any(["message", "extra.waf.uri"], ["eval(base64", "gzuncompress(", "assert("])), ["server"]),
@@ -145,9 +145,9 @@ DETECTIONS: dict[str, Threshold | Filter] = {
     "M8": Filter(_all(_kind("file_action"), _contains_any(FILE, ["installer.php", "setup.php"])), ACCOUNT),
     "M9": Filter(_all(_kind("file_action"), _contains_any(FILE, ["RewriteRule", "Redirect"])), ACCOUNT),
     "M10": Filter(_all(_source("SYSTEM"), _contains_any(["message"], ["/tmp/"]), _contains_any(["message"], ["php", "sh"])), ["server"]),
-    "WP1": Filter(_all(_kind("app_error"), _contains_any(["message"], ["Failed opening required"])), ["server", "domain"]),
-    "WP5": Filter(_all(_kind("app_error"), lambda df: F.lower(_text("extra.level")(df)) == "fatal error"), ["server", "domain"]),
-    "WP6": Filter(_all(_kind("app_error"), lambda df: F.lower(_text("extra.level")(df)) == "warning"), ["server", "domain"]),
+    "WP1": Filter(_all(_source("WP_ERROR"), _kind("app_error"), _contains_any(["message"], ["Failed opening required"])), ["server", "domain"]),
+    "WP5": Filter(_all(_source("WP_ERROR"), _kind("app_error"), lambda df: F.lower(_text("extra.level")(df)) == "fatal error"), ["server", "domain"]),
+    "WP6": Filter(_all(_source("WP_ERROR"), _kind("app_error"), lambda df: F.lower(_text("extra.level")(df)) == "warning"), ["server", "domain"]),
     "R1": Filter(lambda df: truthy(event_field(df.schema, "extra.metric.ldavg_5") >= 7.0) | truthy(event_field(df.schema, "extra.metric.ldavg_15") >= 8.0), ["server"]),
     "R2": Filter(lambda df: event_field(df.schema, "extra.metric.mem_used_pct") >= 90, ["server"]),
     "R3": Filter(lambda df: event_field(df.schema, "extra.metric.util_pct") >= 95, ["server", "extra.metric.device"]),
@@ -227,8 +227,11 @@ def ip_changes(events: DataFrame, max_changes: int = 3, minutes: float = 30, coo
 def login_from_new_ip(
     events: DataFrame, det_id: str = "P2", usernames: list[str] | None = None, history: DataFrame | None = None
 ) -> DataFrame:
-    """A8 / P2 / P5: the first success of a user from an address; `history` (username, ip) lists known pairs."""
-    where = _all(AUTH, _action("success")) if usernames is not None else _all(_source(*PANEL), _action("success"))
+    """A8 / P2 / P5: the first success of a user from an address; `history` (username, ip) lists known pairs.
+
+    A8 reads panel and SSH logins, the others panel logins only.
+    """
+    where = _all(_source(*PANEL, *(["SSH_SECURE"] if det_id == "A8" else [])), _action("success"))
     rows = _rows(events, where(events), ["username", "ip_client"]).filter("username IS NOT NULL AND ip IS NOT NULL")
     if usernames is not None:
         rows = rows.filter(F.col("username").isin([u.lower() for u in usernames]))

@@ -110,7 +110,7 @@ def w2(spark, sf):
 SELECT c.event_id, c.gk FROM c JOIN f ON c.gk = f.gk AND c.us = f.us""")
 def w3(spark, sf):
     df = sec_events(spark, sf).filter("action = 'fail'").select("event_id", "us", F.col("server").alias("gk"), F.lit(7200_000_000).cast("bigint").alias("cd"))
-    return apply_cooldown(df, ["gk"], "us", "event_id", "cd", factor=8).select("event_id", "gk")
+    return apply_cooldown(df, ["gk"], "us", "event_id", "cd").select("event_id", "gk")
 
 
 @check("w6_dedupe_keep_first", f"""{WITH_SEC} SELECT username, path, event_id FROM (SELECT *, row_number() OVER (PARTITION BY username, path ORDER BY us, event_id) AS rn FROM sec) WHERE rn = 1""")

@@ -350,10 +350,10 @@ def a6(spark, sf):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
-@check("a7_fill_missing_days", f"""{WITH_ALERTS}, {ACTIVITY.format('k % 7 = 0')} SELECT strftime(make_timestamp((19723 + i) * {DAY}), '%Y-%m-%d') AS day, strftime(make_timestamp((19723 + i) * {DAY}), '%m-%d') AS label,
+@check("a7_fill_missing_days", f"""{WITH_ALERTS}, {ACTIVITY.format('true')} SELECT strftime(make_timestamp((19723 + i) * {DAY}), '%Y-%m-%d') AS day, strftime(make_timestamp((19723 + i) * {DAY}), '%m-%d') AS label,
   {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('total', 'bruteforce', 'bots', 'exploits', 'wp', 'file', 'mail', 'panel'))} FROM range(41) r(i) LEFT JOIN act ON d = 19723 + i""")
 def a7(spark, sf):
-    act = dashboards.alert_activity(alerts(spark, sf).filter("k % 7 = 0"), START, datetime(2024, 2, 10), "srv3")
+    act = dashboards.alert_activity(alerts(spark, sf), START, datetime(2024, 2, 10), "srv3")
     return dashboards.fill_missing_days(act, START, datetime(2024, 2, 10)).withColumn("day", F.col("day").cast("string"))
 
 
@@ -449,10 +449,11 @@ def j9(spark, sf):
     return dashboards.uploads_fully_processed(base.uploads(spark, sf), base.queue(spark, sf)).select("id")
 
 
-@check("j10_notify_owner", f"""{WITH_OPS}, near AS (SELECT a.id AS alert_id, arg_max(q.log_upload_id, (q.us, q.id)) AS up FROM alerts a LEFT JOIN queue q ON q.server = a.server AND q.id % 5 = 0 AND q.us BETWEEN a.us - 7200000000 AND a.us + 7200000000 GROUP BY a.id)
-  SELECT alert_id, coalesce(u.user_id, k.created_by_user_id) AS user_id FROM near LEFT JOIN uploads u ON u.id = up LEFT JOIN api_keys k ON k.id = u.api_key_id""")
+@check("j10_notify_owner", f"""{WITH_OPS}, near AS (SELECT a.id AS alert_id, arg_max(q.log_upload_id, (q.us, q.id)) AS up FROM alerts a LEFT JOIN queue q ON q.server = a.server AND q.us BETWEEN a.us - 7200000000 AND a.us + 7200000000 GROUP BY a.id)
+  SELECT alert_id, coalesce(CASE WHEN alert_id % 9 = 0 THEN 777 END, u.user_id, k.created_by_user_id) AS user_id FROM near LEFT JOIN uploads u ON u.id = up LEFT JOIN api_keys k ON k.id = u.api_key_id""")
 def j10(spark, sf):
-    return lifecycle.notify_owner(alerts(spark, sf), base.queue(spark, sf).filter("id % 5 = 0"), base.uploads(spark, sf), base.api_keys(spark, sf))
+    named = alerts(spark, sf).withColumn("metrics", F.expr("named_struct('user_id', CASE WHEN id % 9 = 0 THEN 777 END)"))
+    return lifecycle.notify_owner(named, base.queue(spark, sf), base.uploads(spark, sf), base.api_keys(spark, sf))
 
 
 # ---------------------------------------------------------------- state changes

@@ -224,6 +224,9 @@ CONDITIONS = {
     "c_none": ("action == None", "action IS NULL"),
     "c_ne": ("action != 'fail'", "action IS DISTINCT FROM 'fail'"),
     "c_div": ("severity / zero > 1", "false"),
+    "c_div_sum": ("(severity + status) / zero > 1 or (severity + 2) / 2 >= 5", "(severity + 2) / 2.0 >= 5"),
+    "c_div_twice": ("severity / 2 / zero > 1 or severity * 3 / 2 / 5 >= 3", "severity * 3 / 2.0 / 5 >= 3"),
+    "c_ne_sum": ("severity + 1 != status % zero", "true"),
     "c_empty": ("", "true"),
     "c_arith": ("severity * 2 + 1 >= status - 380", "severity * 2 + 1 >= status - 380"),
 }

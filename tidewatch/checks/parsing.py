@@ -151,7 +151,7 @@ def p7(spark, sf):
     return df.groupBy("code", action.alias("action"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SSH_LINE = (f"concat({SYSLOG}, ' h1 sshd[', k, ']: ', CASE WHEN k % 10 = 9 THEN 'Connection closed by ' WHEN action = 'success' THEN 'Accepted publickey for ' "
+SSH_LINE = (f"concat({SYSLOG}, ' h1 sshd[', k, ']: ', CASE WHEN k % 10 = 9 OR action IS NULL THEN 'Connection closed by ' WHEN action = 'success' THEN 'Accepted publickey for ' "
             "WHEN k % 2 = 0 THEN 'Failed password for invalid user ' ELSE 'Failed password for ' END, username, ' from ', ip_client, ' port ', 1024 + k, ' ssh2')")
 
 
@@ -159,7 +159,7 @@ SSH_LINE = (f"concat({SYSLOG}, ' h1 sshd[', k, ']: ', CASE WHEN k % 10 = 9 THEN
   CASE WHEN action = 'success' THEN 'publickey' END AS auth_method, (action = 'success')::BIGINT AS ok FROM sec
   WHERE action IS NOT NULL AND k % 10 < 9""")
 def p8(spark, sf):
-    ev = host.parse_ssh(lines(spark, sf, SSH_LINE, "action is not null"), NOW)
+    ev = host.parse_ssh(lines(spark, sf, SSH_LINE), NOW)
     return flat(ev, username="username", ip="ip_client", action="extra.action", port="cast(extra.port as bigint)",
                 auth_method="extra.auth_method", ok="cast(extra.auth_success as bigint)")
 
@@ -342,13 +342,14 @@ def s4(spark, sf):
 
 def _stats(spark, sf):
     line = f"CASE WHEN k % 10 = 0 THEN 'garbage' WHEN k % 10 = 1 THEN regexp_replace({SSH_LINE}, '^... ', 'Xxx ') ELSE {SSH_LINE} END"
-    raw = lines(spark, sf, line, "action is not null", "secure")
+    raw = lines(spark, sf, line, log_type="secure")
     return src.ingest_stats(raw, host.parse_ssh(raw, NOW), F.col("extra.action") == "fail")
 
 
-STATS_SQL = f"""{WITH_SEC}, stats AS (SELECT server AS file, count(*) AS lines_total, count_if(k % 10 BETWEEN 2 AND 8) AS lines_parsed,
-  count_if(k % 10 IN (0, 9)) AS lines_skipped, count_if(k % 10 = 1) AS lines_failed, count_if(k % 10 BETWEEN 1 AND 8) AS events_created,
-  count_if(k % 10 BETWEEN 1 AND 8 AND action = 'fail') AS raw_saved FROM sec WHERE action IS NOT NULL GROUP BY server)
+STATS_SQL = f"""{WITH_SEC}, stats AS (SELECT server AS file, count(*) AS lines_total, count_if(k % 10 BETWEEN 2 AND 8 AND action IS NOT NULL) AS lines_parsed,
+  count_if(k % 10 IN (0, 9) OR action IS NULL) AS lines_skipped, count_if(k % 10 = 1 AND action IS NOT NULL) AS lines_failed,
+  count_if(k % 10 BETWEEN 1 AND 8 AND action IS NOT NULL) AS events_created,
+  count_if(k % 10 BETWEEN 1 AND 8 AND action = 'fail') AS raw_saved FROM sec GROUP BY server)
 SELECT * FROM stats"""
 
 

@@ -112,3 +112,17 @@ def time_range(now: datetime, days: int | None = None, from_: str | None = None,
     n = int(days or 7)
     now = _utc(now)
     return now - timedelta(days=n if n > 0 else 7), now
+
+
+def within(df, column: str, start=None, end=None) -> Column:
+    """Test that a time lies between two instants (either may be missing). Tables partitioned by `date` are pruned by the same bounds."""
+    bound = lambda v: F.lit(_utc(v)) if isinstance(v, datetime) else v if isinstance(v, Column) else F.lit(v)
+    test = F.lit(True)
+    for value, above in ((start, True), (end, False)):
+        if value is not None:
+            at = bound(value).cast("timestamp")
+            test = test & (F.col(column) >= at if above else F.col(column) <= at)
+            if "date" in df.columns and column == "timestamp_utc":
+                day = F.to_date(at)
+                test = test & (F.col("date") >= day if above else F.col("date") <= day)
+    return test

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.bands import ACTIVE, ALERT_RANGES, entity_bucket, status_to_stored
 from tidewatch.functions.fields import optional
-from tidewatch.functions.times import _utc
+from tidewatch.functions.times import _utc, within
 from tidewatch.operators.normalize import entity_servers
 from tidewatch.plans.entities import entity_state
 
@@ -104,11 +104,7 @@ def search_events(
     events: DataFrame, *, start: datetime | None = None, end: datetime | None = None, server: str | None = None,
     source: str | None = None, service: str | None = None, q: str | None = None,
 ) -> DataFrame:
-    out = events
-    if start is not None:
-        out = out.filter(F.col("timestamp_utc") >= _utc(start))
-    if end is not None:
-        out = out.filter(F.col("timestamp_utc") <= _utc(end))
+    out = events.filter(within(events, "timestamp_utc", start, end))
     for name, value in (("server", server), ("source", source), ("service", service)):
         if value:
             out = out.filter(F.col(name) == value)

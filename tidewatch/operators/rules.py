@@ -236,7 +236,6 @@ INCIDENT_CONDITION_NAMES = [
     "group_key", "primary", "server",
 ]
 _QUOTED = r"'[^']*'|\"[^\"]*\""
-_OPERAND = rf"(?:{_QUOTED}|[\w.]+)"
 _WORDS = {"and", "or", "not", "in", "true", "false", "null", "is", "contains", "try_divide", "try_mod"}
 
 
@@ -251,17 +250,53 @@ def condition_error(condition: str, names: list[str]) -> str | None:
     return None
 
 
+_BOOLEAN = {"and", "or", "not"}
+_SAFE = {"/": "try_divide", "%": "try_mod"}
+
+
+def _operands(tokens: list[str]) -> list[str]:
+    """Tokens up to the closing bracket, with each bracketed part and each call as one operand."""
+    out: list[str] = []
+    while tokens:
+        token = tokens.pop(0)
+        if token == ")":
+            break
+        if token == "(":
+            inner = "(" + _safe(_operands(tokens)) + ")"
+            # a word before a bracket names a function, or is `in`
+            called = out and re.fullmatch(r"[A-Za-z_]\w*", out[-1]) and out[-1].lower() not in _BOOLEAN | {"in"}
+            token = out.pop() + inner if called else inner
+        out.append(token)
+    return out
+
+
+def _safe(items: list[str]) -> str:
+    """Items with products taken from left to right, division and remainder in their forms that yield null, and null-safe inequality."""
+    terms: list[str] = []
+    for item in items:
+        if len(terms) > 1 and terms[-1] in ("*", "/", "%"):
+            sign, left = terms.pop(), terms.pop()
+            item = f"({left} * {item})" if sign == "*" else f"{_SAFE[sign]}({left}, {item})"
+        terms.append(item)
+    parts: list[list[str]] = [[]]
+    for term in terms:
+        if term.lower() in _BOOLEAN or term == ",":
+            parts += [[term], []]
+        else:
+            parts[-1].append(term)
+    for part in parts:
+        if "!=" in part:
+            at = part.index("!=")
+            part[:] = [f"(NOT ({' '.join(part[:at])} <=> {' '.join(part[at + 1:])}))"]
+    return " ".join(" ".join(p) for p in parts if p)
+
+
 def condition_text(condition: str, rename: dict[str, str] | None = None) -> str:
-    """Condition as Spark SQL: null-safe equality, and division that yields null instead of failing."""
-    pieces = re.split(f"({_QUOTED})", condition or "true")
-    pieces[::2] = [re.sub(r"\bNone\b", "NULL", p) for p in pieces[::2]]
-    for name, column in (rename or {}).items():
-        pieces[::2] = [re.sub(rf"\b{re.escape(name)}\b", column, p) for p in pieces[::2]]
-    sql = "".join(pieces)
-    sql = re.sub(rf"({_OPERAND})\s*/\s*({_OPERAND})", r"try_divide(\1, \2)", sql)
-    sql = re.sub(rf"({_OPERAND})\s*%\s*({_OPERAND})", r"try_mod(\1, \2)", sql)
-    sql = re.sub(rf"({_OPERAND})\s*!=\s*({_OPERAND})", r"(NOT (\1 <=> \2))", sql)
-    return sql.replace("==", "<=>")
+    """Condition as Spark SQL: null-safe equality, and division that yields null instead of failing, whatever its operands are."""
+    tokens = re.findall(rf"{_QUOTED}|[\w.]+|<=>|[<>=!]=|[^\s]", condition or "true")
+    renamed = {"None": "NULL", **(rename or {})}
+    sql = _safe(_operands([renamed.get(t, t) for t in tokens]))
+    return re.sub(r"==", "<=>", sql)
 
 
 def rule_condition(condition: str, rename: dict[str, str] | None = None) -> Column:

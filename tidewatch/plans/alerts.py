@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import blank_to_null, event_field, group_key
 from tidewatch.functions.net import ip_subnet, ip_to_long
+from tidewatch.functions.times import within
 from tidewatch.operators.cooldown import apply_cooldown
 from tidewatch.operators.prefix import SIX_HOURS_US, numbered
 from tidewatch.operators.rules import (
@@ -209,15 +210,16 @@ def build_alerts(
     raw_lines: DataFrame | None = None,
     extended_fields: bool = False,
     slice_width: int = SIX_HOURS_US,
+    raw_chars: int | None = None,
 ) -> DataFrame:
-    """Alerts of all enabled rules. `raw_lines` (raw_id, raw) adds samples of the evidence lines."""
+    """Alerts of all enabled rules. `raw_lines` (raw_id, raw) adds samples of the evidence lines, whole or cut to `raw_chars`."""
     rules = [r for r in rules if r.enabled]
     hits = staged(events_to_rules(events, rules, trust or TrustConfig(), extended_fields), "hits")
     metrics = staged(window_metrics(hits, rules, slice_width), "metrics")
     alerts = staged(fired(metrics, rules), "fired")
     evidence = window_evidence(alerts, metrics, rules)
     if raw_lines is not None:
-        raw = raw_lines.select("raw_id", F.substring("raw", 1, 500).alias("raw"))
+        raw = raw_lines.select("raw_id", F.col("raw") if raw_chars is None else F.substring("raw", 1, raw_chars).alias("raw"))
         evidence = evidence.join(raw, "raw_id", "left")
     else:
         evidence = evidence.withColumn("raw", F.lit(None).cast("string"))
@@ -286,7 +288,7 @@ def reprocess_rules(
 
     Windows and cooldowns start empty at the lower end of the range.
     """
-    inside = events.filter(F.col("timestamp_utc").between(time_min, time_max))
+    inside = events.filter(within(events, "timestamp_utc", time_min, time_max))
     old = F.col("triggered_at").between(time_min, time_max) & F.col("rule_id").isin([r.id for r in rules])
     if server:
         inside = inside.filter(F.col("server") == server)

@@ -157,6 +157,10 @@ def nearest_event(alerts: DataFrame, events: DataFrame, reach_us: int = TWO_HOUR
 
 
 def notify_owner(alerts: DataFrame, events: DataFrame, uploads: DataFrame, api_keys: DataFrame) -> DataFrame:
-    """(alert_id, user_id) through the nearest event's upload."""
-    found = nearest_event(alerts, events)
-    return found.join(upload_owner(uploads, api_keys), "log_upload_id", "left").select("alert_id", F.col("owner").alias("user_id"))
+    """(alert_id, user_id): the user that the alert names, else the owner of the upload that it names, else of the nearest event's upload."""
+    named = alerts.select(
+        F.col("id").alias("alert_id"), optional(alerts, "metrics.user_id").try_cast("bigint").alias("named_user"),
+        optional(alerts, "evidence.log_upload_id").try_cast("bigint").alias("named_upload"),
+    )
+    found = nearest_event(alerts, events).join(named, "alert_id").withColumn("log_upload_id", F.coalesce("named_upload", "log_upload_id"))
+    return found.join(upload_owner(uploads, api_keys), "log_upload_id", "left").select("alert_id", F.coalesce("named_user", "owner").alias("user_id"))

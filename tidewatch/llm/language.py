@@ -121,7 +121,11 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     cells = usable.groupBy("lang", F.shiftrightunsigned("h", 44).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     cut = cells.withColumn("before", F.coalesce(running, F.lit(0))).filter(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
-    few = usable.join(cut, "lang").filter(F.shiftrightunsigned("h", 44) <= F.col("last"))
+    # a row a language, as the model has anyway; so texts are picked where they are
+    last = [x for r in cut.orderBy("lang").collect() for x in (F.lit(r.lang), F.lit(r["last"]))]
+    if not last:
+        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
+    few = usable.filter(F.shiftrightunsigned("h", 44) <= F.element_at(F.create_map(*last), F.col("lang")))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     sample = staged(few.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("lang", "turn", "text").filter(F.col("text").rlike(r"\p{L}")), "language-sample")
     counted = sample.select("text").mapInArrow(_count_symbols, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))

@@ -11,20 +11,13 @@ from tidewatch.checks.registry import check
 from tidewatch.functions.fields import group_key
 from tidewatch.functions.net import ip_to_long
 from tidewatch.operators.cooldown import apply_cooldown
+from tidewatch.operators.normalize import keep_first
 from tidewatch.operators.rules import (
-    EventRule,
-    TrustConfig,
-    event_action,
-    event_path,
-    is_trusted,
-    is_trusted_for_rule,
-    rule_condition,
-    rule_let,
-    rule_match,
+    event_action, EVENT_CONDITION_NAMES, event_path, EventRule, is_trusted, is_trusted_for_rule, rule_condition, rule_let, rule_match, TrustConfig, with_condition_error,
 )
 from tidewatch.operators.staging import staged
 from tidewatch.operators.windows import sliding_metrics
-from tidewatch.plans.alerts import build_alerts, condition_errors, events_to_rules, reprocess_rules
+from tidewatch.plans.alerts import build_alerts, events_to_rules, reprocess_rules
 
 DAY = 86_400_000_000
 AUTH = "source = 'SSH_SECURE'"
@@ -115,8 +108,7 @@ def w3(spark, sf):
 
 @check("w6_dedupe_keep_first", f"""{WITH_SEC} SELECT username, path, event_id FROM (SELECT *, row_number() OVER (PARTITION BY username, path ORDER BY us, event_id) AS rn FROM sec) WHERE rn = 1""")
 def w6(spark, sf):
-    first = sec_events(spark, sf).groupBy("username", "path").agg(F.min(F.struct("us", "event_id")).alias("f"))
-    return first.select("username", "path", "f.event_id")
+    return keep_first(sec_events(spark, sf), ["username", "path"], ["us", "event_id"]).select("username", "path", "event_id")
 
 
 @check("w7_carry_forward", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS last_user_turn,
@@ -314,11 +306,12 @@ def r3_one(spark, sf):
     return alert_rows(build_alerts(events(spark, sf), RULES[:1]))
 
 
-@check("r9_condition_errors", f"{WITH_SEC} SELECT 6::BIGINT AS rule_id, 'unknown name: nothing_known' AS error, count(*) AS events FROM sec")
+@check("r9_condition_errors", f"""{WITH_SEC} SELECT event_id, CASE k % 5 WHEN 1 THEN 'unknown name: path_' || k WHEN 2 THEN 'unsupported character' WHEN 3 THEN 'unknown name: ' || username END AS error FROM sec""")
 def r9(spark, sf):
-    found = condition_errors(RULES)
-    (rid, error), = found.items()
-    return sec_events(spark, sf).agg(F.lit(rid).cast("bigint").alias("rule_id"), F.lit(error).alias("error"), F.count(F.lit(1)).alias("events"))
+    """A rule written from each event: good, an unknown name, a forbidden sign, a bare word, a quoted word."""
+    rules = sec_events(spark, sf).select("event_id", F.expr("""CASE k % 5 WHEN 0 THEN concat('count >= ', k, ' and fail_count != None') WHEN 1 THEN concat('count >= 1 and path_', k, ' > 2')
+      WHEN 2 THEN concat('count >= 1; drop ', server) WHEN 3 THEN concat('username == ', username) ELSE concat("username == '", username, ";'") END""").alias("condition"))
+    return with_condition_error(rules, "condition", EVENT_CONDITION_NAMES).select("event_id", "error")
 
 
 @check("j1_events_to_rules", f"{WITH_SEC} " + " UNION ALL ".join(

@@ -126,3 +126,13 @@ def within(df, column: str, start=None, end=None) -> Column:
                 day = F.to_date(at)
                 test = test & (F.col("date") >= day if above else F.col("date") <= day)
     return test
+
+
+def newest_days(df, column: str = "timestamp_utc"):
+    """Rows of the newest day of a table partitioned by `date`, which hold its latest time; other tables as they are.
+
+    The day is a scalar subquery over the partition column alone, so only that day's files are read for the time.
+    """
+    if "date" not in df.columns or column != "timestamp_utc":
+        return df
+    return df.filter(F.col("date") == df.agg(F.max("date")).scalar())

@@ -250,6 +250,16 @@ def condition_error(condition: str, names: list[str]) -> str | None:
     return None
 
 
+def with_condition_error(rules: DataFrame, condition: str, names: list[str]) -> DataFrame:
+    """Adds `error` to a table of rules: why the condition of a row cannot be used, or null. The same tests as `condition_error`."""
+    bare = F.regexp_replace(F.coalesce(F.col(condition), F.lit("")), _QUOTED, " ")
+    known = F.array(*[F.lit(n) for n in [*names, "None"]])
+    words = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
+    strange = F.get(F.filter(words, lambda w: ~F.lower(w).isin(*sorted(_WORDS)) & ~F.array_contains(known, w)), F.lit(0))
+    error = F.when(bare.rlike(r"[^\w\s.()<>=!+\-*/%,]"), "unsupported character").when(strange.isNotNull(), F.concat(F.lit("unknown name: "), strange))
+    return rules.withColumn("error", error)
+
+
 _BOOLEAN = {"and", "or", "not"}
 _SAFE = {"/": "try_divide", "%": "try_mod"}
 

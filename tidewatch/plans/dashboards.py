@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.bands import ACTIVE, incident_level, kpi_floor, level_label, score_badge, shown_status
 from tidewatch.functions.fields import optional
-from tidewatch.functions.times import _utc, lag_band, lag_seconds, lag_text
+from tidewatch.functions.times import _utc, lag_band, lag_seconds, lag_text, newest_days, within
 from tidewatch.plans.entities import entity_state
 
 FAILED = ["failed", "error"]
@@ -47,37 +47,37 @@ def dashboard_kpis(
     alerts: DataFrame, incidents: DataFrame, links: DataFrame, entities: DataFrame, events: DataFrame, uploads: DataFrame,
     start: datetime, end: datetime, now: datetime, server: str | None = None, severity: str | None = "all",
 ) -> DataFrame:
-    """One row of key figures. Every input is reduced to one row by its own aggregate before they meet."""
+    """One row of key figures. Every input is reduced to one row by its own aggregate before they meet.
+
+    Counts of a range read that range only; latest times are aggregates of their own, over the newest day where a table has days.
+    """
     start, end, now = _utc(start), _utc(end), _utc(now)
     alerts, incidents, events, uploads = (_on_server(d, server) for d in (alerts, incidents, events, uploads))
     in_range = F.col("triggered_at").between(start, end)
     floor = kpi_floor(severity)
     if floor is not None:
         in_range = in_range & (F.col("severity") >= floor)
-    a = alerts.agg(
-        F.count_if(in_range).alias("alerts_total"),
-        F.count_if(in_range & (F.col("status") == "open")).alias("alerts_open"),
-        F.count_if(in_range & (F.col("severity") >= 15)).alias("alerts_high_critical"),
-        F.max("triggered_at").alias("last_alert_at"),
+    a = alerts.filter(in_range).agg(
+        F.count(F.lit(1)).alias("alerts_total"),
+        F.count_if(F.col("status") == "open").alias("alerts_open"),
+        F.count_if(F.col("severity") >= 15).alias("alerts_high_critical"),
     )
+    last_alert = alerts.agg(F.max("triggered_at").alias("last_alert_at"))
     active = F.col("status").isin(ACTIVE)
     i = incidents.agg(
         F.count_if(active).alias("incidents_active"),
         F.count_if(active & (F.col("severity_current") >= 90)).alias("incidents_critical"),
         F.max("last_activity_at").alias("last_incident_at"),
     )
-    seen = F.col("timestamp_utc").between(start, end)
-    e = events.agg(
-        F.count_if(seen).alias("events"),
-        F.count_distinct(F.when(seen, F.col("source"))).alias("active_sources"),
-        F.max("timestamp_utc").alias("last_event_at"),
+    e = events.filter(within(events, "timestamp_utc", start, end)).agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("source").alias("active_sources"),
     )
+    last_event = newest_days(events).agg(F.max("timestamp_utc").alias("last_event_at"))
     recent = F.col("uploaded_at") >= now - timedelta(hours=24)
-    u = uploads.agg(
-        F.count_if(recent).alias("uploads_24h"),
-        F.count_if(recent & F.col("status").isin(FAILED)).alias("uploads_failed_24h"),
+    u = uploads.filter(recent).agg(
+        F.count(F.lit(1)).alias("uploads_24h"), F.count_if(F.col("status").isin(FAILED)).alias("uploads_failed_24h"),
     )
-    out = one_row(a, i, incident_kpi_entities(incidents, links, entities), e, u)
+    out = one_row(a, last_alert, i, incident_kpi_entities(incidents, links, entities), e, last_event, u)
     return out.withColumn("lag_seconds", lag_seconds(F.col("last_event_at"), now))
 
 
@@ -122,19 +122,20 @@ def events_by_status(events: DataFrame) -> DataFrame:
 
 def pipeline_overview(alerts: DataFrame, incidents: DataFrame, uploads: DataFrame, events: DataFrame, now: datetime) -> DataFrame:
     since = _utc(now) - timedelta(hours=24)
-    fresh = lambda df, name: df.agg(F.count_if(F.col("created_at") >= since).alias(name))
+    fresh = lambda df, name: df.filter(F.col("created_at") >= since).agg(F.count(F.lit(1)).alias(name))
     return one_row(
         fresh(alerts, "alerts_24h"), fresh(incidents, "incidents_24h"),
-        uploads.agg(F.min(F.when(F.col("status") == "queued", F.col("uploaded_at"))).alias("oldest_queued")),
-        events.agg(F.min(F.when(F.col("engine_status") == "pending", F.col("created_at"))).alias("oldest_pending")),
+        uploads.filter("status = 'queued'").agg(F.min("uploaded_at").alias("oldest_queued")),
+        events.filter("engine_status = 'pending'").agg(F.min("created_at").alias("oldest_pending")),
     )
 
 
-def operational_tops(uploads: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+def operational_tops(uploads: DataFrame, events: DataFrame, queued: int = 50, failed: int = 30, pending: int = 80) -> dict[str, DataFrame]:
+    """The oldest queued uploads, the latest failed ones and the oldest pending events; the lists' lengths are parameters."""
     return {
-        "pending_uploads": uploads.filter(F.col("status").isin(UPLOAD_QUEUE)).orderBy("uploaded_at", "id").limit(50),
-        "error_uploads": uploads.filter("status = 'error'").orderBy(F.desc("uploaded_at"), "id").limit(30),
-        "pending_events": events.filter(F.col("engine_status").isin(QUEUE_STATES)).orderBy("created_at", "id").limit(80),
+        "pending_uploads": uploads.filter(F.col("status").isin(UPLOAD_QUEUE)).orderBy("uploaded_at", "id").limit(queued),
+        "error_uploads": uploads.filter("status = 'error'").orderBy(F.desc("uploaded_at"), "id").limit(failed),
+        "pending_events": events.filter(F.col("engine_status").isin(QUEUE_STATES)).orderBy("created_at", "id").limit(pending),
     }
 
 
@@ -147,9 +148,9 @@ def system_status(events: DataFrame, alerts: DataFrame, incidents: DataFrame, up
     now = _utc(now)
     recent = F.col("uploaded_at") >= now - timedelta(hours=24)
     one = one_row(
-        events.agg(F.max("timestamp_utc").alias("e")), alerts.agg(F.max("triggered_at").alias("a")),
+        newest_days(events).agg(F.max("timestamp_utc").alias("e")), alerts.agg(F.max("triggered_at").alias("a")),
         incidents.agg(F.max("last_activity_at").alias("i")),
-        uploads.agg(F.count_if(recent).alias("n"), F.count_if(recent & F.col("status").isin(FAILED)).alias("bad")),
+        uploads.filter(recent).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(FAILED)).alias("bad")),
     )
     lag = lambda c: lag_seconds(F.col(c), now)
     upload_code = F.when(F.col("bad") >= 10, "error").when(F.col("bad") > 0, "warning").otherwise("ok")

@@ -286,15 +286,39 @@ def p16(spark, sf):
                      F.coalesce(m + "ldavg_1", m + "mem_used_pct", m + "util_pct").alias("v"), F.round(m + "ldavg_1_per_cpu", 6).alias("per_cpu"))
 
 
-@check("p17_parse_all", f"""{WITH_SEC} SELECT CASE k % 3 WHEN 0 THEN 'APACHE_ACCESS' WHEN 1 THEN 'NGINX_ACCESS' ELSE 'PANEL_LOGIN' END AS source,
-  server, count(*) AS n FROM sec WHERE k % 7 > 0 GROUP BY ALL""")
+# log type -> line, test of the lines that become events, source of these (same text for both engines)
+ALL_TYPES = {
+    "apache_access": (ACCESS_LINE, "true", "APACHE_ACCESS"),
+    "nginx_access": (ACCESS_LINE, "true", "NGINX_ACCESS"),
+    "apache_error": (WEB_ERROR_LINE, "true", "APACHE_ERROR"),
+    "exim_mainlog": (MAIL_LINE, "k % 10 <> 4", "EXIM_MAINLOG"),
+    "maillog": (f"concat({SYSLOG}, ' h1 dovecot: imap-login: Logged in: user=<', username, '>, rip=', ip_client, ', lip=1.1.1.1')", "true", "MAILLOG_DOVECOT"),
+    "lfd": (FIREWALL_LINE, "k % 6 < 5", "LFD"),
+    "modsec": (f"concat('[', date_format({LOCAL}, 'yyyy-MM-dd HH:mm:ss'), '] x [id \"', k, '\"] [msg \"m\"] [hostname \"h.x\"] [uri \"', path, '\"] [client \"', ip_client, '\"]')", "true", "MODSEC"),
+    "system": (f"concat({SYSLOG}, ' h1 kernel: ', path)", "true", "SYSTEM"),
+    "secure": (SSH_LINE, "k % 10 < 9 AND action IS NOT NULL", "SSH_SECURE"),
+    "cpanel_access": (PANEL_LINE, "true", "PANEL_ACCESS"),
+    "panel_logs": (f"concat(ip_client, ' - ', username, ' [', {HTTP_TIME}, '] x \"LOGIN ok\"')", "true", "PANEL_LOGIN"),
+    "wp_error_log": (f"concat('[', date_format({LOCAL}, 'dd-MMM-yyyy HH:mm:ss'), '] PHP Notice: bad in wp-content/a')", "true", "WP_ERROR"),
+    "sar": ("CASE WHEN k < 40 THEN 'SAR_DATE=2024-01-05' ELSE '10:00:01 100 200 300 45.5 1' END", "k >= 40 AND dated > 0", "SAR_STATS"),
+    "filemanager": (f"concat(date_format({LOCAL}, 'yyyy-MM-dd HH:mm:ss'), ' user=', username, ' ip=', ip_client, ' action=put path=', path)", "true", "FILEMANAGER"),
+}
+_NUMBER = {name: i for i, name in enumerate(ALL_TYPES)}
+
+
+@check("p17_parse_all", f"""{WITH_SEC}, t AS (SELECT *, sum(CASE WHEN k < 40 AND event_id % 14 = {_NUMBER['sar']} THEN 1 ELSE 0 END) OVER (PARTITION BY server ORDER BY event_id) AS dated FROM sec)
+SELECT CASE event_id % 14 """ + " ".join(f"WHEN {i} THEN '{ALL_TYPES[n][2]}'" for n, i in _NUMBER.items()) + f""" END AS source, server, count(*) AS n FROM t
+  WHERE CASE event_id % 14 """ + " ".join(f"WHEN {i} THEN {ALL_TYPES[n][1]}" for n, i in _NUMBER.items()) + """ END GROUP BY ALL""")
 def p17(spark, sf):
-    panel = f"concat(ip_client, ' - ', username, ' [', {HTTP_TIME}, '] x \"LOGIN ok\"')"
-    df = lines(spark, sf, f"CASE WHEN k % 7 = 0 THEN 'garbage' WHEN k % 3 = 2 THEN {panel} ELSE {ACCESS_LINE} END")
-    kinds = sec_events(spark, sf).select(F.col("event_id").alias("line_no"), F.expr(
-        "CASE k % 3 WHEN 0 THEN 'apache_access' WHEN 1 THEN 'nginx_access' ELSE 'panel_logs' END").alias("log_type"))
-    ev = parse_all(df.drop("log_type").join(kinds, "line_no"), NOW, ["apache_access", "nginx_access", "panel_logs"])
-    return ev.groupBy("source", "server").agg(F.count(F.lit(1)).alias("n"))
+    """Lines of all types, from lines stored by type."""
+    import uuid
+
+    which = "CASE event_id % 14 " + " ".join(f"WHEN {i} THEN {{}}" for i in _NUMBER.values()) + " END"
+    rows = sec_events(spark, sf).select(
+        F.expr(which.format(*[x[0] for x in ALL_TYPES.values()])).alias("raw"), F.col("server").alias("file"), "server",
+        F.col("event_id").alias("line_no"), F.expr(which.format(*[f"'{n}'" for n in ALL_TYPES])).alias("log_type"))
+    stored = src.by_log_type(rows, f"{shared_root(spark)}/lines-{uuid.uuid4().hex}")
+    return parse_all(stored, NOW).groupBy("source", "server").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check("p18_to_utc", f"""{WITH_SEC} SELECT event_id, CASE WHEN k % 9 = 8 THEN NULL WHEN k % 9 = 3 THEN us ELSE {SECOND} END AS us FROM sec""")

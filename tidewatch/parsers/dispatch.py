@@ -40,7 +40,8 @@ PARSERS = {
 def parse_all(lines: DataFrame, ref_now=None, log_types: list[str] | None = None, lenient: bool = False) -> DataFrame:
     """Events of all lines by their `log_type`; lines of other types are left to the rejects of `resolve_log_type`.
 
-    Name the log types present in the input, and no branch is planned for the others.
+    Name the log types present in the input, and no branch is planned for the others. Each branch reads the lines of its type; over a table
+    from `sources.lines.by_log_type` that is its own folder, so all branches together read the lines once.
     """
     wanted = list(PARSERS) if log_types is None else log_types
     parts = [PARSERS[t](lines.filter(F.col("log_type") == t), ref_now, lenient=lenient) for t in wanted]

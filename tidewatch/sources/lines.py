@@ -95,6 +95,12 @@ def resolve_log_type(df: DataFrame, tag: str = "tag", filename: str = "filename"
     return df.withColumn("log_type", F.coalesce(_lookup(F.lower(F.trim(F.col(tag))), table), by_name))
 
 
+def by_log_type(lines: DataFrame, path: str) -> DataFrame:
+    """The lines written once to folders of their log type and read back, so that each parser of `parse_all` opens its own lines only."""
+    lines.filter(F.col("log_type").isNotNull()).hint("rebalance", "log_type").write.partitionBy("log_type").parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
+
+
 def skip_already_ingested(lines: DataFrame, events: DataFrame) -> DataFrame:
     """Lines of files that have no events yet."""
     return lines.join(events.select("file").distinct(), "file", "left_anti")

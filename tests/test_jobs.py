@@ -44,13 +44,17 @@ def test_range_join_equals_brute_force_with_wide_ranges_and_gaps(spark):
     rnd = random.Random(3)
     edges = sorted(rnd.sample(range(0, 5_000_000), 60))
     ranges = [(a, b - 1, f"r{a}") for a, b in zip(edges[::2], edges[1::2])]
-    points = [rnd.randrange(5_100_000) for _ in range(800)] + [a for a, _, _ in ranges] + [b for _, b, _ in ranges] + [None]
+    points = [rnd.randrange(5_100_000) for _ in range(800)] + [a for a, _, _ in ranges] + [b for _, b, _ in ranges] + [None] * 500 + [ranges[3][0]] * 9000
     want = sorted((p if p is not None else -1, next((n for a, b, n in ranges if p is not None and a <= p <= b), "")) for p in points)
     r = spark.createDataFrame(ranges, "start_long long, end_long long, name string")
     p = spark.createDataFrame([(x,) for x in points], "p long")
-    for limit in (10**9, 0):
-        got = range_join(p, "p", r, broadcast_limit=limit).collect()
+    other = r.select("start_long", "end_long", F.length("name").alias("width"))
+    for limit in ("10m", "-1"):  # with and without broadcasts by Spark itself
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = range_join(p, "p", r, other).collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert sorted((x["p"] if x["p"] is not None else -1, x["name"] or "") for x in got) == want
+        assert all((x["width"] or 0) == len(x["name"] or "") for x in got)
 
 
 def alert_rows(spark, rows):

@@ -1,8 +1,9 @@
 """URL filter: listed rules first, then per-host path templates judged by labelled purity.
 
 The tree of a host is grown level by level over distinct path shapes (digit runs read as '#'). A branch keeps its literal segment only
-where it has support and its labels differ from its siblings' by a two-proportion test; all other branches merge into one wildcard. Segments
-beyond the depth of the tree are one '**'. A template is blocked where its share of good labels, smoothed towards its host's share,
+where it has support and its labels differ from its siblings' by a two-proportion test, the stricter the more siblings are tested; all other
+branches merge into one wildcard. The tree ends where no node with segments left has the support that a literal branch needs; those
+segments are a wildcard each. A template is blocked where its share of good labels, smoothed towards its host's share,
 that towards the share of all labels and that towards 1, is under `min_purity`.
 
 Defined results: a null url, or one without '://', has empty host and path and template ''; without labels everything not ruled is
@@ -11,6 +12,8 @@ allowed; equal rows give equal rows; labels of ids that no page has only count f
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +24,17 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
-DEPTH = 4
 MIN_SUPPORT = 20
-MIN_SHARE = 0.02
 SMOOTHING = 20
 MIN_PURITY = 0.5
 
-#: A branch (n, lab, good) against its parent's sums (all_n, all_lab, all_good): kept as a literal segment.
-DISTINCT = f"""n >= {MIN_SUPPORT} AND n >= {MIN_SHARE} * all_n AND CASE WHEN lab > 0 AND all_lab > lab THEN
-  abs(good / lab - (all_good - good) / (all_lab - lab)) > 2.58 * sqrt((all_good / all_lab) * (1 - all_good / all_lab) * (1.0 / lab + 1.0 / (all_lab - lab)))
+#: A branch (n, lab, good) against its parent's sums (all_n, all_lab, all_good) as one of `tested` branches: kept as a literal segment.
+#: For one branch the test is at 1%; 2 ln(tested) more on the square keeps that for all together.
+DISTINCT = f"""n >= {MIN_SUPPORT} AND CASE WHEN lab > 0 AND all_lab > lab THEN
+  abs(good / lab - (all_good - good) / (all_lab - lab)) > sqrt(2.58 * 2.58 + 2 * ln(tested)) * sqrt((all_good / all_lab) * (1 - all_good / all_lab) * (1.0 / lab + 1.0 / (all_lab - lab)))
   ELSE false END"""
+#: Levels whose finished rows are read one by one before they are written together.
+TOGETHER = 32
 
 
 def with_parts(urls: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "#")
 
 
-def path_templates(urls: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFrame:
+def path_templates(urls: DataFrame, labels: DataFrame) -> DataFrame:
     """host, shape, template and purity of each distinct path shape. `urls`: page_id, host, path; `labels`: page_id, good (0 or 1)."""
     sums = lambda *more: [F.sum(c).alias(c) for c in ("n", "lab", "good")] + list(more)
     known = labels.filter("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.max("good").alias("good"), F.lit(1).alias("lab"))
@@ -63,15 +67,26 @@ def path_templates(urls: DataFrame, labels: DataFrame, depth: int = DEPTH) -> Da
         .withColumn("template", F.lit(""))
     )
     nodes = staged(nodes, "url-shapes")
-    for _ in range(depth):
-        branches = nodes.filter(F.size("tail") > 0).groupBy("host", "template", F.col("tail")[0].alias("segment")).agg(*sums())
-        whole = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "good")])
+    ended: list[DataFrame] = []
+    while True:
+        ended.append(nodes.filter(F.size("tail") == 0))
+        if len(ended) > TOGETHER:
+            ended = [staged(reduce(DataFrame.unionByName, ended), "url-ended")]
+        nodes = nodes.filter(F.size("tail") > 0)
+        branches = nodes.groupBy("host", "template", F.col("tail")[0].alias("segment")).agg(*sums())
+        tested = F.count_if((F.col("n") >= MIN_SUPPORT) & (F.col("lab") > 0)).alias("tested")
+        whole = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "good")], tested)
+        # below a node with fewer pages or labels no branch can be literal
+        whole = staged(whole.filter((F.col("all_n") >= MIN_SUPPORT) & (F.col("all_lab") > 1)), "url-nodes")
+        if whole.isEmpty():
+            break
         literal = branches.join(whole, ["host", "template"]).filter(DISTINCT).select("host", "template", "segment", F.lit(True).alias("literal"))
-        step = F.when(F.size("tail") > 0, F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))).otherwise("")
-        nodes = nodes.withColumn("segment", F.get("tail", F.lit(0))).join(literal, ["host", "template", "segment"], "left")
-        rest = F.when(F.size("tail") > 0, F.slice("tail", 2, F.greatest(F.size("tail") - 1, F.lit(0)))).otherwise(F.col("tail"))
-        nodes = staged(nodes.withColumn("template", F.concat("template", step)).withColumn("tail", rest).drop("segment", "literal"), "url-tree")
-    nodes = nodes.withColumn("template", F.concat("template", F.when(F.size("tail") > 0, "/**").otherwise("")))
+        step = F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
+        nodes = nodes.withColumn("segment", F.col("tail")[0]).join(literal, ["host", "template", "segment"], "left")
+        rest = F.slice("tail", 2, F.greatest(F.size("tail") - 1, F.lit(0)))
+        nodes = staged(nodes.select("host", "shape", "n", "lab", "good", rest.alias("tail"), F.concat("template", step).alias("template")), "url-tree")
+    nodes = nodes.withColumn("template", F.concat("template", F.expr("repeat('/*', size(tail))")))
+    nodes = staged(reduce(DataFrame.unionByName, ended, nodes), "url-leaves")
     per = staged(nodes.groupBy("host", "template").agg(*sums()), "url-templates")
     good, lab = per.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("lab"), F.lit(0))).first()
     rate = (good + SMOOTHING) / (lab + SMOOTHING)
@@ -81,9 +96,9 @@ def path_templates(urls: DataFrame, labels: DataFrame, depth: int = DEPTH) -> Da
     return nodes.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH, min_purity: float = MIN_PURITY) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_purity: float = MIN_PURITY) -> DataFrame:
     urls = with_parts(pages.select("page_id", "url"))
-    judged = staged(path_templates(urls, labels, depth), "url-judged")
+    judged = staged(path_templates(urls, labels), "url-judged")
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") < min_purity, "block").otherwise("allow")
     return (
@@ -101,15 +116,20 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """An independent text for the given tables: four levels cover their paths, and no section of theirs meets its share."""
+    depth = 4
+    distinct = f"""n >= {MIN_SUPPORT} AND n >= 0.02 * all_n AND CASE WHEN lab > 0 AND all_lab > lab THEN
+  abs(good / lab - (all_good - good) / (all_lab - lab)) > 2.58 * sqrt((all_good / all_lab) * (1 - all_good / all_lab) * (1.0 / lab + 1.0 / (all_lab - lab)))
+  ELSE false END"""
     fits = [f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{}} END" for _, h, p in RULES]
     longest = sorted(range(len(RULES)), key=lambda i: -len(RULES[i][1] + RULES[i][2]))
     rule = ", ".join(fits[i].format(f"'{RULES[i][1]}{RULES[i][2]}'") for i in longest)
     verdict = ", ".join(fits[i].format(f"'{RULES[i][0]}'") for i in longest)
     steps, last = "", "t0"
-    for d in range(DEPTH):
+    for d in range(depth):
         steps += f"""
 b{d} AS (SELECT host, template, tail[1] AS segment, sum(n) AS n, sum(lab) AS lab, sum(good) AS good FROM t{d} WHERE len(tail) > 0 GROUP BY ALL),
-l{d} AS (SELECT * FROM (SELECT *, sum(n) OVER w AS all_n, sum(lab) OVER w AS all_lab, sum(good) OVER w AS all_good FROM b{d} WINDOW w AS (PARTITION BY host, template)) WHERE {DISTINCT}),
+l{d} AS (SELECT * FROM (SELECT *, sum(n) OVER w AS all_n, sum(lab) OVER w AS all_lab, sum(good) OVER w AS all_good FROM b{d} WINDOW w AS (PARTITION BY host, template)) WHERE {distinct}),
 t{d + 1} AS (SELECT host, shape, n, lab, good, tail[2:] AS tail,
   concat(template, CASE WHEN len(tail) > 0 THEN concat('/', CASE WHEN EXISTS (SELECT 1 FROM l{d} l WHERE l.host = t{d}.host AND l.template = t{d}.template AND l.segment = tail[1]) THEN tail[1] ELSE '*' END) ELSE '' END) AS template FROM t{d}),"""
         last = f"t{d + 1}"

@@ -6,10 +6,13 @@ targets -1 and 1 gives a margin for each language. As margins are linear in the
 are multiplied into one matrix after fitting: a batch of texts is scored by one product of its presence matrix with it.
 
 Fitting reads a sample of at most `per_language` labelled texts a language, the first by a hash of doc_id (a documented bound; the model
-and its landmarks are bounded by it and by the alphabet). Everything else covers all rows and whole texts.
+and its landmarks are bounded by it). Everything else covers all rows and whole texts. Characters are lower-cased, white space and digits are
+each one symbol; all other code points are themselves, so an n-gram is one exact number and no script shares symbols with another.
 
-Characters are lower-cased, white space and digits are each one symbol, and characters outside the alphabet (the most frequent of the
-sample) are one symbol more.
+Margins add up to the same number for every text, so they only compare languages. Whether a text is in the found language at all is told by
+its 3-grams in the language's landmarks: the mean, over all occurrences, of the logarithm of the share of landmarks that have the 3-gram. A text
+fits where that mean reaches the language's floor, a low quantile of the labelled texts of the sample (landmarks without themselves) cut to
+about the same length, lower by FEW / n of its distance to the median for n texts. A language with one labelled text has no floor.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with no labelled row every text is `und`; ties go to the
 first language by code point; equal texts get equal results; no documents, no rows; other columns are passed by.
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tidewatch.llm.inputs import column_or_null, fold, staged, table, whole_row
 from tidewatch.llm.text import pieces
@@ -32,89 +35,136 @@ UNKNOWN = "und"
 FOLDS = 5
 PER_LANGUAGE = 300
 LANDMARKS = 64
-ALPHABET = 64
 RIDGE = 1e-3
 #: A text that scores less is taken by the pipeline to be in none of the learned languages.
 MIN_SCORE = 0.25
+#: Quantile of labelled texts at which a language's floor lies, and how much lower it is for few texts.
+FLOOR = 0.005
+FEW = 10
+#: Lengths, in characters, to which labelled texts are cut for the floor of texts from each length on.
+LENGTHS = 4 ** np.arange(10)
+#: A code point and one more is under 2^21, so three of them are one number.
+BITS = 21
+#: Characters of a text whose n-grams are sorted at a time.
+STRETCH = 1 << 20
 
+_PLAIN = np.arange(1 << 17, dtype=np.int64)
+_PLAIN[[c for c in range(1 << 17) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]] = 0x20
+_PLAIN[[c for c in range(1 << 17) if not 0xD800 <= c < 0xE000 and chr(c).isdigit()]] = 0x30
 
-def _symbols(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, cut to the first plane (others share U+FFFF); white space is 0x20, a digit 0x30."""
-    points = np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    return _PLAIN[points]
-
-
-_PLAIN = np.arange(1 << 16, dtype=np.int64)
-_PLAIN[[c for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]] = 0x20
-_PLAIN[[c for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and chr(c).isdigit()]] = 0x30
-
-
-def _grams(symbols: np.ndarray, k: int, flags: np.ndarray) -> None:
-    """Marks the n-grams of 1 to 3 symbols of an alphabet of k in `flags`."""
-    flags[:] = False
-    flags[symbols] = True
-    two = symbols[:-1] * k + symbols[1:]
-    flags[k + two] = True
-    if len(symbols) > 2:
-        flags[k + k * k + two[:-1] * k + symbols[2:]] = True
 
-
-def _coder(alphabet: np.ndarray) -> np.ndarray:
-    code = np.zeros(1 << 16, np.int64)
-    code[alphabet] = np.arange(1, len(alphabet) + 1)
-    return code
-
-
-def _count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
+def _symbols(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, each one more; white space is 0x20, a digit 0x30 (none are beyond the second plane)."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where(points < len(_PLAIN), _PLAIN[np.minimum(points, len(_PLAIN) - 1)], points) + 1
+
+
+def _distinct(grams: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if counts is None:
+        grams = np.sort(grams)
+    else:
+        order = np.argsort(grams, kind="stable")
+        grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.diff(np.append(first, len(grams))) if counts is None else np.add.reduceat(counts, first)
+
+
+def _grams(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of 1 to 3 symbols in rising order, and how often each occurs."""
+    found = []
+    for a in range(0, len(symbols), STRETCH):
+        part = symbols[max(0, a - 2) : a + STRETCH]
+        lead = min(a, 2)  # symbols of the stretch before
+        two = (part[:-1] << BITS) | part[1:]
+        three = (two[:-1] << BITS) | part[2:]
+        found.append(_distinct(np.concatenate([part[lead:], two[max(0, lead - 1) :], three])))
+    if len(found) == 1:
+        return found[0]
+    return _distinct(np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _places(grams: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the numbers of `own` are in `grams`, and which of them are."""
+    if not len(grams):
+        return np.zeros(0, np.int64), np.zeros(len(own), bool)
+    place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+    same = grams[place] == own
+    return place[same], same
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            total += np.bincount(_symbols(text), minlength=1 << 16)
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["symbol", "n"])
+        grams = [_grams(_symbols(text))[0].tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("lang"), batch.column("turn"), pa.array(grams, pa.binary())], names=["lang", "turn", "grams"])
 
 
-def _presence(batches: Iterator[pa.RecordBatch], alphabet: np.ndarray) -> Iterator[pa.RecordBatch]:
-    code, k = _coder(alphabet), len(alphabet) + 1
-    flags = np.zeros(k + k * k + k**3, bool)
+def _usual(batches: Iterator[pa.RecordBatch], model: Model, landmarks: int) -> Iterator[pa.RecordBatch]:
+    """How usual each labelled text, cut to each length that it reaches, is for its own language."""
     for batch in batches:
-        grams = []
-        for text in batch.column("text").to_pylist():
-            _grams(code[_symbols(text)], k, flags)
-            grams.append(np.flatnonzero(flags).astype(np.int32).tobytes())
-        yield pa.record_batch([batch.column("lang"), batch.column("turn"), pa.array(grams, pa.binary())], names=["lang", "turn", "grams"])
+        found: list[tuple[str, int, float]] = []
+        for lang, turn, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "turn", "text")), strict=True):
+            symbols, at = _symbols(text), model.languages.index(lang)
+            for step in np.flatnonzero(LENGTHS <= len(symbols)):
+                found.append((lang, int(step), model.usual(*_grams(symbols[: LENGTHS[step]]), at, turn <= landmarks)))
+        yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["lang", "step", "usual"]) if found else pa.record_batch([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.float64())], names=["lang", "step", "usual"])
 
 
 class Model:
-    """Languages, alphabet, the n-grams of the landmarks, their weight for each language and each language's constant."""
-
-    def __init__(self, languages: list[str], alphabet: np.ndarray, grams: np.ndarray, weights: np.ndarray, constant: np.ndarray) -> None:
-        self.languages, self.alphabet, self.grams, self.weights, self.constant = languages, alphabet, grams, weights, constant
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    """Languages, the n-grams of the landmarks, their weight for each language, each language's constant, in how many of each language's
+    landmarks an n-gram is, how many landmarks those are, and the floors (a row a language, a column a length)."""
+
+    def __init__(self, languages: list[str], grams: np.ndarray, weights: np.ndarray, constant: np.ndarray, having: np.ndarray, marks: np.ndarray) -> None:
+        self.languages, self.grams, self.weights, self.constant, self.having, self.marks = languages, grams, weights, constant, having, marks
+        self.floors = np.full((len(languages), len(LENGTHS)), -np.inf)
+
+    def usual(self, own: np.ndarray, counts: np.ndarray, language: int, itself: bool = False) -> float:
+        """Mean logarithm of the share of the language's landmarks that have each 3-gram; `itself`: without the text, which is a landmark."""
+        longest = np.searchsorted(own, 1 << 2 * BITS)  # where n-grams of three begin; a shorter text has none
+        if longest < len(own):
+            own, counts = own[longest:], counts[longest:]
+        place, same = _places(self.grams, own)
+        having = np.zeros(len(own))
+        having[same] = self.having[place, language]
+        shares = (np.maximum(having - itself, 0) + 0.5) / (self.marks[language] - itself + 1)
+        return float(counts @ np.log(shares) / counts.sum())
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and whether the text fits the language."""
+        langs, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if not self.languages:
-            return langs, scores
-        code, k = _coder(self.alphabet), len(self.alphabet) + 1
-        flags = np.zeros(k + k * k + k**3, bool)
-        known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        for a in range(0, len(known), 256):
-            block = known[a : a + 256]
-            present = np.zeros((len(block), len(self.grams)), np.float32)
-            norm = np.ones(len(block))
-            for j, i in enumerate(block):
-                _grams(code[_symbols(texts[i])], k, flags)
-                norm[j] = np.count_nonzero(flags)
-                present[j] = flags[self.grams]
-            margins = (present @ self.weights) / np.sqrt(norm)[:, None] + self.constant
-            best = margins.argmax(1)
-            for j, i in enumerate(block):
-                langs[i] = self.languages[best[j]]
-                scores[i] = min(1.0, max(0.0, (1 + float(margins[j, best[j]])) / 2))
-        return langs, scores
-
-
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, alphabet: int = ALPHABET, ridge: float = RIDGE) -> Model:
+            return langs, scores, fits
+        for i, text in enumerate(texts):
+            if not text or not any(map(str.isalpha, text)):
+                continue
+            symbols = _symbols(text)
+            own, counts = _grams(symbols)
+            margins = self.weights[_places(self.grams, own)[0]].sum(0) / np.sqrt(len(own)) + self.constant
+            best = int(margins.argmax())
+            langs[i], scores[i] = self.languages[best], min(1.0, max(0.0, (1 + float(margins[best])) / 2))
+            fits[i] = self.usual(own, counts, best) >= self.floors[best, np.searchsorted(LENGTHS, len(symbols), "right") - 1]
+        return langs, scores, fits
+
+
+def _floors(found: list, languages: list[str], marks: np.ndarray) -> np.ndarray:
+    """Texts get less spread with length, so a length that few of a language's texts reach has the floor of the length before."""
+    floors = np.full((len(languages), len(LENGTHS)), -np.inf)
+    values: dict[tuple[str, int], list[float]] = {}
+    for r in found:
+        values.setdefault((r.lang, r.step), []).append(r.usual)
+    for i, lang in enumerate(languages):
+        if marks[i] < 2:
+            continue
+        for step in range(len(LENGTHS)):
+            own = values.get((lang, step), [])
+            if step and len(own) < len(values[lang, 0]) / 2:
+                floors[i, step] = floors[i, step - 1]
+                continue
+            low = np.quantile(own, FLOOR, method="lower")
+            floors[i, step] = low - (np.median(own) - low) * FEW / len(own)
+    return floors
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Learns from doc_id, text and lang. The sample is small: languages x per_language texts, kept as sets of n-grams."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").withColumn("h", F.xxhash64("doc_id"))
     # first the hashes alone find the cut of each language, so no whole language is sorted with its texts
@@ -124,22 +174,25 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     # a row a language, as the model has anyway; so texts are picked where they are
     last = [x for r in cut.orderBy("lang").collect() for x in (F.lit(r.lang), F.lit(r["last"]))]
     if not last:
-        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
+        return _nothing()
     few = usable.filter(F.shiftrightunsigned("h", 44) <= F.element_at(F.create_map(*last), F.col("lang")))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     sample = staged(few.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("lang", "turn", "text").filter(F.col("text").rlike(r"\p{L}")), "language-sample")
-    counted = sample.select("text").mapInArrow(_count_symbols, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-    top = np.array(sorted(r.symbol for r in counted.orderBy(F.desc("n"), "symbol").limit(alphabet - 1).collect()), np.int64)
-    rows = sample.mapInArrow(lambda b: _presence(b, top), "lang string, turn int, grams binary").orderBy("turn", "lang").collect()
+    rows = sample.mapInArrow(_presence, "lang string, turn int, grams binary").orderBy("turn", "lang").collect()
     languages = sorted({r.lang for r in rows})
     if not rows:
-        return Model([], top, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
-    sets = [np.frombuffer(r.grams, np.int32) for r in rows]
+        return _nothing()
+    sets = [np.frombuffer(r.grams, np.int64) for r in rows]
     marks = [i for i, r in enumerate(rows) if r.turn <= landmarks]
     grams = np.unique(np.concatenate([sets[i] for i in marks]))
-    present = np.stack([np.isin(grams, s, assume_unique=True) for s in sets]).astype(np.float32)
     norm = np.sqrt([len(s) for s in sets])
-    kernel = (present @ present[marks].T) / norm[:, None] / norm[marks][None, :]
+    kernel = np.zeros((len(rows), len(marks)), np.float32)
+    width = max(1, (1 << 24) // len(rows))  # n-grams at a time, so the presence of all in all texts is never held
+    places = [_places(grams, s)[0] for s in sets]
+    for a in range(0, len(grams), width):
+        present = _present(places, a, min(width, len(grams) - a))
+        kernel += present @ present[marks].T
+    kernel = kernel / norm[:, None] / norm[marks][None, :]
     values, vectors = np.linalg.eigh(kernel[marks].astype(float))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
     features = np.column_stack([kernel @ root, np.ones(len(rows))])
@@ -150,20 +203,40 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     penalty = ridge * np.eye(len(gram))
     penalty[-1, -1] = 0
     solved = np.linalg.solve(gram + penalty, features.T @ (target * share[:, None]))
-    weights = (present[marks] / norm[marks][:, None]).T @ (root @ solved[:-1])
-    return Model(languages, top, grams.astype(np.int64), weights.astype(np.float32), solved[-1])
+    parts = root @ solved[:-1] / norm[marks][:, None]
+    weights, having = np.zeros((len(grams), len(languages))), np.zeros((len(grams), len(languages)), np.int32)
+    for j, i in enumerate(marks):
+        weights[places[i]] += parts[j]
+        having[places[i], languages.index(rows[i].lang)] += 1
+    model = Model(languages, grams, weights.astype(np.float32), solved[-1], having, np.array([sum(rows[i].lang == x for i in marks) for x in languages]))
+    found = sample.mapInArrow(lambda b: _usual(b, model, landmarks), "lang string, step int, usual double").collect()
+    model.floors = _floors(found, languages, model.marks)
+    return model
+
+
+def _nothing() -> Model:
+    none = np.zeros((0, 0))
+    return Model([], np.zeros(0, np.int64), none, np.zeros(0), none, np.zeros(0))
+
+
+def _present(places: list[np.ndarray], start: int, width: int) -> np.ndarray:
+    present = np.zeros((len(places), width), np.float32)
+    for row, own in zip(present, places, strict=True):
+        a, b = np.searchsorted(own, [start, start + width])
+        row[own[a:b] - start] = 1
+    return present
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        langs, scores = model.predict(batch.column("text").to_pylist())
-        yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
+        langs, scores, fits = model.predict(batch.column("text").to_pylist())
+        yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(fits)], names=names)
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to rows with a text; columns that have these names are replaced."""
-    rows = rows.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    """Adds lang_pred, score and fits to rows with a text; columns that have these names are replaced."""
+    rows = rows.drop("lang_pred", "score", "fits").withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("fits", BooleanType())])
     return rows.mapInArrow(lambda b: _predict(b, model, schema.names), schema)
 
 

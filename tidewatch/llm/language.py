@@ -36,8 +36,6 @@ FOLDS = 5
 PER_LANGUAGE = 300
 LANDMARKS = 64
 RIDGE = 1e-3
-#: A text that scores less is taken by the pipeline to be in none of the learned languages.
-MIN_SCORE = 0.25
 #: Quantile of labelled texts at which a language's floor lies, and how much lower it is for few texts.
 FLOOR = 0.005
 FEW = 10
@@ -247,11 +245,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def known_language(docs: DataFrame) -> DataFrame:
     """The documents whose text is in one of the learned languages, with their own columns."""
     model = fit(docs.select("doc_id", "text", column_or_null(docs, "lang", "string").alias("lang")))
     found = predict(docs.select(whole_row(docs), "text"), model)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("whole.*")
+    return found.filter("fits").select("whole.*")
 
 
 QUERIES = {"op2_language": op2_language}

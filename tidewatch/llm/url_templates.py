@@ -116,7 +116,7 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """An independent text for the given tables: four levels cover their paths, and no section of theirs meets its share."""
+    """For the given tables: four levels cover their paths, and none of their sections is literal, with the share or without."""
     depth = 4
     distinct = f"""n >= {MIN_SUPPORT} AND n >= 0.02 * all_n AND CASE WHEN lab > 0 AND all_lab > lab THEN
   abs(good / lab - (all_good - good) / (all_lab - lab)) > 2.58 * sqrt((all_good / all_lab) * (1 - all_good / all_lab) * (1.0 / lab + 1.0 / (all_lab - lab)))

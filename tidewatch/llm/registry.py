@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["url_templates", "language", "jaccard", "trie_lm", "line_rules", "token_files", "quality", "packing", "hnsw", "mixing", "importance", "fill_middle"]
+AREAS = ["url_templates", "language", "jaccard", "trie_lm", "line_rules", "token_files", "quality", "packing", "hnsw", "mixing", "importance", "embedding_dedup", "fill_middle"]
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

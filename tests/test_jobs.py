@@ -15,7 +15,6 @@ from tidewatch.plans.entities import entity_score
 from tidewatch.plans.incidents import IncidentRule, build_incidents, incident_firings, seeded_rules
 from tidewatch.plans.lifecycle import nearest_event
 from tidewatch.sources.lines import ingest_stats, read_log_lines, write_events
-from tidewatch.streaming.jobs import stream_alerts
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -122,23 +121,6 @@ def _events(spark, rows):
     return df.withColumn("timestamp_utc", F.timestamp_micros("t"))
 
 
-def test_stream_equals_batch_and_restart_does_not_repeat(spark, tmp_path):
-    rnd = random.Random(2)
-    rows = list(enumerate(sorted(rnd.randrange(3000) for _ in range(200))))
-    rule = EventRule(1, "r", "SSH_SECURE", "auth_login", group_by=["server"], window_seconds=60, condition="count >= 4", cooldown_seconds=90)
-    parts = [rows[:70], rows[70:140], rows[140:]]
-    src, folder = str(tmp_path / "in"), str(tmp_path / "job")
-    schema = _events(spark, rows).schema
-    for n, part in enumerate(parts):
-        _events(spark, part).coalesce(1).write.mode("append").parquet(src)
-        if n in (0, 2):
-            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-            stream_alerts(stream, [rule], TrustConfig(), folder).awaitTermination()
-    got = sorted(r["id"] for r in spark.read.parquet(folder + "/alerts").collect())
-    want = sorted(r["event_id"] for r in build_alerts(_events(spark, rows), [rule]).collect())
-    assert got == want and len(got) > 5
-
-
 def test_event_table_and_stats(spark, tmp_path):
     ev = _events(spark, [(1, 5), (2, 90_000)]).select("id", "source", "server", "timestamp_utc", F.lit(None).cast("string").alias("service"), F.lit(None).cast("string").alias("message"))
     write_events(ev, str(tmp_path / "ev"))

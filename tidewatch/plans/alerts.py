@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import blank_to_null, event_field, group_key
@@ -136,7 +136,7 @@ def window_metrics(hits: DataFrame, rules: list[EventRule], slice_width: int = S
     ).drop("top_hits")
 
 
-def _by_rule(rules: list[EventRule], value) -> F.Column:
+def _by_rule(rules: list[EventRule], value) -> Column:
     out = F.lit(None)
     for r in rules:
         out = F.when(F.col("rule_id") == r.id, value(r)).otherwise(out)
@@ -203,6 +203,41 @@ def top_subnets(alerts: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
+def alert_columns(rules: list[EventRule], items: Column) -> list[Column]:
+    """The columns of an alert, from the row that raised it with its window's numbers, and `items` (event_id, raw) of its evidence."""
+    with_raw = [r.id for r in rules if r.evidence.get("include_raw", True)]
+    base_values = F.map_from_arrays(
+        F.array(*[F.lit(k) for k in (
+            "server", "ip_client", "username", "extra.vhost", "extra.geo.country_code", "extra.asn.number", "extra.asn.org",
+        )]),
+        F.array("server", "ip_client", "username", "vhost", "geo_country", F.col("asn_number").cast("string"), "asn_org"),
+    )
+    own = F.map_filter("group_fields", lambda k, v: v.isNotNull() & ~F.map_contains_key(base_values, k))
+    return [F.col(c) if isinstance(c, str) else c for c in (
+        "rule_id",
+        _by_rule(rules, lambda r: F.lit(r.name)).alias("rule_name"),
+        _by_rule(rules, lambda r: F.lit(r.severity)).alias("severity"),
+        "server", "source", "event_type", "group_key",
+        F.timestamp_micros("ts").alias("triggered_at"),
+        F.timestamp_micros(F.col("ts") - _by_rule(rules, lambda r: F.lit(r.window_seconds * 1_000_000).cast("bigint"))).alias("window_start"),
+        F.timestamp_micros("ts").alias("window_end"),
+        F.struct(
+            "count", "unique_paths", "unique_ips", "unique_users", "unique_servers", "unique_subnets24", "top_subnet24", "top_subnet24_hits",
+            "fail_count", "success_count",
+            _by_rule(rules, lambda r: F.lit(r.window_seconds)).alias("window_seconds"),
+            "trusted",
+        ).alias("metrics"),
+        F.struct(
+            F.transform(items, lambda x: x["event_id"].cast("string")).alias("event_ids"),
+            F.when(F.col("rule_id").isin(with_raw), F.filter(F.transform(items, lambda x: x["raw"]), lambda x: x.isNotNull())).alias("raw_samples"),
+            _by_rule(rules, lambda r: F.array(*[F.lit(f) for f in r.fields])).alias("group_by"),
+            F.map_filter(F.map_concat(base_values, own), lambda k, v: v.isNotNull()).alias("group_values"),
+        ).alias("evidence"),
+        F.lit("open").alias("status"),
+        F.col("id").alias("event_id"),
+    )]
+
+
 def build_alerts(
     events: DataFrame,
     rules: list[EventRule],
@@ -233,39 +268,11 @@ def build_alerts(
         .join(tops, [*KEYS, "alert_event"], "left")
     )
     is_open = F.col("rule_id").isin(open_nets)
-    with_raw = [r.id for r in rules if r.evidence.get("include_raw", True)]
-    base_values = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in (
-            "server", "ip_client", "username", "extra.vhost", "extra.geo.country_code", "extra.asn.number", "extra.asn.org",
-        )]),
-        F.array("server", "ip_client", "username", "vhost", "geo_country", F.col("asn_number").cast("string"), "asn_org"),
-    )
-    own = F.map_filter("group_fields", lambda k, v: v.isNotNull() & ~F.map_contains_key(base_values, k))
-    return full.select(
-        "rule_id",
-        _by_rule(rules, lambda r: F.lit(r.name)).alias("rule_name"),
-        _by_rule(rules, lambda r: F.lit(r.severity)).alias("severity"),
-        "server", "source", "event_type", "group_key",
-        F.timestamp_micros("ts").alias("triggered_at"),
-        F.timestamp_micros(F.col("ts") - _by_rule(rules, lambda r: F.lit(r.window_seconds * 1_000_000).cast("bigint"))).alias("window_start"),
-        F.timestamp_micros("ts").alias("window_end"),
-        F.struct(
-            "count", "unique_paths", "unique_ips", "unique_users", "unique_servers", "unique_subnets24",
-            F.when(is_open, F.col("top_net")).otherwise(F.col("ip_subnet24")).alias("top_subnet24"),
-            F.when(is_open, F.coalesce("top_n", F.lit(0))).otherwise(F.col("top_subnet24_hits")).alias("top_subnet24_hits"),
-            "fail_count", "success_count",
-            _by_rule(rules, lambda r: F.lit(r.window_seconds)).alias("window_seconds"),
-            "trusted",
-        ).alias("metrics"),
-        F.struct(
-            F.transform("items", lambda x: x["event_id"].cast("string")).alias("event_ids"),
-            F.when(F.col("rule_id").isin(with_raw), F.filter(F.transform("items", lambda x: x["raw"]), lambda x: x.isNotNull())).alias("raw_samples"),
-            _by_rule(rules, lambda r: F.array(*[F.lit(f) for f in r.fields])).alias("group_by"),
-            F.map_filter(F.map_concat(base_values, own), lambda k, v: v.isNotNull()).alias("group_values"),
-        ).alias("evidence"),
-        F.lit("open").alias("status"),
-        F.col("id").alias("event_id"),
-    )
+    full = full.withColumns({
+        "top_subnet24": F.when(is_open, F.col("top_net")).otherwise(F.col("ip_subnet24")),
+        "top_subnet24_hits": F.when(is_open, F.coalesce("top_n", F.lit(0))).otherwise(F.col("top_subnet24_hits")),
+    })
+    return full.select(*alert_columns(rules, F.col("items")))
 
 
 def assign_alert_ids(alerts: DataFrame, after: int = 0) -> DataFrame:

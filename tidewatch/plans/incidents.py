@@ -259,7 +259,7 @@ def incident_firings(
     return apply_cooldown(staged(ready, "ready"), KEYS, "tick_ts", "tick_ts", "cooldown").drop("cooldown")
 
 
-def _described(firings: DataFrame, rules: list[IncidentRule]) -> DataFrame:
+def described(firings: DataFrame, rules: list[IncidentRule]) -> DataFrame:
     return firings.select(
         "*",
         *[_by_rule(rules, lambda r, a=a: getattr(r, a)).alias(n) for a, n in (
@@ -276,7 +276,7 @@ def upsert_incidents(firings: DataFrame, rules: list[IncidentRule], existing: Da
     severity, score and count. The alert ids are the links: an incident may hold too many for one row.
     """
     key = ["code", "primary_entity_type", "primary_entity_key"]
-    rows = _described(firings, rules).withColumnRenamed("primary", "primary_entity_key")
+    rows = described(firings, rules).withColumnRenamed("primary", "primary_entity_key")
     order = F.struct("tick_ts", "rule_id", "first_ts", "group_key")
     first_of = lambda c: F.min_by(c, order)
     new = rows.groupBy(*key).agg(
@@ -342,7 +342,7 @@ def incident_links(firings: DataFrame, alerts: DataFrame, rules: list[IncidentRu
     """Alerts inside the windows of the firings, by incident key. Role is always supporting."""
     key = ["code", "primary_entity_type", "primary_entity_key"]
     width = _by_rule(rules, lambda r: r.window_seconds * 1_000_000).cast("bigint")
-    fired = _described(firings, rules).select(
+    fired = described(firings, rules).select(
         *KEYS, F.col("primary").alias("primary_entity_key"), "code", "primary_entity_type",
         F.col("tick_ts").alias("hi"), (F.col("tick_ts") - F.col("window_seconds").cast("bigint") * 1_000_000).alias("lo"),
     ).withColumn("w", F.col("hi") - F.col("lo")).withColumn("stretch", F.explode(F.expr("sequence(lo div w, hi div w)"))).drop("w")
@@ -355,9 +355,14 @@ def incident_links(firings: DataFrame, alerts: DataFrame, rules: list[IncidentRu
     )
 
 
+def unseen_links(links: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
+    """Those of `links` that are not among the existing ones."""
+    return links.join(existing, on, "left_anti")
+
+
 def new_links_only(links: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
     """Existing links and those of `links` not among them."""
-    return existing.unionByName(links.join(existing, on, "left_anti"))
+    return existing.unionByName(unseen_links(links, existing, on))
 
 
 class IncidentRun(NamedTuple):

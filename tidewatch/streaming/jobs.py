@@ -1,11 +1,7 @@
-"""Continuous versions of the alert, activity, incident and entity jobs.
-
-The stateful jobs run the batch operators on each micro-batch together with a small carried state: the
-rows still inside some window, and the last alert per group. Groups stay split by time as in the batch
-jobs, so a busy group does not pin one state task. State and results are written per batch id under the
-job's folder; a repeated batch overwrites its own output, so a restart neither loses nor doubles rows.
-Inside a batch rows are taken in event-time order; rows older than the newest one by more than
-`max_delay_seconds` are dropped, which bounds the carried state.
+"""Starting the continuous jobs: alerts, activity, incidents and entities.
+
+Every job keeps its state in Spark's state store (RocksDB, checkpointed) and writes a log of changes to the folder of the job through Spark's file
+sink, so a restart neither loses nor doubles rows. `current_*` of the sibling modules read a log as it stands. `folder` must be shared.
 """
 
 from __future__ import annotations
@@ -16,126 +12,75 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from tidewatch.operators.cooldown import apply_cooldown
 from tidewatch.operators.rules import EventRule, TrustConfig
-from tidewatch.operators.staging import staged
-from tidewatch.plans.alerts import KEYS, candidates, events_to_rules, window_metrics
 from tidewatch.plans.dashboards import activity_columns
-from tidewatch.plans.entities import entity_ledger, entity_score, upsert_entities
-from tidewatch.plans.incidents import IncidentRule, build_incidents
-
-
-def _saved(spark: SparkSession, folder: str, name: str, batch_id: int) -> DataFrame | None:
-    """What the batch before wrote, or None for the first one."""
-    try:
-        return spark.read.parquet(f"{folder}/{name}/batch={batch_id - 1}")
-    except AnalysisException:
-        return None
+from tidewatch.plans.incidents import IncidentRule
+from tidewatch.streaming.alerts import alert_changes
+from tidewatch.streaming.entities import entity_changes
+from tidewatch.streaming.incidents import incident_changes, link_batch
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _save(df: DataFrame, folder: str, name: str, batch_id: int) -> DataFrame:
-    path = f"{folder}/{name}/batch={batch_id}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def _log(changes: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Changes to `folder`/changes, by kind."""
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    writer = changes.writeStream.format("parquet").partitionBy("kind").outputMode("append")
+    writer = writer.option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-def alert_batch(
-    rules: list[EventRule], trust: TrustConfig, folder: str, max_delay_seconds: int = 3600
-) -> Callable[[DataFrame, int], None]:
-    """Micro-batch step of the alert job; alerts go to `folder`/alerts."""
-    rules = [r for r in rules if r.enabled]
-    delay = max_delay_seconds * 1_000_000
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = events_to_rules(batch, rules, trust).withColumn("fresh", F.lit(True))
-        before = _saved(spark, folder, "window", batch_id)
-        last = _saved(spark, folder, "last_alert", batch_id)
-        if before is not None:
-            newest = before.agg(F.max("ts")).scalar()
-            on_time = fresh.filter(newest.isNull() | (F.col("ts") >= newest - delay))
-            rows = staged(on_time.unionByName(before.withColumn("fresh", F.lit(False))), "rows")
-        else:
-            rows = staged(fresh, "rows")
-        ready = candidates(window_metrics(rows, rules), rules).filter("fresh")
-        if last is not None:
-            free = F.col("last_ts").isNull() | (F.col("ts") >= F.col("last_ts") + F.col("cooldown"))
-            ready = ready.join(last, KEYS, "left").filter(free).drop("last_ts")
-        ready = staged(ready, "ready")
-        alerts = _save(apply_cooldown(ready, KEYS, "ts", "id", "cooldown"), folder, "alerts", batch_id)
-        inside = rows.filter(F.col("ts") >= rows.agg(F.max("ts")).scalar() - F.col("w") - delay).drop("fresh")
-        _save(inside, folder, "window", batch_id)
-        now_last = alerts.select(*KEYS, F.col("ts").alias("last_ts"))
-        both = now_last if last is None else now_last.unionByName(last.select(*KEYS, "last_ts"))
-        _save(both.groupBy(*KEYS).agg(F.max("last_ts").alias("last_ts")), folder, "last_alert", batch_id)
-
-    return step
-
-
-def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, **trigger) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
+def _batches(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, mode: str = "append", **trigger) -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_alerts(
     events: DataFrame, rules: list[EventRule], trust: TrustConfig, folder: str, max_delay_seconds: int = 3600, **trigger
 ) -> StreamingQuery:
-    """Raise alerts from a stream of events (shared `folder` for state, results and checkpoint)."""
-    return _start(events, alert_batch(rules, trust, folder, max_delay_seconds), folder, **trigger)
+    """Raise, and take back, alerts from a stream of events. Rows later than the delay are logged as late."""
+    return _log(alert_changes(events, rules, trust, max_delay_seconds), folder, **trigger)
 
 
-def stream_activity(alerts: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Alerts per day and class, kept up to date."""
-    return (
-        alerts.withWatermark("triggered_at", watermark)
-        .groupBy(F.window("triggered_at", "1 day").alias("w")).agg(*activity_columns())
-        .withColumn("day", F.to_date("w.start")).drop("w")
-    )
+def stream_incidents(
+    alerts: DataFrame, rules: list[IncidentRule], folder: str, step_seconds: int = 300, max_delay_seconds: int = 3600, **trigger
+) -> StreamingQuery:
+    """Log the firings of incident rules at every tick that the stream of alerts has passed."""
+    return _log(incident_changes(alerts, rules, step_seconds, max_delay_seconds), folder, **trigger)
 
 
-def incident_batch(rules: list[IncidentRule], folder: str, tick: Callable[[DataFrame], datetime]) -> Callable[[DataFrame, int], None]:
-    """Micro-batch step of the incident job: the alerts of the last windows at one tick, merged into the incidents so far."""
-    longest = max(r.window_seconds for r in rules)
+def stream_incident_links(
+    changes: DataFrame, rules: list[IncidentRule], read_alerts: Callable[[SparkSession], DataFrame], folder: str, **trigger
+) -> StreamingQuery:
+    """Add the links of new firings (a stream of the log of `stream_incidents`) to `folder`/links."""
+    return _batches(changes, link_batch(rules, read_alerts, f"{folder}/links"), folder, **trigger)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _saved(spark, folder, "alerts", batch_id)
-        alerts = staged(batch if before is None else batch.unionByName(before), "alerts")
-        now = tick(alerts)
-        run = build_incidents(
-            alerts, rules, now, existing=_saved(spark, folder, "incidents", batch_id), last=_saved(spark, folder, "last_firing", batch_id)
-        )
-        incidents = run.incidents
-        if "id" not in incidents.columns:
-            incidents = incidents.withColumn("id", F.lit(None).cast("string"))
-        key = F.sha2(F.concat_ws("|", "code", "primary_entity_type", "primary_entity_key", F.col("opened_us").cast("string")), 256)
-        _save(incidents.withColumn("id", F.coalesce("id", key)), folder, "incidents", batch_id)
-        _save(run.links, folder, "links", batch_id)
-        _save(run.last, folder, "last_firing", batch_id)
-        _save(alerts.filter(F.col("triggered_at") >= F.lit(now) - F.make_interval(secs=F.lit(longest))), folder, "alerts", batch_id)
 
-    return step
+def stream_entities(alerts: DataFrame, folder: str, now: datetime | None = None, **trigger) -> StreamingQuery:
+    """Log the entities that alerts touch, and what changed their scores."""
+    return _log(entity_changes(alerts, now), folder, **trigger)
 
 
-def stream_incidents(alerts: DataFrame, rules: list[IncidentRule], folder: str, tick: Callable[[DataFrame], datetime], **trigger) -> StreamingQuery:
-    return _start(alerts, incident_batch(rules, folder, tick), folder, **trigger)
+def activity(alerts: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Alerts per day and class, kept up to date."""
+    return (
+        alerts.withWatermark("triggered_at", watermark)
+        .groupBy(F.window("triggered_at", "1 day").alias("w")).agg(*activity_columns())
+        .withColumn("day", F.to_date("w.start")).drop("w")
+    )
 
 
-def entity_batch(folder: str, now: Callable[[], datetime]) -> Callable[[DataFrame, int], None]:
-    """Micro-batch step of the entity job: scores so far plus the batch's alerts, and its ledger rows."""
+def stream_activity(alerts: DataFrame, folder: str, watermark: str = "1 day", **trigger) -> StreamingQuery:
+    """Write the days that a batch has changed to `folder`/days; a repeated batch writes its own rows again."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _saved(spark, folder, "entities", batch_id)
-        at = now()
-        touched = entity_score(batch, before, at)
-        _save(touched if before is None else upsert_entities(before, touched), folder, "entities", batch_id)
-        _save(entity_ledger(batch, before, at), folder, "ledger", batch_id)
+        batch.write.mode("overwrite").parquet(f"{folder}/days/batch={batch_id}")
 
-    return step
+    return _batches(activity(alerts, watermark), step, folder, "update", **trigger)
 
 
-def stream_entities(alerts: DataFrame, folder: str, now: Callable[[], datetime], **trigger) -> StreamingQuery:
-    return _start(alerts, entity_batch(folder, now), folder, **trigger)
+def current_activity(days: DataFrame) -> DataFrame:
+    """Every day as its last batch left it."""
+    cols = [c for c in days.columns if c not in ("day", "batch")]
+    return days.groupBy("day").agg(F.max_by(F.struct(*cols), "batch").alias("row")).select("day", "row.*")

@@ -152,12 +152,12 @@ def p7(spark, sf):
 
 
 SSH_LINE = (f"concat({SYSLOG}, ' h1 sshd[', k, ']: ', CASE WHEN k % 10 = 9 OR action IS NULL THEN 'Connection closed by ' WHEN action = 'success' THEN 'Accepted publickey for ' "
-            "WHEN k % 2 = 0 THEN 'Failed password for invalid user ' ELSE 'Failed password for ' END, username, ' from ', ip_client, ' port ', 1024 + k, ' ssh2')")
+            "WHEN k % 2 = 0 THEN 'Failed password for invalid user ' ELSE 'Failed password for ' END, CASE WHEN k % 10 = 8 THEN '' ELSE username END, ' from ', ip_client, ' port ', 1024 + k, ' ssh2')")
 
 
 @check("p8_ssh", f"""{WITH_SEC} SELECT event_id, {SECOND} AS us, username, ip_client AS ip, action, 1024 + k AS port,
   CASE WHEN action = 'success' THEN 'publickey' END AS auth_method, (action = 'success')::BIGINT AS ok FROM sec
-  WHERE action IS NOT NULL AND k % 10 < 9""")
+  WHERE action IS NOT NULL AND k % 10 < 8""")
 def p8(spark, sf):
     ev = host.parse_ssh(lines(spark, sf, SSH_LINE), NOW)
     return flat(ev, username="username", ip="ip_client", action="extra.action", port="cast(extra.port as bigint)",
@@ -219,7 +219,7 @@ FIREWALL_LINE = f"""concat({SYSLOG}, ' h1 lfd[7]: ', CASE k % 6
   WHEN 1 THEN concat('SMTP Brute Force attack v4 ', ip_client, ' - ignored')
   WHEN 2 THEN concat('(sshd) Failed SSH login from ', ip_client, ' (x): ', k, ' in the last 3600 secs - *Blocked in csf* port=22 port=', k, ' port=22 [LF_SSHD]')
   WHEN 3 THEN concat('xmlrpc bots ', ip_client, ' - ignored')
-  WHEN 4 THEN concat('Watching IP ', ip_client, ' robots.txt reader')
+  WHEN 4 THEN concat('Watching IP ', ip_client, ' port 2222 robots.txt reader')
   ELSE '(X) no address here' END)"""
 
 
@@ -296,7 +296,7 @@ ALL_TYPES = {
     "lfd": (FIREWALL_LINE, "k % 6 < 5", "LFD"),
     "modsec": (f"concat('[', date_format({LOCAL}, 'yyyy-MM-dd HH:mm:ss'), '] x [id \"', k, '\"] [msg \"m\"] [hostname \"h.x\"] [uri \"', path, '\"] [client \"', ip_client, '\"]')", "true", "MODSEC"),
     "system": (f"concat({SYSLOG}, ' h1 kernel: ', path)", "true", "SYSTEM"),
-    "secure": (SSH_LINE, "k % 10 < 9 AND action IS NOT NULL", "SSH_SECURE"),
+    "secure": (SSH_LINE, "k % 10 < 8 AND action IS NOT NULL", "SSH_SECURE"),
     "cpanel_access": (PANEL_LINE, "true", "PANEL_ACCESS"),
     "panel_logs": (f"concat(ip_client, ' - ', username, ' [', {HTTP_TIME}, '] x \"LOGIN ok\"')", "true", "PANEL_LOGIN"),
     "wp_error_log": (f"concat('[', date_format({LOCAL}, 'dd-MMM-yyyy HH:mm:ss'), '] PHP Notice: bad in wp-content/a')", "true", "WP_ERROR"),
@@ -370,10 +370,10 @@ def _stats(spark, sf):
     return src.ingest_stats(raw, host.parse_ssh(raw, NOW), F.col("extra.action") == "fail")
 
 
-STATS_SQL = f"""{WITH_SEC}, stats AS (SELECT server AS file, count(*) AS lines_total, count_if(k % 10 BETWEEN 2 AND 8 AND action IS NOT NULL) AS lines_parsed,
-  count_if(k % 10 IN (0, 9) OR action IS NULL) AS lines_skipped, count_if(k % 10 = 1 AND action IS NOT NULL) AS lines_failed,
-  count_if(k % 10 BETWEEN 1 AND 8 AND action IS NOT NULL) AS events_created,
-  count_if(k % 10 BETWEEN 1 AND 8 AND action = 'fail') AS raw_saved FROM sec GROUP BY server)
+STATS_SQL = f"""{WITH_SEC}, stats AS (SELECT server AS file, count(*) AS lines_total, count_if(k % 10 BETWEEN 2 AND 7 AND action IS NOT NULL) AS lines_parsed,
+  count_if(k % 10 IN (0, 8, 9) OR action IS NULL) AS lines_skipped, count_if(k % 10 = 1 AND action IS NOT NULL) AS lines_failed,
+  count_if(k % 10 BETWEEN 1 AND 7 AND action IS NOT NULL) AS events_created,
+  count_if(k % 10 BETWEEN 1 AND 7 AND action = 'fail') AS raw_saved FROM sec GROUP BY server)
 SELECT * FROM stats"""
 
 

@@ -133,6 +133,33 @@ def n8(spark, sf):
     return out.select(F.col("id").alias("event_id"), F.col("extra.asn.number").alias("num"), F.col("extra.asn.org").alias("org"))
 
 
+# both kinds of address, in networks of five lengths that lie in each other
+IP6 = "concat('2a00:', lower(hex(user_id % 16)), ':', lower(hex(k)), '::', CAST(event_id % 7 AS STRING))"
+NETWORKS = """SELECT DISTINCT concat('2a00:', lower(hex(user_id % 16)), '::/32') AS network, concat('S', CAST(user_id % 16 AS STRING)) AS cc, CAST(1 AS BIGINT) AS num FROM sec WHERE user_id % 2 = 0
+  UNION ALL SELECT DISTINCT concat('2A00:', lower(hex(user_id % 16)), ':', lower(hex(k)), '::/48'), concat('T', CAST(k AS STRING)), CAST(2 AS BIGINT) FROM sec WHERE k % 10 = 0
+  UNION ALL SELECT DISTINCT concat('2a00:', lower(hex(user_id % 16)), ':', lower(hex(k)), ':0:0:0:0:5'), 'U', CAST(3 AS BIGINT) FROM sec WHERE k % 3 = 0
+  UNION ALL SELECT DISTINCT concat('44.', CAST(user_id % 16 AS STRING), '.0.0/16'), concat('V', CAST(user_id % 16 AS STRING)), CAST(4 AS BIGINT) FROM sec WHERE user_id % 3 = 0
+  UNION ALL SELECT DISTINCT subnet24, 'W', CAST(5 AS BIGINT) FROM sec WHERE k % 8 = 3
+  UNION ALL SELECT '2a00::/12', 'X', CAST(6 AS BIGINT)"""
+BEST = """CASE WHEN v6 THEN CASE WHEN k % 3 = 0 AND event_id % 7 = 5 THEN 3 WHEN k % 10 = 0 THEN 2 WHEN user_id % 2 = 0 THEN 1 ELSE 6 END
+  ELSE CASE WHEN subnet24 IN (SELECT subnet24 FROM sec WHERE k % 8 = 3) THEN 5 WHEN user_id % 3 = 0 THEN 4 END END"""
+
+
+def _both_kinds(spark, sf):
+    ev = events(spark, sf)
+    ip = F.when(F.expr("k % 4 < 3"), F.expr(IP6.replace("event_id", "id"))).otherwise(F.col("ip_client"))
+    bare = ev.withColumn("ip_client", ip).withColumn("extra", F.struct("extra.event_type"))
+    return bare, spark.sql(NETWORKS.replace("FROM sec", "FROM {sec}"), sec=sec_events(spark, sf))
+
+
+@check("n7_networks_of_both_kinds", f"""{WITH_SEC}, b AS (SELECT *, k % 4 < 3 AS v6 FROM sec), c AS (SELECT *, {BEST} AS best FROM b)
+  SELECT event_id, CASE best WHEN 1 THEN 'S' || (user_id % 16) WHEN 2 THEN 'T' || k WHEN 3 THEN 'U' WHEN 4 THEN 'V' || (user_id % 16) WHEN 5 THEN 'W' WHEN 6 THEN 'X' ELSE 'UNK' END AS cc, best::BIGINT AS num FROM c""")
+def n7_networks(spark, sf):
+    ev, nets = _both_kinds(spark, sf)
+    out = enrich.enrich(ev, nets.select("network", F.col("cc").alias("country_code"), F.col("cc").alias("country_name")), nets.select("network", F.col("num").alias("number"), F.lit("o").alias("org")))
+    return out.select(F.col("id").alias("event_id"), F.col("extra.geo.country_code").alias("cc"), F.col("extra.asn.number").alias("num"))
+
+
 @check("n9_flag_internal", f"""{WITH_SEC} SELECT event_id, CASE WHEN k % 7 = 0 AND (k % 11 > 0 OR k % 2 = 0) THEN 1 END::BIGINT AS internal,
   CASE WHEN k % 14 = 0 THEN 'loopback' END AS internal_kind FROM sec""")
 def n9(spark, sf):
@@ -227,7 +254,7 @@ def n18(spark, sf):
     return df.select("id", named.alias("e"), normalize.alert_ip(df).alias("ip"))
 
 
-@check("n19_alert_snippet", f"""{WITH_ALERTS} SELECT id, CASE k % 3 WHEN 0 THEN left(repeat(rule_name, 400), 6000) WHEN 1 THEN 'sample ' || id ELSE '{{"note":"' || server || '"}}' END AS snippet FROM alerts""")
+@check("n19_alert_snippet", f"""{WITH_ALERTS} SELECT id, CASE k % 3 WHEN 0 THEN repeat(rule_name, 400) WHEN 1 THEN 'sample ' || id ELSE '{{' || chr(10) || '  "note": "' || server || '"' || chr(10) || '}}' END AS snippet FROM alerts""")
 def n19(spark, sf):
     df = alerts_raw(spark, sf).select("id", F.struct(
         F.expr("CASE WHEN k % 3 = 0 THEN repeat(rule_name, 400) END").alias("raw"), F.expr("CASE WHEN k % 3 = 1 THEN concat('sample ', id) END").alias("sample"),

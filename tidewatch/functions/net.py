@@ -87,25 +87,110 @@ def is_non_global(ip: Column, n: Column | None = None) -> Column:
     return _is_private(ip, n) | F.coalesce(_in_block(n, SHARED_BLOCK), F.lit(False))
 
 
-def ip_in_any(ip: Column, entries: list[str], n: Column | None = None) -> Column:
-    """True when `ip` equals an address or falls in an IPv4 network of `entries`; bad entries are ignored."""
-    n = ip_to_long(ip) if n is None else n
-    tests = []
+def _once(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, whatever number of times the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(plain: Column, halves: Column) -> Column:
+    """The eight groups of an IPv6 text; `::` stands for as many zeros as are missing."""
+    side = lambda i: F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda g: F.get(halves, F.lit(i)) != "")
+    both = lambda l, r: F.when(F.size(l) + F.size(r) < 8, F.concat(l, F.array_repeat(F.lit("0"), F.lit(8) - F.size(l) - F.size(r)), r))  # noqa: E731, E741
+    return F.when(F.size(halves) == 1, F.split(plain, ":")).when(F.size(halves) == 2, _once(side(0), lambda l: _once(side(1), lambda r: both(l, r))))  # noqa: E741
+
+
+def _joined(groups: Column) -> Column:
+    """Eight groups of one to four hexadecimal digits as two numbers; null for anything else."""
+    good = F.forall(groups, lambda g: F.length(g).between(1, 4) & (F.translate(g, "0123456789abcdef", "") == ""))
+    number = lambda i: F.conv(F.get(groups, F.lit(i)), 16, 10).cast("bigint")
+    half = lambda i: F.shiftleft(number(i), 48).bitwiseOR(F.shiftleft(number(i + 1), 32)).bitwiseOR(F.shiftleft(number(i + 2), 16)).bitwiseOR(number(i + 3))
+    return F.when(F.coalesce((F.size(groups) == 8) & good, F.lit(False)), F.struct(half(0).alias("hi"), half(4).alias("lo")))
+
+
+def ip_bits(ip: Column) -> Column:
+    """Address of either kind as 128 bits (hi, lo); IPv4 stands in ::ffff:0:0/96. Null for anything else."""
+
+    def of(low: Column, v4: Column) -> Column:
+        # an IPv4 tail becomes two groups
+        pair = F.concat_ws(":", F.lower(F.hex(F.shiftright(v4, 16))), F.lower(F.hex(v4.bitwiseAND(65535))))
+        head = low.substr(F.lit(1), F.length(low) - F.length(F.substring_index(low, ":", -1)))
+        plain = F.when(v4.isNotNull(), F.concat(head, pair)).otherwise(low)
+        v6 = _once(plain, lambda p: _once(F.split(p, "::"), lambda h: _once(_groups(p, h), _joined)))
+        return F.when(low.contains(":"), v6).when(v4.isNotNull(), F.struct(F.lit(0).cast("bigint").alias("hi"), v4.bitwiseOR(F.lit(MAPPED)).alias("lo")))
+
+    return _once(F.lower(F.trim(ip)), lambda low: _once(_once(F.substring_index(low, ":", -1), ip_to_long), lambda v4: of(low, v4)))
+
+
+#: Bits 32 to 47 of an IPv4 address among 128-bit ones.
+MAPPED = 0xFFFF << 32
+
+
+def masked_bits(hi: Column, lo: Column, length: Column) -> Column:
+    """The first `length` of 128 bits; null for a null length."""
+    ones = F.lit(-1).cast("bigint")
+    top = F.when(length >= 64, hi).when(length <= 0, F.lit(0).cast("bigint")).otherwise(hi.bitwiseAND(F.call_function("shiftleft", ones, F.lit(64) - length)))
+    low = F.when(length >= 128, lo).when(length <= 64, F.lit(0).cast("bigint")).otherwise(lo.bitwiseAND(F.call_function("shiftleft", ones, F.lit(128) - length)))
+    return F.when(length.isNotNull(), F.struct(top.alias("hi"), low.alias("lo")))
+
+
+def network_bits(network: Column) -> Column:
+    """Network or address text as (hi, lo, length) of 128 bits, cut to its length; null for anything else."""
+    parts = F.split(F.trim(network), "/")
+    address, given = ip_bits(F.get(parts, F.lit(0))), F.get(parts, F.lit(1)).try_cast("int")
+    short = ~F.get(parts, F.lit(0)).contains(":")
+    length = F.when(F.size(parts) == 1, F.lit(128)).when(short & given.between(0, 32), given + 96).when(~short & given.between(0, 128), given)
+    whole = lambda a, n: _once(masked_bits(a["hi"], a["lo"], n), lambda m: F.when(a.isNotNull() & n.isNotNull() & (F.size(parts) <= 2), F.struct(m["hi"].alias("hi"), m["lo"].alias("lo"), n.alias("length"))))
+    return _once(address, lambda a: _once(length, lambda n: whole(a, n)))
+
+
+def _networks(entries: list[str]) -> list[ipaddress.IPv4Network | ipaddress.IPv6Network]:
+    """Networks and addresses of a list; bad entries are left out."""
+    out = []
     for entry in entries:
-        text = (entry or "").strip()
-        if not text:
-            continue
         try:
-            if "/" in text:
-                net = ipaddress.ip_network(text, strict=False)
-                if net.version == 4:
-                    tests.append(_in_block(n, text))
-            else:
-                addr = ipaddress.ip_address(text)
-                tests.append(n == int(addr) if addr.version == 4 else F.lower(ip) == str(addr))
+            out.append(ipaddress.ip_network((entry or "").strip(), strict=False))
         except ValueError:
             continue
-    return F.coalesce(_any(tests), F.lit(False)) if tests else F.lit(False)
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def ip_in_any(ip: Column, entries: list[str], n: Column | None = None, bits: Column | None = None) -> Column:
+    """True when `ip` is an address, or falls in a network, of `entries`; bad entries are ignored.
+
+    One look-up in a set for each prefix length that occurs, however many entries there are.
+    """
+    return networks_hold(ip, {None: entries}, None, n, bits)
+
+
+def networks_hold(ip: Column, lists: dict[str | None, list[str]], owner: Column | None = None, n: Column | None = None, bits: Column | None = None) -> Column:
+    """As `ip_in_any`, with a list for each owner: an address counts if it is in the list of the row's own owner."""
+    n, v4, v6 = (ip_to_long(ip) if n is None else n), {}, {}
+    for name, entries in lists.items():
+        for net in _networks(entries):
+            first = int(net.network_address)
+            if net.version == 4:
+                v4.setdefault(net.prefixlen, set()).add((name, str(first)))
+            else:
+                v6.setdefault(net.prefixlen, set()).add((name, f"{_signed(first >> 64)}:{_signed(first & (1 << 64) - 1)}"))
+    tests = []
+    for length, found in sorted(v4.items()):
+        key = n.bitwiseAND(F.lit((0xFFFFFFFF << (32 - length)) & 0xFFFFFFFF).cast("bigint"))
+        tests.append(key.isin([int(v) for _, v in sorted(found, key=str)]) if owner is None else F.concat_ws("|", owner, key.cast("string")).isin([f"{o}|{v}" for o, v in sorted(found, key=str)]) & key.isNotNull())
+    if v6:
+        tests.append(_once(ip_bits(ip) if bits is None else bits, lambda b: _any([_in_networks(b, length, found, owner) for length, found in sorted(v6.items())]) & b.isNotNull()))
+    return F.coalesce(_any([F.coalesce(t, F.lit(False)) for t in tests]), F.lit(False)) if tests else F.lit(False)
+
+
+def _in_networks(bits: Column, length: int, found: set[tuple[str | None, str]], owner: Column | None) -> Column:
+    cut = masked_bits(bits["hi"], bits["lo"], F.lit(length))
+    key = F.concat_ws(":", cut["hi"], cut["lo"])
+    if owner is None:
+        return key.isin([v for _, v in sorted(found, key=str)])
+    return F.coalesce(F.concat_ws("|", owner, key).isin([f"{o}|{v}" for o, v in sorted(found, key=str)]), F.lit(False))
 
 
 def first_ipv4(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fields import field_type
 from tidewatch.functions.net import ip_to_long, is_private_like
+from tidewatch.operators.prefixjoin import prefix_join
 from tidewatch.operators.rangejoin import range_join
 
 
@@ -21,17 +22,29 @@ def _field(df: DataFrame, path: str, kind: str):
     return F.col(path).cast(kind) if field_type(df.schema, path) is not None else F.lit(None).cast(kind)
 
 
+def _place(table: DataFrame) -> list[str]:
+    return ["network"] if "network" in table.columns else ["start_long", "end_long"]
+
+
+def _looked_up(events: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Tables of networks are matched by longest prefix, for addresses of both kinds; tables of IPv4 ranges by range."""
+    nets, ranges = [s for s in sides if "network" in s.columns], [s for s in sides if "network" not in s.columns]
+    out = _with_address(events)
+    out = range_join(out, "ip_long", *ranges) if ranges else out
+    return prefix_join(out, "ip_client", *nets) if nets else out
+
+
 def _geo_side(ranges: DataFrame) -> DataFrame:
-    return ranges.select("start_long", "end_long", F.col("country_code").alias("_cc"), F.col("country_name").alias("_cn"))
+    return ranges.select(*_place(ranges), F.col("country_code").alias("_cc"), F.col("country_name").alias("_cn"))
 
 
 def _asn_side(ranges: DataFrame) -> DataFrame:
-    return ranges.select("start_long", "end_long", F.col("number").cast("bigint").alias("_num"), F.col("org").alias("_org"))
+    return ranges.select(*_place(ranges), F.col("number").cast("bigint").alias("_num"), F.col("org").alias("_org"))
 
 
 def enrich_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Fill extra.geo (and its copy extra.geoip); private addresses are PRV, unknown ones UNK, known countries stay."""
-    return _fill_geo(range_join(_with_address(events), "ip_long", _geo_side(ranges)))
+    return _fill_geo(_looked_up(events, _geo_side(ranges)))
 
 
 def _fill_geo(df: DataFrame) -> DataFrame:
@@ -52,7 +65,7 @@ def _fill_geo(df: DataFrame) -> DataFrame:
 
 def enrich_asn(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Fill extra.asn where the number is missing; private addresses get none."""
-    return _fill_asn(range_join(_with_address(events), "ip_long", _asn_side(ranges)))
+    return _fill_asn(_looked_up(events, _asn_side(ranges)))
 
 
 def _fill_asn(df: DataFrame) -> DataFrame:
@@ -82,5 +95,5 @@ def flag_internal(events: DataFrame) -> DataFrame:
 
 def enrich(events: DataFrame, geo_ranges: DataFrame, asn_ranges: DataFrame) -> DataFrame:
     """Country, operator and internal marks, from one lookup of each address; helper columns removed."""
-    looked_up = range_join(_with_address(events), "ip_long", _geo_side(geo_ranges), _asn_side(asn_ranges))
+    looked_up = _looked_up(events, _geo_side(geo_ranges), _asn_side(asn_ranges))
     return flag_internal(_fill_asn(_fill_geo(looked_up))).drop("ip_long", "ip_private")

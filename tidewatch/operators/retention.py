@@ -27,6 +27,9 @@ ALIASES = {
     "exim": "exim_mainlog", "exim4": "exim_mainlog", "exim_main": "exim_mainlog",
     "dovecot_auth": "dovecot", "mailauth": "dovecot", "mail": "maillog", "maillog": "maillog", "auth": "auth",
 }
+MAILBOX_TYPES = ["maillog_dovecot", "dovecot", "auth"]
+MAILBOX_WORDS = ["dovecot", "imap-login", "pop3-login"]
+TRANSFER_WORDS = [" exim", "exim_mainlog"]
 LOAD_LIMIT = 6.0
 MEMORY_LIMIT = 92.0
 
@@ -53,8 +56,8 @@ def raw_retention(events: DataFrame, log_type: str = "log_type") -> Column:
     source, message = F.lower(F.trim(text(F.col("source")))), F.lower(text(F.col("message")))
 
     mailbox = (
-        kind.isin("maillog_dovecot", "dovecot", "auth") | source.contains("dovecot") | process.contains("dovecot")
-        | _any_of(message, ["dovecot", "imap-login", "pop3-login"])
+        kind.isin(MAILBOX_TYPES) | source.contains("dovecot") | process.contains("dovecot")
+        | _any_of(message, MAILBOX_WORDS)
     )
     metric = F.lower(F.trim(text(field("metric.name"))))
     load = F.coalesce(field("metric.ldavg_1", "double"), field("metric.ldavg_1_per_cpu", "double"))
@@ -71,7 +74,7 @@ def raw_retention(events: DataFrame, log_type: str = "log_type") -> Column:
     )
     transfer = (
         (kind == "exim_mainlog") | source.contains("exim") | process.contains("exim")
-        | message.contains(" exim") | message.startswith("exim") | message.contains("exim_mainlog")
+        | message.startswith("exim") | _any_of(message, TRANSFER_WORDS)
     )
     mail = (F.lower(text(field("direction"))).isin("in", "out") & _any_of(message, MAIL_WORDS)) | truthy(
         ~field("auth_success", "boolean")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.fields import blank_to_null, event_field, field_type, text, truthy
-from tidewatch.functions.net import ip_in_any, ip_to_long, is_non_global
+from tidewatch.functions.net import ip_in_any, ip_to_long, is_non_global, networks_hold
 
 
 @dataclass(frozen=True)
@@ -157,9 +157,7 @@ def is_trusted(schema: T.StructType, cfg: TrustConfig) -> Column:
     if cfg.asn_numbers:
         out = out | truthy(asn_number(schema).isin(cfg.asn_numbers))
     server = F.trim(F.col("server"))
-    for name, ips in cfg.server_ips.items():
-        out = out | (truthy(server == name) & ip_in_any(ip, ips, n))
-    return truthy(out)
+    return truthy(out | networks_hold(ip, cfg.server_ips, server, n))
 
 
 def is_trusted_for_rule(schema: T.StructType, cfg: TrustConfig, emit: dict[str, Any]) -> Column:
@@ -226,6 +224,7 @@ def rule_let(schema: T.StructType, block: dict[str, Any] | None, extended: bool
 
 # ---------------------------------------------------------------- conditions
 
+# The names that conditions of event rules and of incident rules may use.
 EVENT_CONDITION_NAMES = [
     "count", "unique_paths", "unique_ips", "unique_users", "unique_servers", "unique_subnets24",
     "top_subnet24_hits", "fail_count", "success_count", "server", "source", "event_type", "group_key",

@@ -1,40 +1,15 @@
-"""One regex pass per line for all capture groups of a pattern."""
+"""Values that are worked out once for each line."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIT = "\u0002"
-
 
 def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once per row.
 
     A plain column is recomputed inside every filter that the optimizer pushes below it; a one-element
-    explode keeps such filters above, which matters when the value costs several regex passes.
+    explode keeps such filters above, which matters when the value costs several passes over the line.
     """
     return df.withColumn(name, F.explode(F.array(value)))
-
-
-def with_captures(lines: DataFrame, name: str, pattern: str, groups: int, on: str = "raw", flags: str = "") -> DataFrame:
-    """Add an array column: [mark, group 1, ...] where the pattern is found, else just the text."""
-    head = "" if pattern.startswith("^") else ".*?"
-    body = pattern[1:] if pattern.startswith("^") else pattern
-    whole = f"(?s{flags})^{head}(?:{body.removesuffix('$')}){'' if body.endswith('$') else '.*'}$"
-    marked = HIT + "".join(f"\u0001${i}" for i in range(1, groups + 1))
-    return pinned(lines, name, F.split(F.regexp_replace(F.col(on), whole, marked), "\u0001"))
-
-
-def found(name: str) -> Column:
-    return F.get(F.col(name), F.lit(0)) == HIT
-
-
-def group(name: str, i: int) -> Column:
-    """Trimmed group text; null when it did not take part or is blank."""
-    return F.nullif(F.trim(F.get(F.col(name), F.lit(i))), F.lit(""))
-
-
-def extract(text: Column, pattern: str, i: int = 1) -> Column:
-    """First match's group as trimmed text, or null."""
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, i)), F.lit(""))

@@ -25,13 +25,15 @@ def _syslog_lines(lines: DataFrame, process: str | None = None) -> DataFrame:
 
 
 def parse_ssh(lines: DataFrame, ref_now=None, lenient: bool = False) -> DataFrame:
-    """Accepted and failed SSH logins: the user stands before the last `from`, address and port behind it."""
+    """Accepted and failed SSH logins: one word of user name between `for` and the last `from`, address and port behind that. Lines without a name are dropped."""
     m = _syslog_lines(lines, "sshd")
     msg = F.get("t", F.lit(5))
     w = words(msg)
     place = F.size(w) - F.array_position(F.reverse(w), "from")  # of the last one, from 0
+    ok = at(w, 0) == "Accepted"
+    named = (place == 4) | (~ok & (place == 6) & (at(w, 3) == "invalid") & (at(w, 4) == "user"))
     fields = F.struct(
-        (at(w, 0) == "Accepted").alias("ok"), F.when(at(w, 0) == "Accepted", at(w, 1)).alias("method"), at(w, place - 1).alias("user"),
+        ok.alias("ok"), F.when(ok, at(w, 1)).alias("method"), F.when(named, at(w, place - 1)).alias("user"),
         at(w, place + 1).alias("ip"), (at(w, place + 2) == "port").alias("has_port"), at(w, place + 3).alias("port"),
     )
     login = (msg.startswith("Failed password for ") | (msg.startswith("Accepted ") & (at(w, 2) == "for"))) & F.array_contains(w, "from")
@@ -250,14 +252,15 @@ def parse_firewall(lines: DataFrame, ref_now=None, lenient: bool = False) -> Dat
     # `port=22` words, and the numbers that stand behind `port:` or `ports:`
     single = F.transform(F.filter("w", lambda x: F.lower(x).startswith("port=")), lambda x: x.substr(F.lit(6), F.length(x)))
     lead = F.transform("w", lambda x: F.lower(x))
-    place = F.greatest(*[F.coalesce(F.array_position(lead, x), F.lit(0)) for x in ("port:", "ports:", "ports=", "port", "ports")])
+    place = F.greatest(*[F.coalesce(F.array_position(lead, x), F.lit(0)) for x in ("port:", "ports:", "ports=")])
     tail = F.slice("w", place.cast("int") + 1, F.size("w"))
     run = F.aggregate(tail, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("got")), lambda acc, x: F.struct(
         (acc["on"] & is_digits(x)).alias("on"), F.when(acc["on"] & is_digits(x), F.concat(acc["got"], F.array(x))).otherwise(acc["got"]).alias("got")))["got"]
     listed = F.when(place > 0, run).otherwise(F.array().cast("array<string>"))
     ports = F.array_distinct(F.filter(F.transform(F.concat(single, listed), lambda p: p.try_cast("int")), lambda p: p.isNotNull()))
     m = m.withColumn("ports", F.when(F.size(ports) > 0, ports))
-    token = F.regexp_replace(F.regexp_replace(F.lower("trigger"), r"[\s\-]+", "_"), r"[^a-z0-9_.]+", "")
+    joined = F.array_join(F.split(F.lower("trigger"), r"[\s-]+"), "_")
+    token = F.array_join(F.split(joined, "[^a-z0-9_.]"), "")
     by_message = F.lit("lfd_event")
     for words, reason in reversed(REASONS):
         test = low.contains(words[0])

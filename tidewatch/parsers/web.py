@@ -14,6 +14,9 @@ from tidewatch.schemas import make_events
 AUTOINDEX_MARKS = ["ah01276", "autoindex:error"]
 # The levels that the language writes before its message.
 PHP_LEVELS = ["Warning", "Fatal error", "Parse error", "Notice"]
+WORD_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+# What replaces home folders and numbers in a signature.
+REDACTED = [(r"/home/\S+", "/home/<redacted>"), (r"\b\d+\b", "<n>")]
 # Messages about files that could not be loaded.
 LOAD_MARKS = ["failed opening required", "no such file or directory", "require_once", "require(", "include_once", "include("]
 # Folders of the blog application.
@@ -56,10 +59,11 @@ def _referer_host(rest: Column) -> Column:
 
 
 def _php(text: Column) -> Column:
-    """Level and message of the first PHP error in a text, else null."""
-    start = F.regexp_instr(text, F.lit(r"(?i)\bPHP\s+(" + "|".join(PHP_LEVELS) + r"):\s"))
-    rest = F.ltrim(text.substr(start + F.lit(3), F.length(text)))
-    return F.when(start > 0, F.struct(text_or_null(before(rest, ":")).alias("level"), text_or_null(after(rest, ":")).alias("message")))
+    """Level and message of the first PHP error in a text, else null: a level of the language behind its name, with a colon and a blank."""
+    start = F.least(*[F.nullif(F.instr(F.lower(text), f"php {level.lower()}: "), F.lit(0)) for level in PHP_LEVELS])
+    own_word = (start == 1) | ~F.lower(text.substr(start - 1, F.lit(1))).isin(*WORD_SIGNS)
+    rest = F.ltrim(text.substr(start + F.lit(len("php ")), F.length(text)))
+    return F.when(own_word, F.struct(text_or_null(before(rest, ":")).alias("level"), text_or_null(after(rest, ":")).alias("message")))
 
 
 def _files(message: Column, *starts: str) -> Column:
@@ -137,7 +141,9 @@ def parse_wp_error(lines: DataFrame, ref_now=None, lenient: bool = False, signat
     own = F.size(_files(msg, "wp-")) > 0
     m = m.filter(contains_any(F.lower(msg), APP_FOLDERS) | own)
     kind = F.when(F.col("about.memory"), "memory_exhausted").when(F.col("about.core").isNotNull() | F.col("about.missing").isNotNull(), "missing_file").otherwise("php_error")
-    signature = F.regexp_replace(F.regexp_replace(msg, r"/home/\S+", "/home/<redacted>"), r"\b\d+\b", "<n>")
+    signature = msg
+    for pattern, instead in REDACTED:
+        signature = F.regexp_replace(signature, pattern, instead)
     return make_events(
         m, source="WP_ERROR", service="WORDPRESS", ts=to_utc(F.col("p.time"), ref_now, lenient), message=msg,
         extra={

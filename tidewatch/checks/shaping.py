@@ -142,7 +142,7 @@ NETWORKS = """SELECT DISTINCT concat('2a00:', lower(hex(user_id % 16)), '::/32')
   UNION ALL SELECT DISTINCT subnet24, 'W', CAST(5 AS BIGINT) FROM sec WHERE k % 8 = 3
   UNION ALL SELECT '2a00::/12', 'X', CAST(6 AS BIGINT)"""
 BEST = """CASE WHEN v6 THEN CASE WHEN k % 3 = 0 AND event_id % 7 = 5 THEN 3 WHEN k % 10 = 0 THEN 2 WHEN user_id % 2 = 0 THEN 1 ELSE 6 END
-  ELSE CASE WHEN subnet24 IN (SELECT subnet24 FROM sec WHERE k % 8 = 3) THEN 5 WHEN user_id % 3 = 0 THEN 4 END END"""
+  ELSE CASE WHEN subnet24 IN (SELECT subnet24 FROM sec WHERE k % 8 = 3) THEN 5 WHEN user_id % 16 IN (SELECT user_id % 16 FROM sec WHERE user_id % 3 = 0) THEN 4 END END"""
 
 
 def _both_kinds(spark, sf):

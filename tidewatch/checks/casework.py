@@ -36,11 +36,11 @@ ORACLE_RULES = [
 ]
 MATCHED = " UNION ALL ".join(
     f"SELECT {i}::BIGINT AS rule_id, '{code}' AS code, id, us, severity, rule_name, server, {gk} AS gk, {pv} AS pv, {w * 1_000_000}::BIGINT AS w, {cd * 1_000_000}::BIGINT AS cd, "
-    f"{b}::BIGINT AS base, {score}::BIGINT AS score, '{kind}' AS kind FROM alerts WHERE {test}"
+    f"{b}::BIGINT AS base, {score}::BIGINT AS score, '{kind}' AS kind, server || '/' || coalesce(gv_username, '-') || '/' || coalesce(gv_ip, '-') AS gvt FROM alerts WHERE {test}"
     for i, code, test, gk, pv, w, cd, _, b, score, kind in ORACLE_RULES)
 TICKS = f"""{WITH_ALERTS}, hits AS ({MATCHED}), ticks AS (SELECT {START_US} + i * {STEP * 1_000_000} AS tick FROM range({30 * 86400 // STEP + 1}) r(i)),
   totals AS (SELECT rule_id, code, kind, gk, tick, w, cd, base, score, count(*) AS n, count(DISTINCT rule_name) AS unique_alerts, count(DISTINCT server) AS unique_servers,
-    max(severity) AS max_severity, sum(severity)::BIGINT AS sum_severity, min(us) AS first_us, max(us) AS last_us, arg_min(pv, us) AS pv, arg_min(server, us) AS server
+    max(severity) AS max_severity, sum(severity)::BIGINT AS sum_severity, min(us) AS first_us, max(us) AS last_us, arg_min(pv, us) AS pv, arg_min(server, us) AS server, arg_min(gvt, us) AS gvt
     FROM hits JOIN ticks ON tick BETWEEN us AND us + w GROUP BY ALL)"""
 READY = f"""ready AS (SELECT *, rule_id || ':' || gk AS rk, tick AS us FROM totals WHERE pv IS NOT NULL AND CASE rule_id
   {' '.join(f'WHEN {r[0]} THEN {r[7]}' for r in ORACLE_RULES)} END), {cooldown_cte('f', 'ready', 'cd', 'rk')},
@@ -83,7 +83,8 @@ def w5(spark, sf):
 INC = f"""ids AS (SELECT code, kind, pv, count(*) AS alerts, sum(alert_id)::BIGINT AS alert_sum FROM links GROUP BY ALL),
   inc AS (SELECT fired.code, fired.kind AS primary_entity_type, fired.pv AS primary_entity_key, max(base) AS severity_current, max(score) AS score,
   arg_min(server, (tick, rule_id, first_us, gk)) AS server, arg_min(first_us, (tick, rule_id, first_us, gk)) AS opened_us, max(last_us) AS last_us, sum(n)::BIGINT AS n,
-  max(max_severity) AS max_severity, any_value(alerts) AS alerts, any_value(alert_sum) AS alert_sum
+  max(max_severity) AS max_severity, arg_min(gvt, (tick, rule_id, first_us, gk)) AS gvt, arg_min(rule_id, (tick, rule_id, first_us, gk)) AS rule_id,
+  arg_min(last_us, (tick, rule_id, first_us, gk)) AS window_end, any_value(alerts) AS alerts, any_value(alert_sum) AS alert_sum
   FROM fired JOIN ids ON ids.code = fired.code AND ids.kind = fired.kind AND ids.pv = fired.pv GROUP BY ALL)"""
 INC_COLS = "code, primary_entity_type, primary_entity_key, severity_current, score, server, opened_us, last_us, n, max_severity"
 
@@ -96,12 +97,17 @@ def _inc_rows(df):
     return df.withColumn("n", F.col("count")).withColumn("severity_current", F.col("severity_current").cast("bigint")).withColumn("score", F.col("score").cast("bigint"))
 
 
-@check("r4_build_incidents", f"{TICKS}, {READY}, {INC} SELECT {INC_COLS}, alerts, alert_sum FROM inc")
+@check("r4_build_incidents", f"{TICKS}, {READY}, {INC} SELECT {INC_COLS}, alerts, alert_sum, gvt, rule_id, window_end, last_us AS last_window_end, CASE rule_id WHEN 6 THEN 'server' WHEN 3 THEN 'server,ip_client' ELSE 'server,username' END AS group_by FROM inc")
 def r4(spark, sf):
     inc, links, _ = _built(spark, sf)
     key = ["code", "primary_entity_type", "primary_entity_key"]
     ids = links.groupBy(*key).agg(F.count(F.lit(1)).alias("alerts"), F.sum("alert_id").alias("alert_sum"))
-    return _inc_rows(inc).join(ids, key, "left").select(*INC_COLS.split(", "), "alerts", "alert_sum")
+    values = F.concat_ws("/", *[F.coalesce(F.try_element_at("evidence.group_values", F.lit(n)), F.lit("-")) for n in ("server", "username", "ip_client")])
+    evidence = [
+        values.alias("gvt"), F.col("evidence.rule_id").cast("bigint").alias("rule_id"), F.unix_micros("evidence.window_end").alias("window_end"),
+        F.unix_micros(incidents.incident_metrics_row()["last_window_end"]).alias("last_window_end"), F.array_join("evidence.group_by", ",").alias("group_by"),
+    ]
+    return _inc_rows(inc).join(ids, key, "left").select(*INC_COLS.split(", "), "alerts", "alert_sum", *evidence)
 
 
 @check("r8_seeded_rules", f"{TICKS}, {READY} SELECT rule_id, count(*) AS firings FROM fired WHERE rule_id < 15 GROUP BY rule_id")

@@ -185,7 +185,7 @@ def alerts_to_rules(alerts: DataFrame, rules: list[IncidentRule]) -> DataFrame:
         F.coalesce(F.nullif(F.trim("server"), F.lit("")), F.lit("-")).alias("alert_server"),
         F.coalesce(F.col("severity"), F.lit(0)).cast("bigint").alias("severity"),
         F.unix_micros("triggered_at").alias("ts"),
-        F.trim(_value("server")).alias("server"),
+        F.trim(_value("server")).alias("server"), F.to_json("evidence.group_values").alias("group_json"),
         F.explode(F.array_compact(F.array(*hits))).alias("hit"),
     ).select("*", "hit.*").drop("hit")
 
@@ -214,7 +214,7 @@ def incident_metrics(hits: DataFrame, rules: list[IncidentRule], start: datetime
         .groupBy(*KEYS, "first_tick", "last_tick", "alert_name", "alert_server")
         .agg(
             F.count(F.lit(1)).alias("n"), F.sum("severity").alias("sum_severity"), F.max("severity").alias("max_severity"),
-            F.min(F.struct("ts", "id", "server", "primary")).alias("first"), F.max("ts").alias("last_ts"),
+            F.min(F.struct("ts", "id", "server", "primary", "group_json")).alias("first"), F.max("ts").alias("last_ts"),
         )
     )
     return (
@@ -230,7 +230,7 @@ def incident_metrics(hits: DataFrame, rules: list[IncidentRule], start: datetime
         .select(
             *KEYS, (F.col("tick") * step + t0).alias("tick_ts"), "count", "unique_alerts", "unique_servers",
             "max_severity", "sum_severity", F.col("first.ts").alias("first_ts"), "last_ts",
-            F.col("first.server").alias("server"), F.col("first.primary").alias("primary"),
+            F.col("first.server").alias("server"), F.col("first.primary").alias("primary"), F.col("first.group_json").alias("group_json"),
         )
     )
 
@@ -273,7 +273,8 @@ def upsert_incidents(firings: DataFrame, rules: list[IncidentRule], existing: Da
     """Incidents after a run. All firings of one (code, primary entity) meet in one incident.
 
     The first firing opens it (or finds the latest open one of `existing`); later ones extend activity,
-    severity, score and count. The alert ids are the links: an incident may hold too many for one row.
+    severity, score and count. The alert ids are the links: an incident may hold too many for one row. `evidence` says which rule and
+    window opened it, grouped by what, with which values; `incident_metrics_row` gives its numbers as one value.
     """
     key = ["code", "primary_entity_type", "primary_entity_key"]
     rows = described(firings, rules).withColumnRenamed("primary", "primary_entity_key")
@@ -287,13 +288,20 @@ def upsert_incidents(firings: DataFrame, rules: list[IncidentRule], existing: Da
         first_of("unique_alerts").alias("unique_alerts"), first_of("unique_servers").alias("unique_servers"),
         F.max("max_severity").alias("max_severity"), first_of("sum_severity").alias("sum_severity"),
         first_of("window_seconds").alias("window_seconds"), first_of("group_key").alias("group_key"),
+        first_of(F.struct(
+            "rule_id", F.coalesce(*[F.when(F.col("rule_id") == r.id, F.array(*map(F.lit, r.fields))) for r in rules]).alias("group_by"),
+            F.from_json("group_json", "map<string,string>").alias("group_values"),
+            F.timestamp_micros("first_ts").alias("window_start"), F.timestamp_micros("last_ts").alias("window_end"),
+        )).alias("evidence"),
     )
     if existing is None:
         return new.select(
             *key, "name", "scope", F.lit("open").alias("status"), "severity_base", "severity_current", "score", "server",
             "opened_us", "last_us", "count", "unique_alerts", "unique_servers", "max_severity", "sum_severity",
-            "window_seconds", "group_key",
+            "window_seconds", "group_key", "evidence",
         )
+    if "evidence" not in existing.columns:
+        existing = existing.withColumn("evidence", F.lit(None).cast(new.schema["evidence"].dataType))
     is_open = F.col("status").isin(OPEN_STATES)
     open_rows = latest_open(existing.filter(is_open))
     untouched = existing.join(open_rows.select("id"), "id", "left_anti")
@@ -312,11 +320,18 @@ def upsert_incidents(firings: DataFrame, rules: list[IncidentRule], existing: Da
         F.greatest("last_us", "n_last_us").alias("last_us"),
         (F.coalesce("count", F.lit(0)) + F.coalesce("n_count", F.lit(0))).alias("count"),
         keep("unique_alerts"), keep("unique_servers"), F.greatest("max_severity", "n_max_severity").alias("max_severity"),
-        keep("sum_severity"), keep("window_seconds"), keep("group_key"),
+        keep("sum_severity"), keep("window_seconds"), keep("group_key"), keep("evidence"),
     )
     return merged.unionByName(untouched.select(*merged.columns))
 
 
+def incident_metrics_row() -> Column:
+    """The numbers of an incident, with the end of the last window that added to it."""
+    return F.struct(
+        "count", "unique_alerts", "unique_servers", "max_severity", "sum_severity", "window_seconds", "group_key", F.timestamp_micros("last_us").alias("last_window_end")
+    )
+
+
 def latest_open(open_incidents: DataFrame) -> DataFrame:
     """The most recently opened of the open incidents of each (code, primary entity)."""
     key = ["code", "primary_entity_type", "primary_entity_key"]

@@ -21,10 +21,10 @@ from tidewatch.operators.conditions import condition_test
 from tidewatch.operators.rules import INCIDENT_CONDITION_NAMES, condition_error
 from tidewatch.plans.incidents import KEYS, IncidentRule, alerts_to_rules, incident_links, unseen_links, upsert_incidents
 
-SUMS = "first_tick long, last_tick long, name string, at string, n long, sum_severity long, max_severity long, first_ts long, first_id long, server string, primary string, last_ts long"
+SUMS = "first_tick long, last_tick long, name string, at string, n long, sum_severity long, max_severity long, first_ts long, first_id long, server string, primary string, group_json string, last_ts long"
 FIRED = (
     "kind string, rule_id int, group_key string, tick_ts long, count long, unique_alerts long, unique_servers long, max_severity long, sum_severity long, "
-    "first_ts long, last_ts long, server string, primary string, window_seconds int, alert_id long"
+    "first_ts long, last_ts long, server string, primary string, group_json string, window_seconds int, alert_id long"
 )
 FIRING, LATE = "firing", "late"
 
@@ -52,10 +52,10 @@ class IncidentTicks(StatefulProcessor):
             at = (-(-row.ts // self.step), (row.ts + rule.window_seconds * 1_000_000) // self.step, row.alert_name, row.alert_server)
             if at[0] > at[1]:  # a window shorter than a step, between two ticks
                 continue
-            own = (1, row.severity, row.severity, row.ts, row.id, row.server, row.primary, row.ts)
+            own = (1, row.severity, row.severity, row.ts, row.id, row.server, row.primary, row.group_json, row.ts)
             if at in sums:
                 n, total, most, *first, last = sums[at]
-                first = min(tuple(first), own[3:7], key=lambda x: x[:2])
+                first = min(tuple(first), own[3:8], key=lambda x: x[:2])
                 own = (n + 1, total + row.severity, max(most, row.severity), *first, max(last, row.ts))
             sums[at] = own
         if sums:
@@ -106,8 +106,8 @@ class IncidentTicks(StatefulProcessor):
         first = min(sums, key=lambda x: x[7:9])
         return {
             "count": sum(x[4] for x in sums), "unique_alerts": len({x[2] for x in sums}), "unique_servers": len({x[3] for x in sums}),
-            "max_severity": max(x[6] for x in sums), "sum_severity": sum(x[5] for x in sums), "first_ts": first[7], "last_ts": max(x[11] for x in sums),
-            "server": first[9], "primary": first[10], "window_seconds": rule.window_seconds, "group_key": group,
+            "max_severity": max(x[6] for x in sums), "sum_severity": sum(x[5] for x in sums), "first_ts": first[7], "last_ts": max(x[12] for x in sums),
+            "server": first[9], "primary": first[10], "group_json": first[11], "window_seconds": rule.window_seconds, "group_key": group,
         }
 
     @staticmethod
@@ -120,7 +120,7 @@ def incident_changes(alerts: DataFrame, rules: list[IncidentRule], step_seconds:
     """Firings (and late alerts) of a stream of alerts at ticks that are multiples of the step."""
     rules = [r for r in rules if r.enabled and not condition_error(r.condition, INCIDENT_CONDITION_NAMES)]
     hits = alerts_to_rules(alerts.withWatermark("triggered_at", f"{max_delay_seconds} seconds"), rules)
-    rows = hits.select(*KEYS, "ts", F.col("id").cast("long").alias("id"), "alert_name", "alert_server", "severity", "server", "primary")
+    rows = hits.select(*KEYS, "ts", F.col("id").cast("long").alias("id"), "alert_name", "alert_server", "severity", "server", "primary", "group_json")
     return rows.groupBy(*KEYS).transformWithState(IncidentTicks(rules, step_seconds), FIRED, "Append", "EventTime")
 
 

@@ -17,6 +17,7 @@ from tidewatch.operators.rules import (
 )
 from tidewatch.operators.staging import staged
 from tidewatch.operators.windows import sliding_metrics
+from tidewatch.operators.tokens import token_hits
 from tidewatch.plans.alerts import build_alerts, events_to_rules, reprocess_rules
 
 DAY = 86_400_000_000
@@ -157,6 +158,16 @@ def f2(spark, sf):
     return ev.filter(test).select(F.col("id").alias("event_id"), "username", F.col("extra.http.path").alias("path"))
 
 
+@check("f2_long_token_lists", """WITH tokens AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token, item_id FROM benchmark)
+SELECT d.doc_id, count(DISTINCT t.item_id) AS items, min(t.item_id) AS first_item FROM documents d JOIN tokens t ON length(t.token) >= 9 AND contains(d.text, t.token) GROUP BY d.doc_id""")
+def f2_long(spark, sf):
+    """Documents with a long word of each benchmark item, by the index of tokens."""
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("token"), F.col("item_id").alias("tag")).filter(F.length("token") >= 9)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = token_hits(docs.select("text"), words).groupBy("text").agg(F.countDistinct("tag").alias("items"), F.min("tag").alias("first_item"))
+    return docs.join(found, "text").select("doc_id", "items", "first_item")
+
+
 @check("f3_event_field", f"""{WITH_SEC} SELECT event_id, server AS f_server, path AS f_path, subnet24 AS f_net24, '44.' || (user_id % 16) || '.0.0/16' AS f_net16,
   NULL::VARCHAR AS f_message, source || ' ' || path AS f_ext FROM sec""")
 def f3(spark, sf):
@@ -314,6 +325,18 @@ def r9(spark, sf):
     return with_condition_error(rules, "condition", EVENT_CONDITION_NAMES).select("event_id", "error")
 
 
+MANY_RULES = [
+    EventRule(i, f"rule {i}", "APACHE_ACCESS", "http_access", group_by=["server"], emit={"ignore_trust": i % 2 == 1},
+              match={"username": {"in": [f"user{i}", f"user{i + 1}"]}, "extra.http.path": {"contains_any": [f"/p/{i % 100}"]}}) for i in range(500)
+]
+
+
+@check("j1_many_rules", f"""{WITH_SEC} SELECT r.i AS rule_id, event_id, server AS group_key FROM sec JOIN range(500) r(i) ON username IN ('user' || r.i, 'user' || (r.i + 1))
+WHERE source = 'APACHE_ACCESS' AND contains(path, '/p/' || (r.i % 100)) AND (r.i % 2 = 1 OR NOT {TRUST_SQL})""")
+def j1_many(spark, sf):
+    return events_to_rules(events(spark, sf), MANY_RULES, TRUST).select(F.col("rule_id").cast("bigint").alias("rule_id"), F.col("id").alias("event_id"), "group_key")
+
+
 @check("j1_events_to_rules", f"{WITH_SEC} " + " UNION ALL ".join(
     f"SELECT {rid}::BIGINT AS rule_id, event_id, {key} AS group_key FROM sec WHERE {where}" for rid, where, key, *_ in _ORACLE_RULES)
     + f" UNION ALL SELECT 6::BIGINT, event_id, server FROM sec WHERE source = 'APACHE_ACCESS' AND NOT {TRUST_SQL}")

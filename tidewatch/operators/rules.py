@@ -80,6 +80,24 @@ def _same(schema: T.StructType, path: str, col: Column, literal: Any) -> Column:
     return truthy(col == F.lit(literal))
 
 
+def _one_of(schema: T.StructType, path: str, col: Column, values: list[Any]) -> Column:
+    """Equality with any of the values. Texts and whole numbers are looked up in a set, however many they are."""
+    kind = field_type(schema, path) or T.StringType()
+    texts = [v for v in values if isinstance(v, str)]
+    whole = [v for v in values if isinstance(v, int) and not isinstance(v, bool) and abs(v) < 1 << 63]
+    hit = F.lit(False)
+    if isinstance(kind, T.StringType) and texts:
+        hit = hit | truthy(col.isin(texts))
+    elif isinstance(kind, T.IntegralType) and whole:
+        hit = hit | truthy(col.cast("bigint").isin(whole))
+    else:
+        whole = []
+    for v in values:
+        if not isinstance(v, str) and v not in whole:
+            hit = hit | _same(schema, path, col, v)
+    return hit
+
+
 def rule_match(
     schema: T.StructType, match: dict[str, Any], lists: dict[str, list[str]] | None = None, extended: bool = False
 ) -> Column:
@@ -113,10 +131,7 @@ def rule_match(
             values = cond.get("in")
             if "in_ref" in cond:
                 values = lists.get(str(cond["in_ref"] or "").strip())
-            hit = F.lit(False)
-            for v in values if isinstance(values, list) else []:
-                hit = hit | _same(schema, path, col, v)
-            out = out & hit
+            out = out & _one_of(schema, path, col, values if isinstance(values, list) else [])
     return out
 
 
@@ -160,20 +175,27 @@ def is_trusted(schema: T.StructType, cfg: TrustConfig) -> Column:
     return truthy(out | networks_hold(ip, cfg.server_ips, server, n))
 
 
-def is_trusted_for_rule(schema: T.StructType, cfg: TrustConfig, emit: dict[str, Any]) -> Column:
-    """Trust plus the rule's own extra countries, addresses and usernames."""
+def extra_trust(schema: T.StructType, emit: dict[str, Any]) -> tuple[tuple, Column] | None:
+    """The rule's own extra countries, addresses and usernames: a key that equal lists share, and their test. None without any."""
     emit = emit if isinstance(emit, dict) else {}
-    out = F.col("trusted_base") if "trusted_base" in schema.names else is_trusted(schema, cfg)
     countries = [c.upper() for c in _strings(emit.get("trusted_countries_extra"))]
     users = [u.lower() for u in _strings(emit.get("trusted_usernames_extra"))]
+    ips = _strings(emit.get("trusted_ips_extra"))
+    if not (countries or users or ips):
+        return None
+    out = ip_in_any(blank_to_null(F.col("ip_client")), ips, _ip_long(schema))
     if countries:
         out = out | truthy(F.upper(geo_country(schema)).isin(countries))
-    out = out | ip_in_any(
-        blank_to_null(F.col("ip_client")), _strings(emit.get("trusted_ips_extra")), _ip_long(schema)
-    )
     if users:
         out = out | truthy(F.lower(F.trim(F.col("username"))).isin(users))
-    return out
+    return ("trust", tuple(countries), tuple(users), tuple(ips)), out
+
+
+def is_trusted_for_rule(schema: T.StructType, cfg: TrustConfig, emit: dict[str, Any]) -> Column:
+    """Trust plus the rule's own extra countries, addresses and usernames."""
+    base = F.col("trusted_base") if "trusted_base" in schema.names else is_trusted(schema, cfg)
+    extra = extra_trust(schema, emit)
+    return base | extra[1] if extra else base
 
 
 # ---------------------------------------------------------------- derived values

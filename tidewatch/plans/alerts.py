@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.fields import blank_to_null, event_field, group_key
+from tidewatch.functions.fields import blank_to_null, event_field
 from tidewatch.functions.net import ip_subnet, ip_to_long
 from tidewatch.functions.times import within
 from tidewatch.operators.cooldown import apply_cooldown
 from tidewatch.operators.prefix import SIX_HOURS_US, numbered
+from tidewatch.operators.ruleindex import by_rule, matched_rules
 from tidewatch.operators.rules import (
     EVENT_CONDITION_NAMES,
     EventRule,
@@ -20,10 +21,8 @@ from tidewatch.operators.rules import (
     event_path,
     geo_country,
     is_trusted,
-    is_trusted_for_rule,
     rule_condition,
     rule_let,
-    rule_match,
 )
 from tidewatch.operators.staging import staged
 from tidewatch.operators.windows import sliding_metrics
@@ -41,7 +40,7 @@ def condition_errors(rules: list[EventRule]) -> dict[int, str]:
 def events_to_rules(
     events: DataFrame, rules: list[EventRule], trust: TrustConfig, extended: bool = False
 ) -> DataFrame:
-    """One row per (event, matching rule), in one pass over the events and without a join."""
+    """One row per (event, matching rule), in one pass over the events; only lists too long for a plan are joined."""
     wanted_sources = sorted({r.source.strip().upper() for r in rules})
     events = (
         events.withColumn("rule_source", F.upper(F.trim(F.col("source"))))
@@ -50,36 +49,16 @@ def events_to_rules(
         .withColumn("ip_long", ip_to_long(blank_to_null(F.col("ip_client"))))
     )
     events = events.withColumn("trusted_base", is_trusted(events.schema, trust))
-    schema, source, event_type = events.schema, F.col("rule_source"), F.col("rule_type")
-    hits = []
-    for r in sorted(rules, key=lambda r: r.id):
-        trusted = is_trusted_for_rule(schema, trust, r.emit)
-        test = (
-            (source == r.source.strip().upper())
-            & (event_type == r.event_type.strip().lower())
-            & rule_match(schema, r.match, trust.lists, extended)
-        )
-        if not r.emit.get("ignore_trust"):
-            test = test & ~trusted
-        hits.append(F.when(test, F.struct(
-            F.lit(r.id).alias("rule_id"),
-            group_key([event_field(schema, f, extended) for f in r.fields]).alias("group_key"),
-            F.lit(r.window_seconds * 1_000_000).cast("bigint").alias("w"),
-            trusted.alias("trusted"),
-            F.map_from_arrays(
-                F.array(*[F.lit(f) for f in r.fields]),
-                F.array(*[event_field(schema, f, extended).cast("string") for f in r.fields]),
-            ).alias("group_fields"),
-        )))
+    schema = events.schema
     lets = [
         c.alias(f"let_{r.id}_{n}") for r in rules for n, c in rule_let(schema, r.let, extended).items()
     ]
-    return events.select(
+    return matched_rules(events, rules, trust, extended).select(
         "id", "server", "ip_client", "username",
         event_field(schema, "raw_id").alias("raw_id"),
         F.unix_micros("timestamp_utc").alias("ts"),
-        source.alias("source"),
-        event_type.alias("event_type"),
+        F.col("rule_source").alias("source"),
+        F.col("rule_type").alias("event_type"),
         ip_subnet(blank_to_null(F.col("ip_client"))).alias("ip_subnet24"),
         geo_country(schema).alias("geo_country"),
         asn_number(schema).alias("asn_number"),
@@ -88,8 +67,8 @@ def events_to_rules(
         event_path(events).alias("path"),
         event_action(events).alias("action"),
         *lets,
-        F.explode(F.array_compact(F.array(*hits))).alias("hit"),
-    ).select("*", "hit.*").drop("hit")
+        "rule_id", "group_key", "w", "trusted", "group_fields",
+    )
 
 
 def window_metrics(hits: DataFrame, rules: list[EventRule], slice_width: int = SIX_HOURS_US) -> DataFrame:
@@ -136,22 +115,18 @@ def window_metrics(hits: DataFrame, rules: list[EventRule], slice_width: int = S
     ).drop("top_hits")
 
 
-def _by_rule(rules: list[EventRule], value) -> Column:
-    out = F.lit(None)
-    for r in rules:
-        out = F.when(F.col("rule_id") == r.id, value(r)).otherwise(out)
-    return out
-
-
 def candidates(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
     """Rows whose rule's condition holds, with the rule's cooldown."""
     bad = condition_errors(rules)
-    holds = F.lit(False)
+    same: dict[tuple, list[EventRule]] = {}  # rules with the same condition share its test
     for r in rules:
         if r.id not in bad:
-            rename = {n: f"let_{r.id}_{n}" for n in r.let}
-            holds = F.when(F.col("rule_id") == r.id, rule_condition(r.condition, rename)).otherwise(holds)
-    cooldown = _by_rule(rules, lambda r: F.lit(r.cooldown_seconds * 1_000_000)).cast("bigint")
+            same.setdefault((r.condition, *([r.id] if r.let else [])), []).append(r)
+    holds = F.lit(False)
+    for group in same.values():
+        rename = {n: f"let_{group[0].id}_{n}" for n in group[0].let}
+        holds = F.when(F.col("rule_id").isin([r.id for r in group]), rule_condition(group[0].condition, rename)).otherwise(holds)
+    cooldown = by_rule({r.id: r.cooldown_seconds * 1_000_000 for r in rules}, "bigint")
     return metrics.filter(holds).withColumn("cooldown", cooldown)
 
 
@@ -162,7 +137,7 @@ def fired(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
 
 def window_evidence(alerts: DataFrame, metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
     """Last n window rows of each alert (n = 0: all), by position in the group: an equi-join."""
-    n = _by_rule(rules, lambda r: F.lit(int(r.evidence.get("last_n", 10)))).cast("bigint")
+    n = by_rule({r.id: int(r.evidence.get("last_n", 10)) for r in rules}, "bigint")
     take = F.when(n > 0, F.least(n, F.col("count"))).otherwise(F.col("count"))
     wanted = alerts.select(
         *KEYS, F.col("id").alias("alert_event"),
@@ -215,22 +190,22 @@ def alert_columns(rules: list[EventRule], items: Column) -> list[Column]:
     own = F.map_filter("group_fields", lambda k, v: v.isNotNull() & ~F.map_contains_key(base_values, k))
     return [F.col(c) if isinstance(c, str) else c for c in (
         "rule_id",
-        _by_rule(rules, lambda r: F.lit(r.name)).alias("rule_name"),
-        _by_rule(rules, lambda r: F.lit(r.severity)).alias("severity"),
+        by_rule({r.id: r.name for r in rules}, "string").alias("rule_name"),
+        by_rule({r.id: r.severity for r in rules}, "int").alias("severity"),
         "server", "source", "event_type", "group_key",
         F.timestamp_micros("ts").alias("triggered_at"),
-        F.timestamp_micros(F.col("ts") - _by_rule(rules, lambda r: F.lit(r.window_seconds * 1_000_000).cast("bigint"))).alias("window_start"),
+        F.timestamp_micros(F.col("ts") - by_rule({r.id: r.window_seconds * 1_000_000 for r in rules}, "bigint")).alias("window_start"),
         F.timestamp_micros("ts").alias("window_end"),
         F.struct(
             "count", "unique_paths", "unique_ips", "unique_users", "unique_servers", "unique_subnets24", "top_subnet24", "top_subnet24_hits",
             "fail_count", "success_count",
-            _by_rule(rules, lambda r: F.lit(r.window_seconds)).alias("window_seconds"),
+            by_rule({r.id: r.window_seconds for r in rules}, "int").alias("window_seconds"),
             "trusted",
         ).alias("metrics"),
         F.struct(
             F.transform(items, lambda x: x["event_id"].cast("string")).alias("event_ids"),
             F.when(F.col("rule_id").isin(with_raw), F.filter(F.transform(items, lambda x: x["raw"]), lambda x: x.isNotNull())).alias("raw_samples"),
-            _by_rule(rules, lambda r: F.array(*[F.lit(f) for f in r.fields])).alias("group_by"),
+            by_rule({r.id: r.fields for r in rules}, "array<string>").alias("group_by"),
             F.map_filter(F.map_concat(base_values, own), lambda k, v: v.isNotNull()).alias("group_values"),
         ).alias("evidence"),
         F.lit("open").alias("status"),

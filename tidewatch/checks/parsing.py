@@ -14,6 +14,7 @@ from tidewatch.operators.staging import shared_root, staged
 from tidewatch.parsers import host, mail, stateful, web
 from tidewatch.parsers.dispatch import parse_all
 from tidewatch.sources import lines as src
+from tidewatch.sources.content import read_lines_by_content
 
 NOW = datetime(2024, 6, 1)
 SECOND = "(us // 1000000) * 1000000"
@@ -347,6 +348,45 @@ def s1(spark, sf):
     return read.select("server", "line_no", "raw")
 
 
+def _write_unnamed(folder: str):
+    """Two files a partition, one of them packed, under names that do not tell; each line begins with its number."""
+
+    def write(batches):
+        import gzip
+        import uuid
+
+        import pyarrow as pa
+
+        from tidewatch.operators.cooldown import _store
+
+        fs, base = _store(folder)
+        fs.create_dir(base, recursive=True)
+        names, counts = [uuid.uuid4().hex, uuid.uuid4().hex], [0, 0]
+        with fs.open_output_stream(f"{base}/{names[0]}") as plain, fs.open_output_stream(f"{base}/{names[1]}") as raw, gzip.GzipFile(fileobj=raw, mode="wb") as packed:
+            for batch in batches:
+                values = batch.column(0).to_pylist()
+                for k, out in enumerate((plain, packed)):
+                    part = values[k::2]
+                    out.write("".join(f"{counts[k] + i} {value}\n" for i, value in enumerate(part, 1)).encode())
+                    counts[k] += len(part)
+        yield pa.record_batch([pa.array(names)], names=["name"])
+
+    return write
+
+
+@check("s1_read_by_content", "SELECT page_id, coalesce(url, '') AS url, true AS numbered FROM pages")
+def s1_by_content(spark, sf):
+    """Pages as log lines, in files that are packed or not and have no suffix; only files of finished tasks are read."""
+    import uuid
+
+    path = f"{shared_root(spark)}/unnamed-{uuid.uuid4().hex}"
+    lines = spark.read.parquet(f"{sf}/pages.parquet").select(F.concat_ws(" ", F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("value"))
+    names = [r["name"] for r in lines.mapInArrow(_write_unnamed(path), "name string").collect()]  # two a task
+    read = read_lines_by_content(spark, [f"{path}/{n}" for n in names], "s", "t")
+    part = F.split("raw", " ", 3)
+    return read.select(part[1].cast("bigint").alias("page_id"), part[2].alias("url"), (part[0].cast("bigint") == F.col("line_no")).alias("numbered"))
+
+
 @check("s3_resolve_log_type", f"""{WITH_SEC} SELECT tag, filename, CASE tag WHEN ' Apache' THEN 'apache_access' WHEN 'dovecot' THEN 'maillog' WHEN 'cpanel' THEN 'cpanel_access'
   ELSE CASE k % 5 WHEN 3 THEN 'nginx_access' WHEN 4 THEN 'maillog' END END AS log_type, count(*) AS n FROM (SELECT k,
   CASE k % 5 WHEN 0 THEN ' Apache' WHEN 1 THEN 'dovecot' WHEN 2 THEN 'cpanel' ELSE 'other' || (k % 2) END AS tag,

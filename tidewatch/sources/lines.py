@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.prefix import numbered
+from tidewatch.sources.content import stream_lines_by_content
 
 # Tag of a shipped log -> log type.
 LOG_TYPE_OF_TAG = {
@@ -73,13 +74,9 @@ def read_log_lines(
 def stream_log_lines(spark: SparkSession, folder: str, server: str, log_type: str) -> DataFrame:
     """New files of a folder as a stream of numbered lines; each file is read once per checkpoint.
 
-    A file is one row until it is cut into lines, so the shipper's files must be far under 2 GB (they come in chunks of some 50 MB).
+    Packed files are known by their first bytes; see `sources/content.py`, which has further parameters.
     """
-    files = spark.readStream.text(folder, wholetext=True).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("file"))
-    text = F.regexp_replace("value", r"\r?\n$", "")
-    return files.filter("value <> ''").select("file", F.posexplode(F.split(text, "\r\n|\n|\r", -1)).alias("at", "raw")).select(
-        "raw", "file", (F.col("at") + 1).cast("bigint").alias("line_no"), F.lit(server).alias("server"), F.lit(log_type).alias("log_type"),
-    )
+    return stream_lines_by_content(spark, folder, server, log_type)
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:

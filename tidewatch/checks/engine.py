@@ -17,7 +17,7 @@ from tidewatch.operators.rules import (
 )
 from tidewatch.operators.staging import staged
 from tidewatch.operators.windows import sliding_metrics
-from tidewatch.operators.tokens import token_hits
+from tidewatch.operators.tokens import keyed_token_hits
 from tidewatch.plans.alerts import build_alerts, events_to_rules, reprocess_rules
 
 DAY = 86_400_000_000
@@ -163,9 +163,9 @@ SELECT d.doc_id, count(DISTINCT t.item_id) AS items, min(t.item_id) AS first_ite
 def f2_long(spark, sf):
     """Documents with a long word of each benchmark item, by the index of tokens."""
     words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("token"), F.col("item_id").alias("tag")).filter(F.length("token") >= 9)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    found = token_hits(docs.select("text"), words).groupBy("text").agg(F.countDistinct("tag").alias("items"), F.min("tag").alias("first_item"))
-    return docs.join(found, "text").select("doc_id", "items", "first_item")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
+    found = keyed_token_hits(docs, words).groupBy("key").agg(F.count("tag").alias("items"), F.min("tag").alias("first_item"))
+    return found.withColumnRenamed("key", "doc_id")
 
 
 @check("f3_event_field", f"""{WITH_SEC} SELECT event_id, server AS f_server, path AS f_path, subnet24 AS f_net24, '44.' || (user_id % 16) || '.0.0/16' AS f_net16,

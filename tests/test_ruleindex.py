@@ -9,7 +9,7 @@ from tidewatch.functions.fields import blank_to_null, event_field, group_key
 from tidewatch.functions.net import ip_to_long
 from tidewatch.operators.ruleindex import INLINE
 from tidewatch.operators.rules import EventRule, TrustConfig, is_trusted_for_rule, rule_match
-from tidewatch.operators.tokens import token_hits
+from tidewatch.operators.tokens import keyed_token_hits, token_hits
 from tidewatch.plans.alerts import events_to_rules
 
 SCHEMA = ("id long, raw_id long, source string, server string, ip_client string, username string, ts long, message string, "
@@ -109,6 +109,15 @@ def test_token_index_equals_search(spark):
     assert token_hits(spark.createDataFrame([("abcd",)], "text string"), none).count() == 0
 
 
+def test_tokens_of_keyed_texts(spark):
+    rows = [(1, "ab cd"), (1, "xyz12"), (2, None), (3, ""), (4, "é" * 700_000 + "token"), (5, "xyz12"), (5, "xyz12"), (6, "toke"), (None, "xyz12")]
+    tokens = [("ab", 1), ("xyz1", 2), ("z12", 2), ("éétoken", 3), ("c", 4), ("never there", 5)]
+    got = keyed_token_hits(spark.createDataFrame(rows, "key long, text string"), spark.createDataFrame(tokens, "token string, tag int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (1, 4), (4, 3), (5, 2)]
+    empty = spark.createDataFrame([], "key long, text string")
+    assert keyed_token_hits(empty, spark.createDataFrame(tokens, "token string, tag int")).count() == 0
+
+
 def test_a_hundred_thousand_tokens(spark, events):
     tokens = [f"/q{i}" for i in range(100_000)] + ["/p7/"]
     rule = EventRule(1, "r", "SSH_SECURE", "auth_login", match={"extra.http.path": {"contains_any_ref": "long"}, "username": {"in_ref": "names"}}, emit={"ignore_trust": True})

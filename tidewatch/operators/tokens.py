@@ -108,8 +108,8 @@ def _wanted(grams: DataFrame) -> np.ndarray:
 def keyed_token_hits(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """Distinct (key, tag) where a text of the key contains a token of that tag. `rows` has key and text, `tokens` has token and tag.
 
-    Null and empty tokens are in no text, null texts contain none; a repeated key has the tokens of all its texts. Tables of any size: texts and
-    tokens meet by equi-joins on runs of bytes. `rows` is read three times.
+    Null and empty tokens are in no text, null texts contain none; a repeated key has the tokens of all its texts, a null key has none. Tables of any
+    size: texts and tokens meet by equi-joins on runs of bytes. `rows` is read three times.
     """
     known = staged(tokens.filter("token <> ''").select("token", "tag").distinct(), "tokens")
     size = F.least(F.octet_length("token"), F.lit(GRAM))

@@ -1,11 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model reads characters: lower-cased, a capital inside a word is one symbol, digits one, and characters outside the alphabet (the most
-frequent of the trusted text) one. n-grams of up to four symbols are counted in the trusted texts of the training folds. The rest is joins of
-count tables, sharded by context: counts with the sums of their contexts, and each order with the probabilities of the order below. An alphabet
-of 64 bounds all n-grams of an order, so a finished order is a table of known size: the share of every symbol after every three is one byte of
-a file for each first symbol, 16 MB in all, which tasks map. Sending the n-grams of every text to the shards instead would move several times
-the texts themselves.
+The model reads characters: lower-cased, a capital inside a word is one symbol, digits one; every other character of the texts is a symbol of
+its own, whatever its script. n-grams of up to four symbols are counted in the trusted texts of the training folds. The rest is joins of count
+tables, sharded by context: counts with the sums of their contexts, and each order with the probabilities of the order below. A finished order
+is written as sorted arrays, shard by shard in ranges of contexts, so it may grow with the trusted texts; tasks map the shards and look up the
+distinct n-grams of a batch of texts. Sending the n-grams of every text to the shards instead would move several times the texts themselves.
+
+Four symbols make one number of 63 bits for up to 55 108 symbols. Texts with more than DIRECT characters have the rarest written as two symbols
+each, so none is left out.
 
 A document is kept where its perplexity is within the range of its language: between quantiles of trusted documents of the held-out fold, each
 widened by a factor that falls with the number of documents. Languages without such documents use the range of all trusted ones.
@@ -25,18 +27,23 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.elias_fano import map_arrays, write_arrays
 from tidewatch.llm.inputs import column_or_null, fold, new_folder, staged, table, whole_row
-from tidewatch.llm.text import groups, pieces
+from tidewatch.llm.text import pieces
 
 ORDER = 4
-ALPHABET = 64
 FOLDS = 5
 #: Quantiles of trusted documents' perplexity, and how far beyond them a document may be.
 LOW, HIGH = 0.005, 0.995
 WIDEN = 1.25
 #: Quantiles of n documents are wider by this over the root of n.
 FEW = 1.5
-#: A byte is this share of a power of ten.
-STEP = 8 / 255
+#: Characters that are one symbol; further ones are two, of these many second symbols.
+DIRECT, SECOND = 50_000, 1_024
+#: n-grams of a shard, and the most that a counting task holds.
+SHARD_GRAMS = 1 << 20
+CHARACTERS = 0x110000
+#: Text that is worked on at a time, and shards that a worker holds open.
+TEXT_BYTES = 1 << 20
+OPEN_SHARDS = 64
 
 _CAPITAL, _LINE = 1, 0x0A
 _PLAIN = np.arange(1 << 16, dtype=np.int64)
@@ -56,48 +63,83 @@ for _c in range(1 << 16):
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Plain characters of all texts, each text after three line ends, and where each begins (one entry more than texts)."""
     lead = "\n" * (ORDER - 1)
-    points = np.minimum(np.frombuffer("".join(lead + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    plain = _PLAIN[points]
+    points = np.frombuffer("".join(lead + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    low = np.minimum(points, 0xFFFF)
+    plain = np.where(points == low, _PLAIN[low], points)
     inside = np.zeros(len(points), bool)
-    inside[1:] = _UPPER[points[1:]] & _LETTER[points[:-1]]
+    inside[1:] = _UPPER[low[1:]] & _LETTER[low[:-1]]
     plain[inside] = _CAPITAL
     return plain, np.concatenate([[0], np.cumsum([len(t) + ORDER - 1 for t in texts])])
 
 
-def _coder(alphabet: np.ndarray) -> np.ndarray:
-    code = np.zeros(1 << 16, np.int64)
-    code[alphabet] = np.arange(1, len(alphabet) + 1)
-    return code
-
-
-def _codes(texts: list[str], coder: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the n-gram that ends at each character, and the text it is in."""
-    plain, begins = symbols(texts)
-    s = coder[plain]
+class Alphabet:
+    """Codes of characters, the most frequent first; 0 is none of them. `size` counts all codes."""
+
+    def __init__(self, characters: np.ndarray, direct: int = DIRECT, second: int = SECOND) -> None:
+        self.characters, self.direct, self.second = characters, direct, second
+        self.firsts = -(-max(0, len(characters) - direct) // second)
+        self.size = 1 + min(len(characters), direct) + (self.firsts + second if self.firsts else 0)
+
+    def codes(self, plain: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of plain characters, and where each text begins; rare characters are two symbols."""
+        place = np.zeros(CHARACTERS, np.int32)
+        place[self.characters] = np.arange(1, len(self.characters) + 1)
+        found = place[plain].astype(np.int64)
+        beyond = found - self.direct - 1
+        rare = beyond >= 0
+        if not rare.any():
+            return found, begins
+        found[rare] = self.direct + 1 + beyond[rare] // self.second
+        twice = np.repeat(found, 1 + rare)
+        twice[(np.arange(len(found)) + np.cumsum(rare))[rare]] = self.direct + 1 + self.firsts + beyond[rare] % self.second
+        return twice, begins + np.concatenate([[0], np.cumsum(rare)])[begins]
+
+
+def _codes(texts: list[str], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Code of the n-gram that ends at each symbol, and the text it is in."""
+    s, begins = alphabet.codes(*symbols(texts))
     grams = s[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        grams += s[ORDER - 1 - back : len(s) - back] * k**back
-    text = np.repeat(np.arange(len(texts)), np.diff(begins))[ORDER - 1 :]
-    whole = text == np.repeat(np.arange(len(texts)), np.diff(begins))[: len(text)]
-    return grams[whole], text[whole]
+        grams += s[ORDER - 1 - back : len(s) - back] * alphabet.size**back
+    text = np.repeat(np.arange(len(texts)), np.diff(begins))
+    whole = text[ORDER - 1 :] == text[: len(grams)]
+    return grams[whole], text[ORDER - 1 :][whole]
 
 
 def _count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in pieces(batches, "text"):
-        total += np.bincount(symbols(batch.column("text").to_pylist())[0], minlength=1 << 16)
+    total = np.zeros(CHARACTERS, np.int64)
+    for batch in pieces(batches, "text", TEXT_BYTES):
+        own = np.bincount(symbols(batch.column("text").to_pylist())[0])
+        total[: len(own)] += own
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["symbol", "n"])
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch], alphabet: np.ndarray) -> Iterator[pa.RecordBatch]:
-    coder, k = _coder(alphabet), len(alphabet) + 1
-    total = np.zeros(k**ORDER, np.int32)
-    for batch in pieces(batches, "text"):
-        grams, counts = np.unique(_codes(batch.column("text").to_pylist(), coder, k)[0], return_counts=True)
-        total[grams] += counts.astype(np.int32)
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen), pa.array(total[seen].astype(np.int64))], names=["gram", "n"])
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts, first)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], alphabet: Alphabet) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*map(np.concatenate, zip(*held, strict=True)))
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in held.pop()], names=["gram", "n"])
+
+    for batch in pieces(batches, "text", TEXT_BYTES):
+        held.append(np.unique(_codes(batch.column("text").to_pylist(), alphabet)[0], return_counts=True))
+        if sum(len(g) for g, _ in held) > SHARD_GRAMS:
+            held = [merged()]
+            if len(held[0][0]) > SHARD_GRAMS // 2:
+                yield rows()
+    if held:
+        held = [merged()]
+        yield rows()
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -122,7 +164,7 @@ def orders(counts: DataFrame, k: int) -> list[DataFrame]:
     for size, level in enumerate(levels, 1):
         d = _discounts(level)
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        context = F.floor(F.col("gram") / k)
+        context = F.expr(f"gram DIV {k}")
         sums = level.groupBy(context.alias("context")).agg(F.sum("n").alias("all"), F.sum(cut).alias("cut"))
         rows = level.withColumn("context", context).join(sums, "context").withColumn("own", (F.col("n") - cut) / F.col("all")).withColumn("left", F.col("cut") / F.col("all"))
         if size == 1:
@@ -134,84 +176,106 @@ def orders(counts: DataFrame, k: int) -> list[DataFrame]:
     return found
 
 
-def _dense(rows: list, k: int, below: np.ndarray) -> np.ndarray:
-    """Shares of all n-grams of an order: those not seen get what their context leaves of the share of the order below."""
-    left, share = np.ones(below.size), np.full(below.size * k, np.nan)
-    for r in rows:
-        share[r.gram] = r.share
-        left[r.gram // k] = r.left
-    # context (a, b, ...) leaves its part to (b, ..., last)
-    spread = left[:, None] * below.reshape(-1, k)[np.arange(below.size) % (below.size // k)] if below.size > 1 else left[:, None] * np.full((1, k), 1 / k)
-    return np.where(np.isnan(share), spread.ravel(), share)
-
-
-def _write_shares(batches: Iterator[pa.RecordBatch], folder: str, k: int, below: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for shard in groups(batches, ["first"]):
-        first = shard.column("first")[0].as_py()
-        gram = shard.column("gram").to_numpy() - first * k ** (ORDER - 1)
-        left = np.ones(k ** (ORDER - 2))
-        left[gram // k] = shard.column("left").to_numpy()
-        share = (left[:, None] * below.reshape(-1, k)).ravel()
-        share[gram] = shard.column("share").to_numpy()
-        write_arrays(folder, f"shares-{first}", {"steps": np.minimum(255, np.round(-np.log10(share) / STEP)).astype(np.uint8)}, {})
-        yield pa.record_batch([pa.array([first])], names=["first"])
+def _write_shares(batches: Iterator[pa.RecordBatch], folder: str, order: int, k: int) -> Iterator[pa.RecordBatch]:
+    """A shard of an order: its n-grams in rising order, and what each of its contexts leaves to the order below."""
+    rows = pa.Table.from_batches(list(batches), pa.schema([("gram", pa.int64()), ("share", pa.float64()), ("left", pa.float64())]))
+    if not rows.num_rows:
+        return
+    grams = rows.column("gram").to_numpy()
+    contexts, first = np.unique(grams // k, return_index=True)
+    name = f"order-{order}-{contexts[0]}"
+    write_arrays(folder, name, {"grams": grams, "shares": rows.column("share").to_numpy(), "contexts": contexts, "left": rows.column("left").to_numpy()[first]}, {})
+    yield pa.record_batch([pa.array([order], pa.int32()), pa.array(contexts[:1])], names=["order", "first"])
 
 
 class Model:
-    """The bytes of all n-grams; read by a task when first needed. n-grams whose first symbol was never one use the order below."""
-
-    def __init__(self, folder: str, alphabet: np.ndarray, below: np.ndarray, firsts: set[int]) -> None:
-        self.folder, self.alphabet, self.below, self.firsts = folder, alphabet, below, firsts
-        self.steps = None
-
-    def _load(self) -> np.ndarray:
-        if self.steps is None:
-            plain = np.minimum(255, np.round(-np.log10(self.below) / STEP)).astype(np.uint8)
-            self.steps = np.concatenate([map_arrays(self.folder, f"shares-{i}")[0]["steps"] if i in self.firsts else plain for i in range(len(self.alphabet) + 1)])
-        return self.steps
+    """The sorted arrays of each order, in shards by the first context of each; a task maps those that its texts need."""
+
+    def __init__(self, folder: str, alphabet: Alphabet, firsts: dict[int, np.ndarray]) -> None:
+        self.folder, self.alphabet, self.firsts = folder, alphabet, firsts
+        self.shards: dict[str, dict[str, np.ndarray]] = {}
+
+    def _shard(self, order: int, first: int) -> dict[str, np.ndarray]:
+        name = f"order-{order}-{first}"
+        if name not in self.shards:
+            if len(self.shards) >= OPEN_SHARDS:  # where files cannot be mapped a shard is read whole
+                self.shards.pop(next(iter(self.shards)))
+            self.shards[name] = map_arrays(self.folder, name)[0]
+        return self.shards[name]
+
+    def shares(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Probability of the last symbol of each n-gram after the others; unseen ones get what their context leaves of the order below."""
+        k = self.alphabet.size
+        if not order:
+            return np.full(len(grams), 1 / k)
+        context = grams // k
+        share, left = np.full(len(grams), np.nan), np.ones(len(grams))
+        at = np.searchsorted(self.firsts[order], context, "right") - 1
+        for i in np.unique(at[at >= 0]):
+            own = np.flatnonzero(at == i)
+            shard = self._shard(order, int(self.firsts[order][i]))
+            place, same = _found(shard["grams"], grams[own])
+            share[own[same]] = shard["shares"][place[same]]
+            own = own[~same]
+            place, same = _found(shard["contexts"], context[own])
+            left[own[same]] = shard["left"][place[same]]
+        unseen = np.flatnonzero(np.isnan(share))
+        if len(unseen):
+            shorter, of = np.unique(grams[unseen] % k ** (order - 1), return_inverse=True)
+            share[unseen] = left[unseen] * self.shares(shorter, order - 1)[of]
+        return share
 
     def perplexity(self, texts: list[str]) -> np.ndarray:
         """NaN for an empty text."""
-        codes, text = _codes(texts, _coder(self.alphabet), len(self.alphabet) + 1)
+        grams, text = _codes(texts, self.alphabet)
         n = np.bincount(text, minlength=len(texts))
-        return 10 ** (STEP * np.bincount(text, self._load()[codes], len(texts)) / np.where(n > 0, n, np.nan))
+        distinct, of = np.unique(grams, return_inverse=True)
+        return np.exp(np.bincount(text, -np.log(self.shares(distinct))[of], len(texts)) / np.where(n > 0, n, np.nan))
+
+
+def _found(ordered: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)
+    return place, ordered[place] == asked
 
 
 _models: dict[str, Model] = {}
 
 
 def _perplexity(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    model = _models.setdefault(model.folder, model)  # a worker keeps what it has read
-    for batch in pieces(batches, "text"):
+    if model.folder not in _models:  # a worker keeps the shards of one model
+        _models.clear()
+    model = _models.setdefault(model.folder, model)
+    for batch in pieces(batches, "text", TEXT_BYTES):
         found = model.perplexity(batch.column("text").fill_null("").to_pylist())
         yield pa.record_batch([*batch.columns[:3], pa.array(found, pa.float64(), mask=np.isnan(found))], names=[*batch.schema.names[:3], "perplexity"])
 
 
-def train(texts: DataFrame, everything: DataFrame, folder: str, alphabet: int = ALPHABET) -> Model | None:
-    """The model of all texts of the one column `text`, with the alphabet of `everything`; None where there is no character.
+def train(texts: DataFrame, everything: DataFrame, folder: str) -> Model | None:
+    """The model of all texts of the one column `text`, with the characters of `everything`; None where there is no character.
 
-    The trusted texts come from a join, which moves them; so they are read once, and the alphabet is that of all texts, which stay in place.
+    The trusted texts come from a join, which moves them; so they are read once, and the characters are those of all texts, which stay in place.
     """
     texts, everything = texts.filter(F.length("text") > 0), everything.filter(F.length("text") > 0)
     counted = everything.mapInArrow(_count_symbols, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-    top = np.array(sorted(r.symbol for r in counted.orderBy(F.desc("n"), "symbol").limit(alphabet - 1).collect()), np.int64)
-    if not len(top):
+    # at most a row for each character there is
+    alphabet = Alphabet(np.array([r.symbol for r in counted.orderBy(F.desc("n"), "symbol").collect()], np.int64))
+    if not len(alphabet.characters):
         return None
-    k = len(top) + 1
-    counts = staged(texts.mapInArrow(lambda b: _count_grams(b, top), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
+    k = alphabet.size
+    counts = staged(texts.mapInArrow(lambda b: _count_grams(b, alphabet), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
     if counts.isEmpty():
         return None
-    *shorter, last = orders(counts, k)
-    below = np.ones(1)
-    for rows in shorter:  # at most k, k^2 and k^3 rows
-        below = _dense(rows.collect(), k, below)
-    first = F.floor(F.col("gram") / k ** (ORDER - 1))
-    dealt = last.withColumn("first", first).select("first", "gram", "share", "left").repartition("first").sortWithinPartitions("first")
-    written = staged(dealt.mapInArrow(lambda b: _write_shares(b, folder, k, below), "first long"), "kn-shares")
-    return Model(folder, top, below, {r["first"] for r in written.collect()})
+    firsts = {}
+    for order, level in enumerate(orders(counts, k), 1):
+        shards = max(1, -(-level.count() // SHARD_GRAMS))
+        context = F.expr(f"gram DIV {k}")
+        dealt = level.select("gram", "share", "left").repartitionByRange(shards, context).sortWithinPartitions("gram")
+        written = staged(dealt.mapInArrow(lambda b, order=order: _write_shares(b, folder, order, k), "order int, first long"), "kn-shares")
+        firsts[order] = np.array(sorted(r["first"] for r in written.collect()), np.int64)
+    return Model(folder, alphabet, firsts)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, widen: float = WIDEN, alphabet: int = ALPHABET) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, widen: float = WIDEN) -> DataFrame:
     """doc_id, lang, print of the text, perplexity, floor, ceiling and kept of each row of `docs`. `trusted`: one column of doc_id."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -220,7 +284,7 @@ def judge(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = H
     # ids grow with the documents, so they are never broadcast; the folds of the model only
     learned = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)
     known = rows.filter(learned).select("doc_id", "text").hint("merge").join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    model = train(known.select("text"), rows.select("text"), new_folder(spark, "kneser-ney"), alphabet)
+    model = train(known.select("text"), rows.select("text"), new_folder(spark, "kneser-ney"))
     if model is None:
         return rows.select("doc_id", "lang", "print", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "floor", "ceiling")], (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("kept"))
     kind = dict(rows.dtypes)["doc_id"]

@@ -2,7 +2,8 @@
 
 Each source is a cycle of its shuffled documents, cut into blocks of equally many words. Slot j of the mix takes the golden-ratio
 point frac((j + 1) * 0.618...) through the cumulative target shares to a source; the r-th slot of a source takes its r-th block.
-So any stretch of the schedule is close to the targets, and what a document gives follows from its place in its cycle.
+So any stretch of the schedule is close to the targets. What a document gives are its words in the blocks that slots have taken: ranked slots
+are joined with the blocks that each pass of the document lies in, and summed a document.
 
 Defined results: a null or empty text has no words and takes no part but keeps its row; a null source is a source of its own, last in
 order; equal rows each have their own place; no documents, no rows; other columns are passed by.
@@ -84,17 +85,38 @@ def ranked(slots: DataFrame, stretch: int = 100_000) -> DataFrame:
     return slots.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("slot", "source", (inside + F.col("before")).alias("rank"))
 
 
+def blocks(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row for each block that a pass of a document lies in: the placed rows with block, begins (the pass begins in it) and words.
+
+    A document without words lies where the one before it ends. Only passes that begin within the source's taken words are looked at.
+    """
+    at = F.least(F.col("place"), F.col("source_size") - 1)
+    last = F.expr("(taken_source - 1 - _at) DIV source_size")
+    begin = F.col("_at") + F.col("_pass") * F.col("source_size")
+    end = F.col("_begin") + F.col("size")
+    return (
+        placed.withColumn("_at", at).filter("source_size > 0 AND _at < taken_source")
+        .withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("_begin", begin)
+        .withColumn("_first", F.expr(f"_begin DIV {block_words}"))
+        .withColumn("block", F.explode(F.sequence(F.col("_first"), F.expr(f"greatest(_begin, _begin + size - 1) DIV {block_words}"))))
+        .withColumn("begins", F.col("block") == F.col("_first"))
+        .withColumn("words", F.greatest(F.lit(0), F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("_begin"), F.col("block") * block_words)))
+        .drop("_at", "_pass", "_begin", "_first")
+    )
+
+
 def mix(rows: DataFrame, weights=WEIGHTS, repeats=REPEATS, block_words=BLOCK_WORDS, seed: str = "mix", stretch_rows: int = STRETCH_ROWS) -> DataFrame:
-    """Adds to rows with doc_id, source and size: source_size, target, place (in the source's cycle), taken_source and taken.
+    """Adds to rows with doc_id, source and size: source_size, target, place (in the source's cycle), taken_source, taken and copies.
 
-    `taken` counts the words that the source's blocks take from the document in all passes of its cycle. A hot source is sorted by
-    stretches of its shuffled order, with one running sum over the stretches' totals.
+    `taken` counts the document's words in the blocks that the source's slots take, in all passes of its cycle; `copies` the passes that begin
+    in one of them. A hot source is sorted by stretches of its shuffled order, with one running sum over the stretches' totals.
     """
     targets = staged(source_targets(rows, weights, repeats), "mix-targets")
-    slots = schedule(targets, block_words).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    slots = schedule(targets, block_words)
+    counted = slots.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
     taken = F.least(F.col("slots") * block_words, F.col("limit"))
     per_source = staged(
-        targets.alias("t").join(slots.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left")
+        targets.alias("t").join(counted.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left")
         .select(F.col("t.source").alias("of_source"), "source_size", "target", F.coalesce(taken, F.lit(0)).alias("taken_source"), F.ceil(F.col("documents") / stretch_rows).alias("stretches")),
         "mix-sources",
     )
@@ -107,15 +129,25 @@ def mix(rows: DataFrame, weights=WEIGHTS, repeats=REPEATS, block_words=BLOCK_WOR
     sums = placed.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("in_source"), F.col("stretch").alias("in_stretch"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("taken_source") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("taken_source") - F.col("passes") * F.col("source_size")
-    return (
+    inside = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "size")
+    # written once, as rows that tie in the order have no other number
+    placed = staged(
         placed.join(sums, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("stretch") == F.col("in_stretch")))
-        .withColumn("place", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("passes", passes).withColumn("rest", rest)
-        .withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("place") + F.col("size"), F.col("rest")) - F.col("place")))
-        .drop("order", "stretch", "stretches", "in_source", "in_stretch", "before")
+        .withColumn("place", F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("number", F.row_number().over(inside))
+        .drop("order", "stretches", "in_source", "in_stretch", "before"),
+        "mix-placed",
+    )
+    ranks = ranked(slots).select(F.col("source").alias("slot_source"), "rank")
+    parts = blocks(placed.select("source", "stretch", "number", "size", "place", "source_size", "taken_source"), block_words)
+    of_slots = parts.join(ranks, (F.col("block") == F.col("rank")) & F.col("source").eqNullSafe(F.col("slot_source")))
+    key = ["source", "stretch", "number"]
+    given = of_slots.groupBy(*[F.col(c).alias(f"of_{c}") for c in key]).agg(F.sum("words").alias("taken"), F.sum(F.col("begins").cast("long")).alias("copies"))
+    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("stretch") == F.col("of_stretch")) & (F.col("number") == F.col("of_number"))
+    return (
+        placed.join(given, same, "left")
+        .withColumn("taken", F.coalesce("taken", F.lit(0))).withColumn("copies", F.coalesce("copies", F.lit(0)))
+        .drop("stretch", "number", "of_source", "of_stretch", "of_number")
     )
 
 
@@ -129,15 +161,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: one whole copy for each pass of its source's cycle in which the document begins within the taken words.
+    """The documents of the mix: one whole copy for each pass of its source's cycle in which the document begins in a block of a slot.
 
     Sums of words are those of the mix to within one document a source. Equal rows are brought together before copies are made.
     """
     whole = whole_row(docs)
     keyed = docs.select(whole, "doc_id", column_or_null(docs, "source", "string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("key", F.xxhash64(F.to_json("whole")))
     rows = staged(keyed.drop("whole"), "mix-rows")
-    copies = F.col("passes") + F.when(F.col("place") < F.col("rest"), 1).otherwise(0)
-    counts = mix(rows).groupBy(F.col("key").alias("of_key"), F.col("doc_id").alias("of_doc")).agg(F.sum(copies).alias("copies")).filter("copies > 0")
+    counts = mix(rows).groupBy(F.col("key").alias("of_key"), F.col("doc_id").alias("of_doc")).agg(F.sum("copies").alias("copies")).filter("copies > 0")
     once = keyed.select("whole", "key", "doc_id").dropDuplicates(["key", "doc_id"])
     same = (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
     return once.join(counts, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*")

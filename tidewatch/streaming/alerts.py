@@ -9,6 +9,9 @@ change nothing any more; they are written to the log as `late`, so they can be c
 State, watermark and log are Spark's own: checkpointed RocksDB state, event-time timers that drop what no window needs, and the transaction log
 of the file sink. A restart goes on where it stopped, and lost state stops the query instead of starting anew. The state of one group is in one
 task, as the store demands; it is as large as the group's rows in one window and the delay. Ids of events are taken as unique.
+
+A call of the store costs milliseconds and a group has few rows, so groups share their key by buckets of a hash: a batch reads and writes
+each bucket that it touches once, whole.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ CHANGE = (
     + ", ".join(f"{c} long" for c in COUNTS) + ", top_net string, event_ids array<long>, about string"
 )
 INSERT, RETRACT, LATE = "insert", "retract", "late"
+BUCKETS = 1024  # of a rule's groups; part of the state's layout, so a checkpoint keeps its own number
 
 
 class SlidingWindow:
@@ -89,97 +93,106 @@ class SlidingWindow:
 
 
 class AlertWindows(StatefulProcessor):
-    """Rows of a (rule, group) in, changes of its alerts out."""
+    """Rows of a (rule, bucket of groups) in, changes of the groups' alerts out."""
 
     def __init__(self, rules: list[EventRule]) -> None:
         self.rules = {r.id: r for r in rules}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", HELD)
-        self.unsettled = handle.getListState("unsettled", "ts long, id long, print string")
-        self.about = handle.getValueState("about", "version long, fired long, timer long")
+        self.held = handle.getListState("held", f"group_key string, {HELD}")
+        self.unsettled = handle.getListState("unsettled", "group_key string, ts long, id long, print string")
+        self.about = handle.getListState("about", "group_key string, version long, fired long")
+        self.timer = handle.getValueState("timer", "at long")
         self.tests = {r.id: condition_test(r.condition) for r in self.rules.values()}
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         rule, horizon = self.rules[key[0]], timerValues.getCurrentWatermarkInMs() * 1000
-        version, fired, timer = self.about.get() or (0, None, None)
-        fresh = []
+        about = {g: (version, fired) for g, version, fired in self.about.get()}
+        fresh: dict[str, list[tuple]] = {}
         for row in rows:
+            group = row.group_key
             if row.ts < horizon:
-                version += 1
-                yield self._change(LATE, key, version, row.ts, row.id, about=row.about)
+                version, fired = about.get(group, (0, None))
+                about[group] = (version + 1, fired)
+                yield self._change(LATE, (key[0], group), version + 1, row.ts, row.id, about=row.about)
             else:
-                fresh.append(tuple(row[f] for f in FIELDS))
+                fresh.setdefault(group, []).append(tuple(row[f] for f in FIELDS))
         if fresh:
-            held = [tuple(x) for x in self.held.get()]
-            kept = [x for x in held if x[0] >= horizon - rule.window_seconds * 1_000_000]
-            before, fired = self._settled(horizon, fired)
-            after = {}
-            for ts, eid, counts, net, ids, about in self._alerts(rule, key[1], sorted(kept + fresh, key=lambda x: x[:2]), horizon, fired):
-                shown = hashlib.blake2b(repr((counts, net, ids)).encode(), digest_size=12).hexdigest()
-                after[ts, eid] = shown
-                if before.get((ts, eid)) != shown:
-                    if (ts, eid) in before:
+            held, unsettled = self._settled(rule, horizon, about)
+            for group, added in fresh.items():
+                (version, fired), before, after = about.get(group, (0, None)), unsettled.get(group, {}), {}
+                of_group = (key[0], group)
+                kept = held.setdefault(group, [])
+                kept += added
+                for ts, eid, counts, net, ids, said in self._alerts(rule, group, sorted(kept, key=lambda x: x[:2]), horizon, fired):
+                    shown = hashlib.blake2b(repr((counts, net, ids)).encode(), digest_size=12).hexdigest()
+                    after[ts, eid] = shown
+                    if before.get((ts, eid)) != shown:
+                        if (ts, eid) in before:
+                            version += 1
+                            yield self._change(RETRACT, of_group, version, ts, eid)
                         version += 1
-                        yield self._change(RETRACT, key, version, ts, eid)
-                    version += 1
-                    yield self._change(INSERT, key, version, ts, eid, counts, net, ids, about)
-            for ts, eid in before:
-                if (ts, eid) not in after:
-                    version += 1
-                    yield self._change(RETRACT, key, version, ts, eid)
-            if len(kept) == len(held):
-                self.held.appendList(fresh)
-            else:
-                self.held.put(kept + fresh)
-            self._set(self.unsettled, [(*k, p) for k, p in after.items()])
-            timer = self._wake_at(max(x[0] for x in fresh) + rule.window_seconds * 1_000_000, timer)
-        self.about.update((version, fired, timer))
+                        yield self._change(INSERT, of_group, version, ts, eid, counts, net, ids, said)
+                for ts, eid in before:
+                    if (ts, eid) not in after:
+                        version += 1
+                        yield self._change(RETRACT, of_group, version, ts, eid)
+                about[group], unsettled[group] = (version, fired), after
+            self._keep(held, unsettled)
+            self._wake_at(max(x[0] for added in fresh.values() for x in added) + rule.window_seconds * 1_000_000)
+        self.about.put([(g, *a) for g, a in about.items()])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         """No window holds any of the rows now. What stays is the last alert, until its cooldown is over, and the number of changes."""
         rule, horizon = self.rules[key[0]], timerValues.getCurrentWatermarkInMs() * 1000
-        version, fired, timer = self.about.get() or (0, None, None)
-        if timer is None or timer > timerValues.getCurrentWatermarkInMs():
+        timer = self.timer.get()
+        if timer is None or timer[0] > timerValues.getCurrentWatermarkInMs():
             return iter(())
-        before, fired = self._settled(horizon, fired)
-        self._set(self.held, [tuple(x) for x in self.held.get() if x[0] >= horizon - rule.window_seconds * 1_000_000])
-        self._set(self.unsettled, [(*k, p) for k, p in before.items()])
-        if fired is not None and fired + rule.cooldown_seconds * 1_000_000 <= horizon:
-            fired = None
-        self.about.update((version, fired, None))
+        about = {g: (version, fired) for g, version, fired in self.about.get()}
+        self._keep(*self._settled(rule, horizon, about))
+        over = horizon - rule.cooldown_seconds * 1_000_000
+        self.about.put([(g, version, None if fired is not None and fired <= over else fired) for g, (version, fired) in about.items()])
+        self.timer.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
-    def _settled(self, horizon: int, fired: int | None) -> tuple[dict[tuple[int, int], str], int | None]:
-        """Alerts that can still change, and the last one that cannot."""
-        before = {}
-        for ts, eid, shown in self.unsettled.get():
+    def _settled(self, rule: EventRule, horizon: int, about: dict) -> tuple[dict[str, list[tuple]], dict[str, dict]]:
+        """Of each group the rows that windows can still hold and the alerts that can still change; `about` gets the last one that cannot."""
+        held: dict[str, list[tuple]] = {}
+        for group, *row in self.held.get():
+            if row[0] >= horizon - rule.window_seconds * 1_000_000:
+                held.setdefault(group, []).append(tuple(row))
+        unsettled: dict[str, dict] = {}
+        for group, ts, eid, shown in self.unsettled.get():
             if ts >= horizon:
-                before[ts, eid] = shown
+                unsettled.setdefault(group, {})[ts, eid] = shown
+            else:
+                version, fired = about[group]
+                about[group] = (version, ts if fired is None else max(fired, ts))
+        return held, unsettled
+
+    def _keep(self, held: dict[str, list[tuple]], unsettled: dict[str, dict]) -> None:
+        for state, rows in (
+            (self.held, [(g, *x) for g, of_group in held.items() for x in of_group]),
+            (self.unsettled, [(g, *k, shown) for g, of_group in unsettled.items() for k, shown in of_group.items()]),
+        ):
+            if rows:
+                state.put(rows)
             else:
-                fired = ts if fired is None else max(fired, ts)
-        return before, fired
+                state.clear()
 
-    @staticmethod
-    def _set(state: Any, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
-
-    def _wake_at(self, us: int, timer: int | None) -> int:
-        """One timer a group: when the watermark has passed the last window of its newest row."""
-        at = us // 1000 + 2
-        if timer is not None and timer >= at:
-            return timer
+    def _wake_at(self, us: int) -> None:
+        """One timer a bucket: when the watermark has passed the last window of its newest row."""
+        at, timer = us // 1000 + 2, self.timer.get()
+        if timer is not None and timer[0] >= at:
+            return
         if timer is not None:
-            self.handle.deleteTimer(timer)
+            self.handle.deleteTimer(timer[0])
         self.handle.registerTimer(at)
-        return at
+        self.timer.update((at,))
 
     def _alerts(self, rule: EventRule, group: str, rows: list[tuple], horizon: int, fired: int | None) -> Iterator[tuple]:
         """Alerts at rows from the horizon on. `rows` are in order of time and id and begin a window before the horizon."""
@@ -210,13 +223,17 @@ class AlertWindows(StatefulProcessor):
         return Row(kind=kind, rule_id=key[0], group_key=key[1], version=version, ts=ts, id=eid, **counts, top_net=net, event_ids=ids, about=about)
 
 
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("group_key"), F.lit(buckets).cast("bigint")).cast("int").alias("bucket")
+
+
 def _about(hits: DataFrame) -> Column:
     """What alerts and conditions say of the row itself, as one text that the state passes through."""
     names = ["server", "ip_client", "username", "source", "event_type", "ip_subnet24", "geo_country", "asn_number", "asn_org", "vhost", "trusted", "group_fields"]
     return F.struct(*names, *[c for c in hits.columns if c.startswith("let_")])
 
 
-def alert_changes(events: DataFrame, rules: list[EventRule], trust: TrustConfig, max_delay_seconds: int = 3600, extended: bool = False) -> DataFrame:
+def alert_changes(events: DataFrame, rules: list[EventRule], trust: TrustConfig, max_delay_seconds: int = 3600, extended: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """The changes of alerts that a stream of events makes: kind, version (ascending in its group) and the columns of `build_alerts`.
 
     `late` rows have the event's id, time, rule and group alone.
@@ -227,13 +244,13 @@ def alert_changes(events: DataFrame, rules: list[EventRule], trust: TrustConfig,
     hits = events_to_rules(on_time, rules, trust, extended)
     about = _about(hits)
     rows = hits.select(
-        *KEYS, "ts", F.col("id").cast("long").alias("id"), F.col("raw_id").cast("long").alias("raw_id"), "path",
+        *KEYS, bucket(buckets), "ts", F.col("id").cast("long").alias("id"), F.col("raw_id").cast("long").alias("raw_id"), "path",
         blank_to_null(F.col("ip_client")).alias("ip"), F.lower(blank_to_null(F.col("username"))).alias("user"), blank_to_null(F.col("server")).alias("server"),
         F.col("ip_subnet24").alias("subnet"), F.when(F.col("action") == "fail", -1).when(F.col("action") == "success", 1).otherwise(0).alias("outcome"),
         F.to_json(about, {"ignoreNullFields": "false"}).alias("about"),
     )
     kind: StructType = hits.select(about.alias("a")).schema["a"].dataType
-    changed = rows.groupBy(*KEYS).transformWithState(AlertWindows(rules), CHANGE, "Append", "EventTime")
+    changed = rows.groupBy("rule_id", "bucket").transformWithState(AlertWindows(rules), CHANGE, "Append", "EventTime")
     full = changed.select("*", F.from_json("about", kind).alias("a")).select(
         "kind", "version", *KEYS, "ts", "id", *COUNTS, F.col("top_net").alias("top_subnet24"), "event_ids", "a.*"
     )

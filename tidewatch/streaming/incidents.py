@@ -1,9 +1,10 @@
 """Incident rules over a stream of alerts, one tick after the other.
 
 State of a (rule, group): its alerts, summed for each stretch of ticks that they belong to, name and server, and the last firing. An event-time
-timer stands at the next tick at which the group has alerts. When the watermark passes it, every tick up to the watermark is worked through, so
+timer stands at the next tick at which a group has alerts. When the watermark passes it, every tick up to the watermark is worked through, so
 a backlog of hours gives the same firings as a run that never stopped. Firings are the log from which incidents are made; links to alerts are
-added once each. Alerts from before the watermark come too late for their ticks and are written to the log as `late`.
+added once each. Alerts from before the watermark come too late for their ticks and are written to the log as `late`. Groups share keys of the
+store by buckets, as in `streaming.alerts`.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from tidewatch.functions.times import within
 from tidewatch.operators.conditions import condition_test
 from tidewatch.operators.rules import INCIDENT_CONDITION_NAMES, condition_error
 from tidewatch.plans.incidents import KEYS, IncidentRule, alerts_to_rules, incident_links, unseen_links, upsert_incidents
+from tidewatch.streaming.alerts import BUCKETS, bucket
 
 SUMS = "first_tick long, last_tick long, name string, at string, n long, sum_severity long, max_severity long, first_ts long, first_id long, server string, primary string, group_json string, last_ts long"
 FIRED = (
@@ -30,76 +32,98 @@ FIRING, LATE = "firing", "late"
 
 
 class IncidentTicks(StatefulProcessor):
-    """Alerts of a (rule, group) in, firings out. Tick t (in microseconds) covers alerts in [t - window, t]."""
+    """Alerts of a (rule, bucket of groups) in, firings out. Tick t (in microseconds) covers alerts in [t - window, t]."""
 
     def __init__(self, rules: list[IncidentRule], step_seconds: int) -> None:
         self.rules, self.step = {r.id: r for r in rules}, step_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getListState("sums", SUMS)
-        self.about = handle.getValueState("about", "next_tick long, fired long, timer long")
+        self.sums = handle.getListState("sums", f"group_key string, {SUMS}")
+        self.about = handle.getListState("about", "group_key string, next_tick long, fired long")
+        self.timer = handle.getValueState("timer", "at long")
         self.tests = {r.id: condition_test(r.condition)[0] for r in self.rules.values()}
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         rule, horizon = self.rules[key[0]], timerValues.getCurrentWatermarkInMs() * 1000
-        next_tick, fired, timer = self.about.get() or (None, None, None)
-        sums = {tuple(x)[:4]: tuple(x)[4:] for x in self.sums.get()}
+        fresh: dict[tuple, tuple] = {}
         for row in rows:
             if row.ts < horizon:
-                yield self._row(LATE, key, last_ts=row.ts, alert_id=row.id)
+                yield self._row(LATE, (key[0], row.group_key), last_ts=row.ts, alert_id=row.id)
                 continue
-            at = (-(-row.ts // self.step), (row.ts + rule.window_seconds * 1_000_000) // self.step, row.alert_name, row.alert_server)
-            if at[0] > at[1]:  # a window shorter than a step, between two ticks
+            at = (row.group_key, -(-row.ts // self.step), (row.ts + rule.window_seconds * 1_000_000) // self.step, row.alert_name, row.alert_server)
+            if at[1] > at[2]:  # a window shorter than a step, between two ticks
                 continue
             own = (1, row.severity, row.severity, row.ts, row.id, row.server, row.primary, row.group_json, row.ts)
-            if at in sums:
-                n, total, most, *first, last = sums[at]
-                first = min(tuple(first), own[3:8], key=lambda x: x[:2])
-                own = (n + 1, total + row.severity, max(most, row.severity), *first, max(last, row.ts))
-            sums[at] = own
-        if sums:
+            fresh[at] = self._added(fresh.get(at), own)
+        if fresh:
+            sums = {tuple(x)[:5]: tuple(x)[5:] for x in self.sums.get()}
+            for at, own in fresh.items():
+                sums[at] = self._added(sums.get(at), own)
             self.sums.put([(*k, *v) for k, v in sums.items()])
-            first_tick = min(k[0] for k in sums)
-            timer = self._wake_at(first_tick if next_tick is None else max(first_tick, next_tick), timer)
-        self.about.update((next_tick, fired, timer))
+            next_ticks = {g: tick for g, tick, _ in self.about.get()}
+            self._wake_at(min(max(k[1], next_ticks.get(k[0], k[1])) for k in sums))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         rule, horizon = self.rules[key[0]], timerValues.getCurrentWatermarkInMs() * 1000
-        next_tick, fired, timer = self.about.get() or (None, None, None)
-        if timer is None or timer > timerValues.getCurrentWatermarkInMs():
+        timer = self.timer.get()
+        if timer is None or timer[0] > timerValues.getCurrentWatermarkInMs():
             return
-        sums = [tuple(x) for x in self.sums.get()]
-        tick = next_tick if next_tick is not None else 0
-        while sums and (tick := max(tick, min(x[0] for x in sums))) * self.step < horizon:
-            inside = [x for x in sums if x[0] <= tick]
-            at = tick * self.step
-            found = self._totals(rule, key[1], inside)
-            free = rule.cooldown_seconds <= 0 or fired is None or at >= fired + rule.cooldown_seconds * 1_000_000
-            if free and found["primary"] and self.tests[rule.id](found):
-                fired = at
-                yield self._row(FIRING, key, tick_ts=at, **{k: v for k, v in found.items() if k != "group_key"})
-            tick += 1
-            sums = [x for x in sums if x[1] >= tick]
-        if sums:
-            self.sums.put(sums)
-            timer = self._wake_at(max(tick, min(x[0] for x in sums)), None)
+        about = {g: (tick, fired) for g, tick, fired in self.about.get()}
+        sums: dict[str, list[tuple]] = {}
+        for group, *row in self.sums.get():
+            sums.setdefault(group, []).append(tuple(row))
+        left = []
+        for group, waiting in sums.items():
+            tick, fired = about.get(group, (0, None))
+            waiting.sort(key=lambda x: x[0])
+            inside, begun = [], 0
+            while inside or begun < len(waiting):
+                if not inside:
+                    tick = max(tick, waiting[begun][0])
+                at = tick * self.step
+                if at >= horizon:
+                    break
+                while begun < len(waiting) and waiting[begun][0] <= tick:
+                    inside.append(waiting[begun])
+                    begun += 1
+                found = self._totals(rule, group, inside)
+                free = rule.cooldown_seconds <= 0 or fired is None or at >= fired + rule.cooldown_seconds * 1_000_000
+                if free and found["primary"] and self.tests[rule.id](found):
+                    fired = at
+                    yield self._row(FIRING, (key[0], group), tick_ts=at, **{k: v for k, v in found.items() if k != "group_key"})
+                tick += 1
+                inside = [x for x in inside if x[1] >= tick]
+            about[group] = (tick, fired)
+            left += [(group, *x) for x in (*inside, *waiting[begun:])]
+        self.about.put([(g, *a) for g, a in about.items()])
+        self.timer.clear()
+        if left:
+            self.sums.put(left)
+            self._wake_at(min(max(x[1], about[x[0]][0]) for x in left))
         else:
             self.sums.clear()
-            timer = None
-        self.about.update((tick, fired, timer))
 
     def close(self) -> None:
         pass
 
-    def _wake_at(self, tick: int, timer: int | None) -> int:
-        at = tick * self.step // 1000 + 1
-        if timer == at:
-            return timer
+    def _wake_at(self, tick: int) -> None:
+        """One timer a bucket: the next tick at which one of its groups has alerts."""
+        at, timer = tick * self.step // 1000 + 1, self.timer.get()
+        if timer is not None and timer[0] == at:
+            return
         if timer is not None:
-            self.handle.deleteTimer(timer)
+            self.handle.deleteTimer(timer[0])
         self.handle.registerTimer(at)
-        return at
+        self.timer.update((at,))
+
+    @staticmethod
+    def _added(old: tuple | None, new: tuple) -> tuple:
+        """Sums of alerts of the same ticks, name and server; the first alert's values stay."""
+        if old is None:
+            return new
+        first = min(old[3:8], new[3:8], key=lambda x: x[:2])
+        return (old[0] + new[0], old[1] + new[1], max(old[2], new[2]), *first, max(old[8], new[8]))
 
     @staticmethod
     def _totals(rule: IncidentRule, group: str, sums: list[tuple]) -> dict[str, Any]:
@@ -116,12 +140,12 @@ class IncidentTicks(StatefulProcessor):
         return Row(**{**dict.fromkeys(names), "kind": kind, "rule_id": key[0], "group_key": key[1], **values})
 
 
-def incident_changes(alerts: DataFrame, rules: list[IncidentRule], step_seconds: int = 300, max_delay_seconds: int = 3600) -> DataFrame:
+def incident_changes(alerts: DataFrame, rules: list[IncidentRule], step_seconds: int = 300, max_delay_seconds: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """Firings (and late alerts) of a stream of alerts at ticks that are multiples of the step."""
     rules = [r for r in rules if r.enabled and not condition_error(r.condition, INCIDENT_CONDITION_NAMES)]
     hits = alerts_to_rules(alerts.withWatermark("triggered_at", f"{max_delay_seconds} seconds"), rules)
-    rows = hits.select(*KEYS, "ts", F.col("id").cast("long").alias("id"), "alert_name", "alert_server", "severity", "server", "primary", "group_json")
-    return rows.groupBy(*KEYS).transformWithState(IncidentTicks(rules, step_seconds), FIRED, "Append", "EventTime")
+    rows = hits.select(*KEYS, bucket(buckets), "ts", F.col("id").cast("long").alias("id"), "alert_name", "alert_server", "severity", "server", "primary", "group_json")
+    return rows.groupBy("rule_id", "bucket").transformWithState(IncidentTicks(rules, step_seconds), FIRED, "Append", "EventTime")
 
 
 def firings_of(changes: DataFrame) -> DataFrame:

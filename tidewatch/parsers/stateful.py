@@ -6,6 +6,7 @@ The carried values come from `carry_forward` over blocks of lines, so one large
 from __future__ import annotations
 
 from functools import reduce
+from string import ascii_uppercase
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,38 +58,51 @@ def assemble_waf_transactions(lines: DataFrame, ref_now=None, lenient: bool = Fa
     raw = F.col("raw")
     base = _blocks(lines.filter(~(raw.contains('[id "') & _single_line(raw).isNotNull())))
     # a marker is --transaction-section-- alone on its line
-    mark = F.split(F.trim(raw), "-")
-    marker = raw.startswith("--") & (F.size(mark) == 6) & (F.length(mark[3]) == 1) & (F.concat(mark[4], mark[5]) == "") & F.get(mark, F.lit(2)).rlike("^[0-9A-Za-z]+$")
-    marked = base.withColumn("tx_at", F.when(marker, F.get(mark, F.lit(2)))).withColumn("sec_at", F.when(marker & F.get(mark, F.lit(3)).between("A", "Z"), F.get(mark, F.lit(3))))
-    held = carry_forward(marked, keys, ["line_no"], {"tx_at": "tx", "sec_at": "section"}, "block").filter("tx IS NOT NULL")
-    in_tx = Window.partitionBy(*keys, "tx").orderBy("line_no")
-    opens = truthy(F.col("sec_at") == "A") | truthy(F.lag(F.col("sec_at").isin("H", "Z")).over(in_tx))
-    part = held.withColumn("opens", opens.cast("int")).withColumn("n", F.sum("opens").over(in_tx))
-
-    w = words(raw)
+    mark = F.col("mark")
+    name, section = F.get(mark, F.lit(2)), F.get(mark, F.lit(3))
+    marker = (F.size(mark) == 6) & (F.length(section) == 1) & (F.concat(F.get(mark, F.lit(4)), F.get(mark, F.lit(5))) == "") & name.rlike("^[0-9A-Za-z]+$")
+    marked = pinned(base, "mark", F.when(raw.startswith("--"), F.split(F.trim(raw), "-"))).withColumns({
+        "tx_at": F.when(marker, name), "sec_at": F.when(marker & section.between("A", "Z"), section),
+    })
+    held = carry_forward(marked.drop("mark"), keys, ["line_no"], {"tx_at": "tx", "sec_at": "section"}, "block").filter("tx IS NOT NULL")
+    # the words of a line, behind the time where it starts with one, are cut once
+    w, plain = F.col("w"), ~raw.startswith("[")
+    cut = pinned(held, "w", F.when(F.col("sec_at").isNull() & F.col("section").isin("A", "B", "F"), words(F.when(plain, raw).otherwise(after(raw, "]")))))
     # A: [time] unique-id address ...; B: request line and host header; F: status line
-    head = words(after(raw, "]"))
-    is_head = raw.startswith("[") & (F.size(head) > 2)
-    is_request = F.upper(at(w, 0)).isin(*METHODS) & at(w, 2).startswith("HTTP/") & (F.size(w) == 3)
-    is_host = (F.lower(at(w, 0)) == "host:") & (F.size(w) == 2)
-    is_status = at(w, 0).startswith("HTTP/") & is_digits(at(w, 1)) & (F.length(at(w, 1)) == 3)
+    is_head = ~plain & (F.size(w) > 2)
+    is_request = plain & F.upper(at(w, 0)).isin(*METHODS) & at(w, 2).startswith("HTTP/") & (F.size(w) == 3)
+    is_host = plain & (F.lower(at(w, 0)) == "host:") & (F.size(w) == 2)
+    is_status = plain & at(w, 0).startswith("HTTP/") & is_digits(at(w, 1)) & (F.length(at(w, 1)) == 3)
+    told = {
+        "time": ("A", F.when(is_head, between(raw, "[", "]"))), "ip": ("A", F.when(is_head, at(w, 1))),
+        "request": ("B", F.when(is_request, F.struct(F.upper(at(w, 0)).alias("method"), at(w, 1).alias("url")))),
+        "host": ("B", F.when(is_host, at(w, 1))), "status": ("F", F.when(is_status, at(w, 1))),
+    }
+    closes = truthy(F.col("sec_at").isin("H", "Z"))
+    # lines that say nothing are not moved: a transaction ends with the line that closes it
+    values = pinned(cut, "told", F.struct(*[F.when(F.col("section") == s, v).alias(c) for c, (s, v) in told.items()]))
+    heard = values.filter(reduce(lambda a, b: a | b, [F.col(f"told.{c}").isNotNull() for c in told], F.col("sec_at").isNotNull()))
+    lines_told = heard.select(*keys, "log_type", "tx", "line_no", "sec_at", F.when(closes, raw).alias("raw"), "told.*")
+    in_tx = Window.partitionBy(*keys, "tx").orderBy("line_no")
+    opens = truthy(F.col("sec_at") == "A") | truthy(F.lag(closes).over(in_tx))
+    part = lines_told.withColumn("opens", opens.cast("int")).withColumn("n", F.sum("opens").over(in_tx))
 
-    def latest(section: str, value):
-        v = F.when((F.col("section") == section) & F.col("sec_at").isNull(), value)
-        return F.max_by(v, F.when(v.isNotNull(), F.col("line_no")))
+    def latest(value: str):
+        return F.max(F.when(F.col(value).isNotNull(), F.struct("line_no", F.col(value).alias("v"))))["v"].alias(value)
 
+    # sections as bits: strings and sets in the buffer would send every group through the sort of an object aggregation
+    bit = F.call_function("shiftleft", F.lit(1), F.ascii("sec_at") - ord("A"))
+    seen = lambda letter: F.col("seen").bitwiseAND(1 << ord(letter) - ord("A")) != 0
     tx = part.groupBy(*keys, "log_type", "tx", "n").agg(
         F.max("line_no").alias("line_no"),
-        F.max_by("raw", "line_no").alias("raw"),
-        latest("A", F.when(is_head, between(raw, "[", "]"))).alias("time"),
-        latest("A", F.when(is_head, at(head, 1))).alias("ip"),
-        F.upper(latest("B", F.when(is_request, at(w, 0)))).alias("method"),
-        latest("B", F.when(is_request, at(w, 1))).alias("url"),
-        latest("B", F.when(is_host, at(w, 1))).alias("host"),
-        latest("F", F.when(is_status, at(w, 1))).alias("status"),
-        F.array_sort(F.collect_set("sec_at")).alias("sections"),
-        F.bool_or(F.col("sec_at").isin("H", "Z")).alias("closed"),
-    ).filter("closed AND time IS NOT NULL AND ip IS NOT NULL")
+        F.max("raw").alias("raw"),
+        *[latest(c) for c in told],
+        F.coalesce(F.bit_or(bit), F.lit(0)).alias("seen"),
+    ).filter((seen("H") | seen("Z")) & F.col("time").isNotNull() & F.col("ip").isNotNull())
+    tx = tx.select(
+        "*", "request.method", "request.url",
+        F.array_compact(F.array(*[F.when(seen(c), F.lit(c)) for c in ascii_uppercase])).alias("sections"),
+    )
     return make_events(
         tx, source="MODSEC", service="HTTP", ts=to_utc(F.col("time"), ref_now, lenient), ip=F.col("ip"), domain=F.col("host"),
         message=F.concat_ws(

@@ -37,6 +37,30 @@ def test_sliding_metrics_equal_deque_model(spark):
             assert g["action"] == by_seq[g["seq"]]
 
 
+def test_keys_taken_whole_equal_keys_split_by_time(spark):
+    schema = "key string, t long, seq long, path string, ip string, action string"
+    rows = _rows(600, 700, ["a", "a", "a", "b", "c"], 7)
+    df = spark.createDataFrame(rows, schema)
+    want = window_model(rows, 60)
+    for most in (1, 200, 10_000):
+        got = sliding_metrics(
+            df, ["key"], t="t", seq="seq", window_us=60, dims={"path": F.col("path"), "ip": F.col("ip")},
+            sums={"fails": (F.col("action") == "fail").cast("int")}, numbered=True, keep=["action"], slice_width=90, split_rows=most,
+        ).collect()
+        assert len(got) == len(rows)
+        assert all((g["count"], g["fails"], g["unique_path"], g["unique_ip"]) == want[g["seq"]][:4] for g in got)
+        for key in "abc":
+            assert sorted(g["n_seen"] for g in got if g["key"] == key) == list(range(1, 1 + sum(r["key"] == key for r in rows)))
+
+
+def test_presence_of_few_rows_is_not_moved_apart(spark):
+    df = spark.createDataFrame([("k", 0, 1, "x"), ("k", 10, 2, None), ("k", 21, 3, "x")], "key string, t long, seq long, v string")
+    out = sliding_metrics(df, ["key"], t="t", seq="seq", window_us=10, dims={"v": F.col("v")})
+    assert [r["unique_v"] for r in out.orderBy("seq").collect()] == [1, 1, 1]
+    moves = out._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1]
+    assert "RepartitionByExpression" in moves and "presence" not in moves
+
+
 def test_ties_count_one_by_one_and_window_edge_is_inside(spark):
     df = spark.createDataFrame([("k", 0, 1), ("k", 10, 2), ("k", 10, 3), ("k", 21, 4)], "key string, t long, seq long")
     got = sliding_metrics(df, ["key"], t="t", seq="seq", window_us=10, numbered=True).orderBy("seq").collect()

@@ -6,6 +6,9 @@ first row until w after its last one; the +1 and -1 of its presence come from ro
 (key, value, stretch of length w), inside which presence cannot be interrupted. Work is linear in the
 rows however many of them a window holds, and every step splits a hot key by time.
 
+Keys of few rows are not split: a slice would hold a row or two, and its totals as many. They are moved once, whole; a
+row's own neighbours of the same value tell whether presence begins or ends with it, so it needs no rows of its own.
+
 The running sums read their input twice (slice totals, then rows), so the inputs that cost a shuffle
 are staged first.
 """
@@ -15,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.prefix import SIX_HOURS_US, running_sums
+from tidewatch.operators.prefix import ORDER, SIX_HOURS_US, running_sums
 from tidewatch.operators.staging import staged
 
+SPLIT_ROWS = 20_000  # rows of a key from which it is split by time
+
 
 def _presence_deltas(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims])
     seen = (
         rows.select(*keys, "w", "t", "seq", F.explode(pairs).alias("p"))
         .select(*keys, "w", "t", "seq", "p.dim", "p.value", F.expr("t - pmod(t, w)").alias("stretch"))
@@ -62,6 +67,32 @@ def _arrive_and_expire(rows: DataFrame, keys: list[str], sums: dict[str, Column]
     return rows.select(*keys, "seq", F.explode(F.array(arrive, expire)).alias("e")).select(*keys, "seq", "e.*")
 
 
+def _whole_keys(rows: DataFrame, keys: list[str], dims: list[str], flow: dict[str, Column]) -> DataFrame:
+    """Totals of each row over its window, for keys that fit a task with room to spare."""
+    moved = rows.repartition(*keys).withColumn("_hash", F.xxhash64(*keys))  # a number first: most rows are sorted by it alone
+    for d in dims:
+        same = Window.partitionBy("_hash", *keys, d).orderBy("t", "seq")
+        held = F.col(d).isNotNull() & (F.col(d) != "")
+        before, after = F.lag("t").over(same), F.lead("t").over(same)
+        moved = moved.withColumns({
+            f"_first_{d}": (held & (before.isNull() | (before < F.col("t") - F.col("w")))).cast("bigint"),
+            f"_last_{d}": (held & (after.isNull() | (after > F.col("t") + F.col("w")))).cast("bigint"),
+        })
+    kept = moved.schema["_kept"].dataType
+    arrive = F.struct(
+        F.col("t"), F.lit(1).alias("phase"), "_kept", F.lit(1).cast("bigint").alias("n_seen"),
+        *[c.cast("bigint").alias(n) for n, c in flow.items()], *[F.coalesce(f"_first_{d}", F.lit(0)).alias(f"unique_{d}") for d in dims],
+    )
+    expire = F.struct(
+        (F.col("t") + F.col("w") + 1).alias("t"), F.lit(0).alias("phase"), F.lit(None).cast(kept).alias("_kept"), F.lit(0).cast("bigint").alias("n_seen"),
+        *[(-c.cast("bigint")).alias(n) for n, c in flow.items()], *[(-F.coalesce(f"_last_{d}", F.lit(0))).alias(f"unique_{d}") for d in dims],
+    )
+    deltas = moved.select("_hash", *keys, "seq", F.explode(F.array(arrive, expire)).alias("e")).select("_hash", *keys, "seq", "e.*")
+    so_far = Window.partitionBy("_hash", *keys).orderBy(*ORDER)
+    values = ["n_seen", *flow, *[f"unique_{d}" for d in dims]]
+    return deltas.select(*keys, "t", "phase", "seq", "_kept", *[F.sum(v).over(so_far).alias(v) for v in values]).filter("phase = 1").drop("phase")
+
+
 def _max_multiplicity_deltas(rows: DataFrame, keys: list[str], value: str, slice_width: int) -> DataFrame:
     """Changes of "how often does the most frequent value occur in the window".
 
@@ -97,11 +128,13 @@ def sliding_metrics(
     numbered: bool = False,
     keep: list[str] | None = None,
     slice_width: int = SIX_HOURS_US,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Per row: `count`, each `sums` total, `unique_<dim>` and, if asked, `top_hits` over [t - w, t].
 
     Rows with the same time are taken in `seq` order, and a row sees only peers up to itself.
     `keep` columns pass through; `numbered` adds the row's position in its key as `n_seen`.
+    Keys of at least `split_rows` rows, and those with a `top_value`, are split by time.
     """
     dims, sums, keep = dims or {}, dict(sums or {}), keep or []
     w = window_us if isinstance(window_us, Column) else F.lit(window_us)
@@ -110,29 +143,36 @@ def sliding_metrics(
         F.col(t).cast("bigint").alias("t"),
         F.col(seq).alias("seq"),
         w.cast("bigint").alias("w"),
-        *[c.alias(d) for d, c in dims.items()],
+        *[c.cast("string").alias(d) for d, c in dims.items()],
         *[c.cast("bigint").alias(f"_s_{n}") for n, c in sums.items()],
         *([top_value.alias("_top")] if top_value is not None else []),
         F.struct(*[F.col(c) for c in keep]).alias("_kept") if keep else F.lit(None).cast("int").alias("_kept"),
     )
     flow = {"count": F.lit(1), **{n: F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in sums}}
-    deltas = _arrive_and_expire(base, keys, flow, ["_kept"])
+    tops = F.count("_top") if top_value is not None else F.lit(0)
+    large = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), tops.alias("_tops")).filter((F.col("_n") >= split_rows) | (F.col("_tops") > 0))
+    large = staged(large.select(*keys), "large-keys")
+    split = base.join(large, keys, "left_semi")
+    deltas = _arrive_and_expire(split, keys, flow, ["_kept"])
     values = list(flow)
     if numbered:
         deltas = deltas.withColumn("n_seen", (F.col("phase") == 1).cast("bigint"))
         values.append("n_seen")
     extra = []
     if dims:
-        extra.append(staged(_presence_deltas(base, keys, list(dims)), "presence"))
+        extra.append(staged(_presence_deltas(split, keys, list(dims)), "presence"))
         values += [f"unique_{d}" for d in dims]
+    whole = _whole_keys(base.join(large, keys, "left_anti"), keys, list(dims), flow)
     if top_value is not None:
-        extra.append(staged(_max_multiplicity_deltas(base, keys, "_top", slice_width), "top"))
+        extra.append(staged(_max_multiplicity_deltas(split, keys, "_top", slice_width), "top"))
         values.append("top_hits")
+        whole = whole.withColumn("top_hits", F.lit(0).cast("bigint"))
     deltas = deltas.withColumn("_row", F.col("phase") == 1)
     for d in extra:
         deltas = deltas.unionByName(d.withColumn("_row", F.lit(False)), allowMissingColumns=True)
     deltas = deltas.select(
         *keys, "t", "phase", "seq", "_row", "_kept", *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values]
     )
-    out = running_sums(deltas, keys, values, slice_width).filter("_row")
+    cols = [*keys, "t", "seq", "_kept", *values]
+    out = running_sums(deltas, keys, values, slice_width).filter("_row").select(*cols).unionByName(whole.select(*cols))
     return out.select(*keys, F.col("t").alias(t), F.col("seq").alias(seq), *values, *([F.col("_kept.*")] if keep else []))

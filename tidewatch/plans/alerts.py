@@ -132,7 +132,7 @@ def candidates(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
 
 def fired(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
     """Candidates that are not in cooldown."""
-    return apply_cooldown(candidates(metrics, rules), KEYS, "ts", "id", "cooldown")
+    return apply_cooldown(staged(candidates(metrics, rules), "met"), KEYS, "ts", "id", "cooldown")
 
 
 def window_evidence(alerts: DataFrame, metrics: DataFrame, rules: list[EventRule]) -> DataFrame:

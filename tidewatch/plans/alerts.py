@@ -136,7 +136,10 @@ def fired(metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
 
 
 def window_evidence(alerts: DataFrame, metrics: DataFrame, rules: list[EventRule]) -> DataFrame:
-    """Last n window rows of each alert (n = 0: all), by position in the group: an equi-join."""
+    """Last n window rows of each alert (n = 0: all), by position in the group: an equi-join.
+
+    The positions are sorted and merged, never broadcast: Spark estimates them by the alerts they come from, however many each has.
+    """
     n = by_rule({r.id: int(r.evidence.get("last_n", 10)) for r in rules}, "bigint")
     take = F.when(n > 0, F.least(n, F.col("count"))).otherwise(F.col("count"))
     wanted = alerts.select(
@@ -144,14 +147,15 @@ def window_evidence(alerts: DataFrame, metrics: DataFrame, rules: list[EventRule
         F.explode(F.sequence(F.col("n_seen") - take + 1, F.col("n_seen"))).alias("n_seen"),
     )
     items = metrics.select(*KEYS, "n_seen", F.col("id").alias("event_id"), "raw_id")
-    return wanted.join(items, [*KEYS, "n_seen"])
+    return wanted.hint("merge").join(items, [*KEYS, "n_seen"])
 
 
 def top_subnets(alerts: DataFrame, metrics: DataFrame) -> DataFrame:
     """Most frequent /24 of each alert's window; ties go to the one seen first in it.
 
     The rows of a group are counted per block of positions; a window takes whole blocks as counts and
-    only its two end blocks row by row, so long windows do not pair alerts with rows.
+    only its two end blocks row by row, so long windows do not pair alerts with rows. The blocks of the
+    windows are merged with them, never broadcast, as in `window_evidence`.
     """
     lo, hi = F.col("block") * BLOCK, F.col("block") * BLOCK + BLOCK - 1
     spans = alerts.select(
@@ -164,9 +168,9 @@ def top_subnets(alerts: DataFrame, metrics: DataFrame) -> DataFrame:
     )
     blocks = items.groupBy(*KEYS, "block", "ip_subnet24").agg(F.count(F.lit(1)).alias("n"), F.min("n_seen").alias("first"))
     cols = [*KEYS, "alert_event", "ip_subnet24", "n", "first"]
-    by_block = spans.filter(whole).join(blocks, [*KEYS, "block"]).select(*cols)
+    by_block = spans.filter(whole).hint("merge").join(blocks, [*KEYS, "block"]).select(*cols)
     by_row = (
-        spans.filter(~whole).join(items, [*KEYS, "block"]).filter("n_seen BETWEEN from AND to")
+        spans.filter(~whole).hint("merge").join(items, [*KEYS, "block"]).filter("n_seen BETWEEN from AND to")
         .withColumn("n", F.lit(1).cast("bigint")).withColumn("first", F.col("n_seen")).select(*cols)
     )
     counted = by_block.unionByName(by_row).groupBy(*KEYS, "alert_event", "ip_subnet24").agg(

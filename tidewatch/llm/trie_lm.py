@@ -4,8 +4,11 @@ Words (of the training texts, and one end of text, which also stands before a te
 fingerprints. The trie is dealt into shards by the first two words of an n-gram, so no frequent first word fills a shard alone. A level is an
 Elias-Fano sequence of (place of the parent in the level above) x (number of words) + word, which rises; a word is looked for among its
 context's successors by successor search for that number. Pointers to a context's first successor rise too and are coded alike. Beside
-each entry is its smoothed probability, and for a context what it leaves to shorter ones, each as one of 256 steps of the logarithm. Files are
-mapped, so a task holds the pages that it touches.
+each entry is its smoothed probability, and for a context what it leaves to shorter ones, each as one of 256 steps of the logarithm.
+
+Shards are as many as the training texts need, so that one fits a task; neighbouring ones lie in one file, as pieces of its sequences, and files are
+`FILES` at most. A batch of texts asks each file once, for all of its shards, so scoring does not cost batches times shards. Files are mapped,
+so a task holds the pages that it touches.
 
 A probability is interpolated: P(w | uv) = a3(uvw) + b(uv) (a2(vw) + b(v) P(w)), with a(cw) = n(cw) / (n(c) + mu), b(c) = mu / (n(c) + mu)
 and P(w) the base's add-0.1 share. As nothing but n(c) of the context is needed, each shard is smoothed by itself.
@@ -28,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.elias_fano import EliasFano, get, map_arrays, put, write_arrays
-from tidewatch.llm.inputs import fold, new_folder, staged, table
+from tidewatch.llm.elias_fano import EliasFano, Growing, get, map_arrays
+from tidewatch.llm.inputs import filesystem, fold, new_folder, staged, table
 from tidewatch.llm.text import LOWER, fingerprints, groups, mix64, pieces, spans, utf8
 
 FOLDS = 10
@@ -40,31 +43,34 @@ MU = (20.0, 5.0)
 SHARD_WORDS = 1_000_000
 #: Tokens that a task counts before it sends them on.
 STRETCH_TOKENS = 1_500_000
-SCORE_BYTES = 4 << 20
+#: Files that the shards lie in. Each is written by one task and asked once a batch.
+FILES = 64
+#: Bytes of files that a task holds where files can't be mapped.
+HELD_BYTES = 256 << 20
+SCORE_BYTES = 8 << 20
 END = np.uint64(0x243F6A8885A308D3)
 U = np.uint64
 
 
 def _send(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, plane by plane (all lowest bytes first), compressed."""
-    out = []
-    for x in arrays:
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-        packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-        out.append(struct.pack("<3sqq", x.dtype.str.encode(), len(x), len(packed)) + packed)
-    return b"".join(out)
+    """Arrays as bytes, plane by plane (all lowest bytes first), compressed together."""
+    head = struct.pack("<q", len(arrays)) + b"".join(struct.pack("<3sq", x.dtype.str.encode(), len(x)) for x in arrays)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).ravel() for x in arrays]
+    return head + zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
 def _receive(blob: bytes) -> list[np.ndarray]:
-    found, at = [], 0
-    while at < len(blob):
-        kind, n, size = struct.unpack_from("<3sqq", blob, at)
-        at += struct.calcsize("<3sqq")
-        width = np.dtype(kind.decode()).itemsize
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size], max_output_size=n * width), np.uint8)
-        found.append(np.ascontiguousarray(planes.reshape(width, n).T).view(kind.decode()).ravel())
-        at += size
-    return found
+    each = struct.calcsize("<3sq")
+    n_arrays = struct.unpack_from("<q", blob)[0]
+    kinds = [struct.unpack_from("<3sq", blob, 8 + i * each) for i in range(n_arrays)]
+    sizes = [n * np.dtype(kind.decode()).itemsize for kind, n in kinds]
+    packed = memoryview(blob)[8 + n_arrays * each :]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, sum(sizes))), np.uint8)
+    ends = np.cumsum(sizes)
+    return [
+        np.ascontiguousarray(planes[end - size : end].reshape(np.dtype(kind.decode()).itemsize, n).T).view(kind.decode()).ravel()
+        for (kind, n), size, end in zip(kinds, sizes, ends, strict=True)
+    ]
 
 
 def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +91,26 @@ def _range_of(prints: np.ndarray, n: int) -> np.ndarray:
     return ((prints >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+def _files(n_shards: int, limit: int) -> np.ndarray:
+    """The file of each shard: as many files as shards, up to the limit; each has a range of shards."""
+    return np.arange(n_shards) * min(n_shards, limit) // n_shards
+
+
+def _piece_of(shards: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each asked shard among those of a file, and whether the file has it."""
+    piece = np.minimum(np.searchsorted(shards, asked), len(shards) - 1)
+    return piece, shards[piece] == asked
+
+
+def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, int, list[list[np.ndarray]]]]:
+    """Of rows sorted by file and shard: file, whether it begins, shard, and what was sent to the shard."""
+    last = None
+    for shard in groups(batches, ["file", "shard"]):
+        file = shard.column("file")[0].as_py()
+        yield file, file != last, shard.column("shard")[0].as_py(), [_receive(b) for b in shard.column("blob").to_pylist()]
+        last = file
+
+
 def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words of all texts, and the words before each text."""
     buf, offsets = utf8(texts)
@@ -119,43 +145,58 @@ def _count_words(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[p
 
 
 def _write_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    for shard in groups(batches, ["shard"]):
-        number = shard.column("shard")[0].as_py()
-        received = [_receive(b) for b in shard.column("blob").to_pylist()]
+    file: tuple[int, Growing, list[int], list[int]] | None = None
+
+    def done() -> pa.RecordBatch:
+        number, growing, shards, tokens = file
+        growing.write(folder, f"words-{number}", {"shards": shards})
+        n_words = sum(growing.sequences["prints"]["n"])
+        return pa.record_batch([pa.array([number]), pa.array([n_words]), pa.array([sum(tokens)])], names=["file", "n_words", "n_tokens"])
+
+    for number, begins, shard, received in _by_file(batches):
+        if begins:
+            if file:
+                yield done()
+            file = number, Growing(), [], []
         keys, counts, _ = _added_up(np.concatenate([r[0] for r in received]), np.concatenate([r[1].astype(np.int64) for r in received]))
-        arrays, notes = {"counts": _tight(counts)}, {}
-        put(arrays, notes, "prints", keys)
-        write_arrays(folder, f"words-{number}", arrays, notes)
-        yield pa.record_batch([pa.array([number]), pa.array([len(keys)]), pa.array([int(counts.sum())])], names=["shard", "n_words", "n_tokens"])
+        file[1].array("counts", counts)
+        file[1].sequence("prints", keys)
+        file[2].append(shard)
+        file[3].append(int(counts.sum()))
+    if file:
+        yield done()
 
 
 class Words:
     """The level of single words: numbers and counts."""
 
-    def __init__(self, folder: str, sizes: list[int], n_tokens: int) -> None:
-        self.folder, self.n_tokens = folder, n_tokens
+    def __init__(self, folder: str, sizes: list[int], n_tokens: int, file_of: np.ndarray) -> None:
+        self.folder, self.n_tokens, self.file_of = folder, n_tokens, file_of
         self.bases = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.n_words, self.n_shards = int(self.bases[-1]), len(sizes)
-        self.open: dict[int, tuple[EliasFano, np.ndarray]] = {}
+        self.n_words, self.n_files = int(self.bases[-1]), len(sizes)
+        self.open: dict[int, tuple[EliasFano, np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
-    def _shard(self, i: int) -> tuple[EliasFano, np.ndarray]:
+    def _file(self, i: int) -> tuple[EliasFano, np.ndarray, np.ndarray]:
         if i not in self.open:
             arrays, notes = map_arrays(self.folder, f"words-{i}")
-            self.open[i] = get(arrays, notes, "prints"), arrays["counts"]
+            self.open[i] = get(arrays, notes, "prints"), arrays["counts"], np.array(notes["shards"])
         return self.open[i]
 
     def look_up(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 where unknown) and count of each word, in order of fingerprint."""
         ids, counts = np.full(len(prints), -1, np.int64), np.zeros(len(prints), np.int64)
-        cuts = np.searchsorted(_range_of(prints, self.n_shards), np.arange(self.n_shards + 1))
-        for i in range(self.n_shards):
+        shard = _range_of(prints, len(self.file_of))
+        cuts = np.searchsorted(self.file_of[shard], np.arange(self.n_files + 1))
+        for i in range(self.n_files):
             own = slice(cuts[i], cuts[i + 1])
             if cuts[i] < cuts[i + 1] and self.bases[i] < self.bases[i + 1]:
-                sequence, all_counts = self._shard(i)
-                place, same = sequence.successor(prints[own])
+                sequence, all_counts, shards = self._file(i)
+                piece, there = _piece_of(shards, shard[own])
+                place, same = sequence.successor(prints[own], piece)
+                same &= there
                 ids[own] = np.where(same, place + self.bases[i], -1)
                 counts[own][same] = all_counts[place[same]]
         return ids, counts
@@ -164,9 +205,9 @@ class Words:
         """Counts of words by number, in rising order."""
         counts = np.zeros(len(ids), np.int64)
         cuts = np.searchsorted(ids, self.bases)
-        for i in range(self.n_shards):
+        for i in range(self.n_files):
             if cuts[i] < cuts[i + 1]:
-                counts[cuts[i] : cuts[i + 1]] = self._shard(i)[1][ids[cuts[i] : cuts[i + 1]] - self.bases[i]]
+                counts[cuts[i] : cuts[i + 1]] = self._file(i)[1][ids[cuts[i] : cuts[i + 1]] - self.bases[i]]
         return counts
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,76 +275,108 @@ def _steps(x: np.ndarray) -> tuple[np.ndarray, list[float]]:
 
 
 def _write_grams(batches: Iterator[pa.RecordBatch], folder: str, words: Words, mu: tuple[float, float]) -> Iterator[pa.RecordBatch]:
-    for shard in groups(batches, ["shard"]):
-        number = shard.column("shard")[0].as_py()
-        received = [_receive(b) for b in shard.column("blob").to_pylist()]
-        given = np.concatenate([(r[0].astype(np.uint64) << U(32)) | r[1] for r in received])
-        pairs, counts, place = _added_up(given, np.concatenate([r[2].astype(np.int64) for r in received]))
-        children = np.concatenate([r[3].astype(np.int64) for r in received])
-        third = np.concatenate([r[4] for r in received]).astype(np.uint64)
-        triples, triple_counts, _ = _added_up((np.repeat(place, children).astype(np.uint64) << U(32)) | third, np.concatenate([r[5].astype(np.int64) for r in received]))
-        del received, given, third, place, children
-        parent, word = (pairs >> U(32)).astype(np.int64), pairs & U(0xFFFFFFFF)
-        context, first, of_context = np.unique(parent, return_index=True, return_inverse=True)
-        n_words = U(words.n_words)
-        arrays, notes = {}, {"mu": mu}
-        put(arrays, notes, "contexts", context)
-        put(arrays, notes, "pointers2", first)
-        put(arrays, notes, "pairs", of_context.astype(np.uint64) * n_words + word)
-        arrays["share2"], notes["share2"] = _steps(counts / (words.counts_of(context)[of_context] + mu[0]))
-        of_pair = (triples >> U(32)).astype(np.int64)
-        followed = np.bincount(of_pair, triple_counts, len(pairs))
-        arrays["left2"], notes["left2"] = _steps(mu[1] / (followed + mu[1]))
-        put(arrays, notes, "pointers3", np.searchsorted(of_pair, np.arange(len(pairs))))
-        put(arrays, notes, "triples", of_pair.astype(np.uint64) * n_words + (triples & U(0xFFFFFFFF)))
-        arrays["share3"], notes["share3"] = _steps(triple_counts / (followed[of_pair] + mu[1]))
-        write_arrays(folder, f"grams-{number}", arrays, notes)
-        yield pa.record_batch([pa.array([number]), pa.array([len(pairs)]), pa.array([len(triples)])], names=["shard", "n_pairs", "n_triples"])
-
-
-class GramShard:
-    """The levels of pairs and triples of one shard."""
+    file: tuple[int, Growing, list[int], dict[str, list[list[float]]]] | None = None
+
+    def done() -> pa.RecordBatch:
+        number, growing, shards, steps = file
+        growing.write(folder, f"grams-{number}", {"shards": shards, "mu": mu, "steps": steps})
+        sizes = [sum(growing.sequences[k]["n"]) for k in ("pairs", "triples")]
+        return pa.record_batch([pa.array([x]) for x in (number, *sizes)], names=["file", "n_pairs", "n_triples"])
+
+    for number, begins, shard, received in _by_file(batches):
+        if begins:
+            if file:
+                yield done()
+            file = number, Growing(), [], {k: [] for k in ("share2", "left2", "share3")}
+        file[2].append(shard)
+        _add_shard(file[1], file[3], received, words, mu)
+        del received
+    if file:
+        yield done()
+
+
+def _add_shard(file: Growing, steps: dict[str, list[list[float]]], received: list[list[np.ndarray]], words: Words, mu: tuple[float, float]) -> None:
+    """The pairs and triples of a shard, added up and smoothed, as the next pieces of a file."""
+    given = np.concatenate([(r[0].astype(np.uint64) << U(32)) | r[1] for r in received])
+    pairs, counts, place = _added_up(given, np.concatenate([r[2].astype(np.int64) for r in received]))
+    children = np.concatenate([r[3].astype(np.int64) for r in received])
+    third = np.concatenate([r[4] for r in received]).astype(np.uint64)
+    triples, triple_counts, _ = _added_up((np.repeat(place, children).astype(np.uint64) << U(32)) | third, np.concatenate([r[5].astype(np.int64) for r in received]))
+    received.clear()
+    del given, third, place, children
+    parent, word = (pairs >> U(32)).astype(np.int64), pairs & U(0xFFFFFFFF)
+    context, first, of_context = np.unique(parent, return_index=True, return_inverse=True)
+    n_words = U(words.n_words)
+
+    def share(name: str, x: np.ndarray) -> None:
+        codes, own = _steps(x)
+        file.array(name, codes)
+        steps[name].append(own)
+
+    file.sequence("contexts", context)
+    file.sequence("pointers2", first)
+    file.sequence("pairs", of_context.astype(np.uint64) * n_words + word)
+    share("share2", counts / (words.counts_of(context)[of_context] + mu[0]))
+    of_pair = (triples >> U(32)).astype(np.int64)
+    followed = np.bincount(of_pair, triple_counts, len(pairs))
+    share("left2", mu[1] / (followed + mu[1]))
+    file.sequence("pointers3", np.searchsorted(of_pair, np.arange(len(pairs))))
+    file.sequence("triples", of_pair.astype(np.uint64) * n_words + (triples & U(0xFFFFFFFF)))
+    share("share3", triple_counts / (followed[of_pair] + mu[1]))
+
+
+class GramFile:
+    """The levels of pairs and triples of the shards of a file. Places count through all of them; a number in a level has the parent's place in
+    its own shard."""
 
     def __init__(self, folder: str, number: int) -> None:
         self.arrays, self.notes = map_arrays(folder, f"grams-{number}")
         self.contexts, self.pointers2, self.pairs, self.pointers3, self.triples = (get(self.arrays, self.notes, k) for k in ("contexts", "pointers2", "pairs", "pointers3", "triples"))
-        self.values = {k: 10 ** (self.notes[k][0] + self.notes[k][1] * np.arange(256)) for k in ("share2", "left2", "share3")}
+        self.shards = np.array(self.notes["shards"])
+        steps = {k: np.array(x)[:, :, None] for k, x in self.notes["steps"].items()}
+        self.values = {k: 10 ** (x[:, 0] + x[:, 1] * np.arange(256)) for k, x in steps.items()}
 
-    def value(self, kind: str, place: np.ndarray) -> np.ndarray:
-        return self.values[kind][self.arrays[kind][place]]
+    def value(self, kind: str, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return self.values[kind][piece, self.arrays[kind][place]]
 
-    def pair(self, first: np.ndarray, second: np.ndarray, n_words: int) -> np.ndarray:
+    def pair(self, first: np.ndarray, second: np.ndarray, piece: np.ndarray, n_words: int) -> np.ndarray:
         """Place of each pair, -1 where unknown."""
-        context, known = self.contexts.successor(first.astype(np.uint64))
-        place, same = self.pairs.successor(np.where(known, context, 0).astype(np.uint64) * U(n_words) + second.astype(np.uint64))
+        context, known = self.contexts.successor(first.astype(np.uint64), piece)
+        context = np.where(known, context - self.contexts.starts[piece], 0)
+        place, same = self.pairs.successor(context.astype(np.uint64) * U(n_words) + second.astype(np.uint64), piece)
         return np.where(known & same, place, -1)
 
-    def triple(self, pair: np.ndarray, third: np.ndarray, n_words: int) -> np.ndarray:
-        place, same = self.triples.successor(pair.astype(np.uint64) * U(n_words) + third.astype(np.uint64))
+    def triple(self, pair: np.ndarray, third: np.ndarray, piece: np.ndarray, n_words: int) -> np.ndarray:
+        parent = pair - self.pairs.starts[piece]
+        place, same = self.triples.successor(parent.astype(np.uint64) * U(n_words) + third.astype(np.uint64), piece)
         return np.where(same, place, -1)
 
     def successors(self, pair: int, n_words: int) -> np.ndarray:
         """Words that follow a pair, between its pointer and the next."""
+        piece = int(self.pairs.piece_of(np.array([pair]))[0])
+        last = pair + 1 == self.pairs.starts[piece + 1]
         a = int(self.pointers3.access(np.array([pair]))[0])
-        b = int(self.pointers3.access(np.array([pair + 1]))[0]) if pair + 1 < self.pairs.n else self.triples.n
-        return self.triples.access(np.arange(a, b)) - U(pair) * U(n_words)
+        b = int(self.triples.sizes[piece]) if last else int(self.pointers3.access(np.array([pair + 1]))[0])
+        found = self.triples.access(np.arange(a, b) + self.triples.starts[piece])
+        return found - U(pair - int(self.pairs.starts[piece])) * U(n_words)
 
 
 class Trie:
-    """What a scoring task needs: the words, and the shards of n-grams, opened when asked for."""
+    """What a scoring task needs: the words, and the files of n-grams, opened when asked for."""
 
-    def __init__(self, folder: str, words: Words, n_shards: int, mu: tuple[float, float], have: set[int]) -> None:
-        self.folder, self.words, self.n_shards, self.mu, self.have = folder, words, n_shards, mu, have
-        self.open: dict[int, GramShard] = {}
+    def __init__(self, folder: str, words: Words, file_of: np.ndarray, mu: tuple[float, float], have: set[int]) -> None:
+        self.folder, self.words, self.file_of, self.mu, self.have = folder, words, file_of, mu, have
+        self.open: dict[int, GramFile] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
-    def shard(self, i: int) -> GramShard:
+    def file(self, i: int) -> GramFile:
         if i not in self.open:
-            if len(self.open) >= 256:
+            mapped = filesystem(self.folder)[0].type_name == "local"
+            if not mapped and sum(x.nbytes for f in self.open.values() for x in f.arrays.values()) > HELD_BYTES:
                 self.open.clear()
-            self.open[i] = GramShard(self.folder, i)
+            self.open[i] = GramFile(self.folder, i)
         return self.open[i]
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
@@ -318,25 +391,33 @@ class Trie:
         share2, left2, share3 = np.zeros(len(ids)), np.ones(len(ids)), np.zeros(len(ids))
         pair = (ids[at - 1].astype(np.uint64) << U(32)) | (ids[at].astype(np.uint64) & U(0xFFFFFFFF))
         known = np.flatnonzero((ids[at - 1] >= 0) & (ids[at] >= 0))
-        shard = _shard_of(pair[known], self.n_shards)
-        order = known[np.lexsort((pair[known], shard))]
-        cuts = np.searchsorted(np.sort(shard), np.arange(self.n_shards + 1))
-        for i in range(self.n_shards):
+        shard = _shard_of(pair[known], len(self.file_of))
+        by = np.lexsort((pair[known], shard))
+        order, shard = known[by], shard[by]
+        new = np.ones(len(by), bool)  # equal pairs are looked up once
+        new[1:] = np.diff(pair[order]) != 0
+        cuts = np.searchsorted(self.file_of[shard], np.arange(self.file_of[-1] + 2))
+        for i in range(len(cuts) - 1):
             if cuts[i] == cuts[i + 1] or i not in self.have:
                 continue
             own = at[order[cuts[i] : cuts[i + 1]]]
-            grams = self.shard(i)
-            place = grams.pair(ids[own - 1], ids[own], n_words)
-            own, place = own[place >= 0], place[place >= 0]
-            share2[own] = grams.value("share2", place)
+            grams = self.file(i)
+            first = new[cuts[i] : cuts[i + 1]]
+            one = own[first]
+            piece, there = _piece_of(grams.shards, shard[cuts[i] : cuts[i + 1]][first])
+            place = np.where(there, grams.pair(ids[one - 1], ids[one], piece, n_words), -1)
+            of = np.cumsum(first) - 1
+            piece, place = piece[of], place[of]
+            own, piece, place = own[place >= 0], piece[place >= 0], place[place >= 0]
+            share2[own] = grams.value("share2", place, piece)
             # the pair is the context of the token after it
             after = (own + 1 < len(ids)) & real[np.minimum(own + 1, len(ids) - 1)]
-            next_, place = own[after] + 1, place[after]
-            left2[next_] = grams.value("left2", place)
+            next_, piece, place = own[after] + 1, piece[after], place[after]
+            left2[next_] = grams.value("left2", place, piece)
             some = ids[next_] >= 0
-            next_, place = next_[some], place[some]
-            triple = grams.triple(place, ids[next_], n_words)
-            share3[next_[triple >= 0]] = grams.value("share3", triple[triple >= 0])
+            next_, piece, place = next_[some], piece[some], place[some]
+            triple = grams.triple(place, ids[next_], piece, n_words)
+            share3[next_[triple >= 0]] = grams.value("share3", triple[triple >= 0], piece[triple >= 0])
         left1 = self.mu[0] / (counts[at - 1] + self.mu[0])
         share = share3[at] + left2[at] * (share2[at] + left1 * base[at])
         doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins) - 1)
@@ -351,17 +432,23 @@ def _score(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordB
         yield pa.record_batch([batch.column("doc_id"), *(pa.array(x) for x in found.values())], names=["doc_id", *found])
 
 
-def train(docs: DataFrame, folder: str, mu: tuple[float, float] = MU, shard_words: int = SHARD_WORDS) -> Trie:
-    """Writes the trie of all texts of `docs` to the folder. The driver sees one row of three numbers a shard."""
+def train(docs: DataFrame, folder: str, mu: tuple[float, float] = MU, shard_words: int = SHARD_WORDS, files: int = FILES) -> Trie:
+    """Writes the trie of all texts of `docs` to the folder. The driver sees one row of three numbers a file."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_shards = max(1, -(-size // (6 * shard_words)))  # about six bytes a word
-    gathered = lambda f: texts.mapInArrow(f, "shard long, blob binary").repartition("shard").sortWithinPartitions("shard")
-    words = gathered(lambda b: _count_words(b, n_shards)).mapInArrow(lambda b: _write_words(b, folder), "shard long, n_words long, n_tokens long")
-    rows = {r.shard: r for r in staged(words, "trie-words").collect()}
-    level = Words(folder, [rows[i].n_words if i in rows else 0 for i in range(n_shards)], sum(r.n_tokens for r in rows.values()))
-    grams = gathered(lambda b: _count_grams(b, level, n_shards)).mapInArrow(lambda b: _write_grams(b, folder, level, mu), "shard long, n_pairs long, n_triples long")
-    return Trie(folder, level, n_shards, mu, {r.shard for r in staged(grams, "trie-grams").collect()})
+    file_of = _files(n_shards, files)
+    file = F.expr(f"shard * {int(file_of[-1]) + 1}L div {n_shards}L").alias("file")
+
+    def gathered(count) -> DataFrame:
+        sent = texts.mapInArrow(count, "shard long, blob binary").select(file, "shard", "blob")
+        return sent.repartition("file").sortWithinPartitions("file", "shard")
+
+    words = gathered(lambda b: _count_words(b, n_shards)).mapInArrow(lambda b: _write_words(b, folder), "file long, n_words long, n_tokens long")
+    rows = {r.file: r for r in staged(words, "trie-words").collect()}
+    level = Words(folder, [rows[i].n_words if i in rows else 0 for i in range(file_of[-1] + 1)], sum(r.n_tokens for r in rows.values()), file_of)
+    grams = gathered(lambda b: _count_grams(b, level, n_shards)).mapInArrow(lambda b: _write_grams(b, folder, level, mu), "file long, n_pairs long, n_triples long")
+    return Trie(folder, level, file_of, mu, {r.file for r in staged(grams, "trie-grams").collect()})
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
